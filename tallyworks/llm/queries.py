@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import media, mixing
+from tallyworks.llm import media, mixing, simhash, vectors
 from tallyworks.llm.common import table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))["documents"]
@@ -55,10 +60,17 @@ def op7_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col("media")[c].alias(c) for c in wanted])
 
 
+def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links within its label and its component."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_source_mix": op4_source_mix,
         "op7_wav_fingerprint": op7_wav_fingerprint,
+        "op10_vector_duplicates": op10_vector_duplicates,
     }
 
 
