@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import media, mixing, simhash, vectors
+from tallyworks.llm import media, mixing, secrets, simhash, vectors
 from tallyworks.llm.common import table
 
 
@@ -60,6 +60,37 @@ def op7_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col("media")[c].alias(c) for c in wanted])
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def _op8_sql() -> str:
+    """Each rule's matches with the gaps before them; a match starts where the gaps and matches before it end."""
+    each = " UNION ALL ".join(
+        f"""SELECT doc_id, {no} AS kind_no, '{r.kind}' AS kind, {r.least} AS least,
+        regexp_extract_all(t, '{r.regex.replace("'", "''")}') AS m, regexp_extract_all(t, '{r.regex.replace("'", "''")}', {r.group}) AS h,
+        string_split_regex(t, '{r.regex.replace("'", "''")}') AS g FROM whole"""
+        for no, r in enumerate(secrets.RULES)
+    )
+    return f"""
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({each}),
+long AS (SELECT doc_id, kind_no, kind, least, m, h, g, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+spans AS (
+  SELECT doc_id, kind_no, kind,
+         list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a,
+         length(m[i]) AS n
+  FROM long WHERE length(h[i]) >= least),
+shown AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS s FROM spans)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY a, kind_no) FILTER (kind_no < 3), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY a, kind_no), '') AS spans
+FROM documents d LEFT JOIN shown USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links within its label and its component."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -70,9 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_source_mix": op4_source_mix,
         "op7_wav_fingerprint": op7_wav_fingerprint,
+        "op8_secret_scan": op8_secret_scan,
         "op10_vector_duplicates": op10_vector_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": OP4_SQL}
+    return {"op4_source_mix": OP4_SQL, "op8_secret_scan": _op8_sql()}
