@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import media, mixing, secrets, simhash, vectors
+from tallyworks.llm import media, mixing, pii, secrets, simhash, vectors
 from tallyworks.llm.common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms near it that disclose it."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.sanitise(docs))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -98,6 +104,7 @@ def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_source_mix": op4_source_mix,
         "op7_wav_fingerprint": op7_wav_fingerprint,
