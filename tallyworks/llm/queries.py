@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import media, mixing, pii, secrets, simhash, vectors
+from tallyworks.llm import langid, media, mixing, pii, quality, secrets, simhash, toxicity, vectors
 from tallyworks.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, and the terms near it that disclose it."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,11 @@ FROM placed
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a WAV file, read back, with its fingerprint's digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,6 +107,11 @@ FROM documents d LEFT JOIN shown USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.classify(table(spark, sf_dir, "documents"))
+
+
 def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links within its label and its component."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -104,11 +119,14 @@ def op10_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_source_mix": op4_source_mix,
+        "op6_toxicity": op6_toxicity,
         "op7_wav_fingerprint": op7_wav_fingerprint,
         "op8_secret_scan": op8_secret_scan,
+        "op9_language": op9_language,
         "op10_vector_duplicates": op10_vector_duplicates,
     }
 
