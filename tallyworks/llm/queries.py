@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import langid, media, mixing, pii, quality, secrets, simhash, toxicity, vectors
+from tallyworks.llm import langid, media, mixing, pieces, pii, quality, secrets, simhash, toxicity, vectors
 from tallyworks.llm.common import table
 
 
@@ -63,6 +63,17 @@ FROM placed
 """
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best segmentations, and whether the best spells the text again."""
+    docs = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = docs.withColumn("ids", F.col("nbest")[0]["ids"])
+    best = pieces.with_text(best)
+    return best.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("nbest")[0]["score"].alias("score"), "ids",
+        F.col("nbest.score").alias("nbest_scores"), F.expr("decoded = coalesce(text, '')").alias("exact"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -123,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_simhash": op3_simhash,
         "op4_source_mix": op4_source_mix,
+        "op5_pieces": op5_pieces,
         "op6_toxicity": op6_toxicity,
         "op7_wav_fingerprint": op7_wav_fingerprint,
         "op8_secret_scan": op8_secret_scan,

@@ -101,3 +101,15 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     least = grouped.groupBy("part").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "part").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the least doc_id. All columns stay.
+
+    Of rows that share an id one stays. Rows with a null id can't be named and all stay.
+    """
+    found = near_duplicates(docs.select("doc_id", F.col(text).alias("text")))
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(left.where("doc_id is null"))
