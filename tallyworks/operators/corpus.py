@@ -69,7 +69,8 @@ def number_stated(text: str | Column, number: str | Column) -> Column:
     """Whether a text states a number itself: never inside a longer number, trailing zeros allowed."""
     t = F.replace(F.col(text) if isinstance(text, str) else text, F.lit(","), F.lit(""))
     n = (F.col(number) if isinstance(number, str) else number).cast("string")
-    return t.rlike(F.concat(F.lit(r"(?<![\d.])"), F.replace(n, F.lit("."), F.lit(r"\.")), F.when(n.contains("."), F.lit("0*")).otherwise(F.lit(r"(?:\.0+)?")), F.lit(r"(?!\.?\d)")))
+    zeros = F.when(n.contains("."), F.lit("0*")).otherwise(F.lit(r"(?:\.0+)?"))
+    return F.rlike(t, F.concat(F.lit(r"(?<![\d.])"), F.replace(n, F.lit("."), F.lit(r"\.")), zeros, F.lit(r"(?!\.?\d)")))
 
 
 def language_votes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -46,11 +46,11 @@ def limit_step(start: float | None, used: int, times: list[float], length: float
     return start, used, out
 
 
-def rate_limited(events: DataFrame, key: str, seconds: float, most: int) -> DataFrame:
+def rate_limited(events: DataFrame, key: str, seconds: float, most: int, late: str = "1 day") -> DataFrame:
     """(key, event_id, ts, allowed): at most so many events in a window that starts with the key's first event.
 
-    The state of a key is its window's start and count, kept until the window is over. Events of one batch are taken
-    in the order of their time and id; a key's rows come in Arrow batches and are ordered batch by batch.
+    The state of a key is its window's start and count, kept until the watermark passes the window. Events of one
+    batch are taken in the order of their time and id; a key's rows come in Arrow batches, ordered batch by batch.
     """
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,16 +61,17 @@ def rate_limited(events: DataFrame, key: str, seconds: float, most: int) -> Data
         start = None if start is None or start < 0 else start
         for batch in rows:
             batch = batch.sort_values(["ts", "event_id"], kind="stable")
-            times = (batch["ts"].astype("int64") / 1e9 if str(batch["ts"].dtype).endswith("[ns]") else batch["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+            times = ((batch["ts"] - pd.Timestamp(0, tz=batch["ts"].dt.tz)) / pd.Timedelta(seconds=1)).tolist()
             start, used, allowed = limit_step(start, used, times, seconds, most)
             yield pd.DataFrame({key: k[0], "event_id": batch["event_id"], "ts": batch["ts"], "allowed": allowed})
         state.update((-1.0 if start is None else start, used))
-        state.setTimeoutDuration(max(1, int(seconds * 1000)))
+        over = int(((start or 0.0) + seconds) * 1000)
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, event_id long, ts timestamp, allowed boolean", "start double, used int", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    shape = f"{key} {kind}, event_id long, ts timestamp, allowed boolean"
+    keyed = events.withWatermark("ts", late).groupBy(key)
+    return keyed.applyInPandasWithState(step, shape, "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
