@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyworks.store import materialise
+
+__all__ = ["connected_components", "crc_bucket", "forget", "labelled_sample", "materialise", "table", "with_arrow_column"]
 
 #: A word, for every operator that counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a new local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tallyworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The lineage ends at files that survive lost executors, and each row is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyworks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files behind a ``materialise`` result that nothing reads any more."""
     jvm = df.sparkSession._jvm
@@ -46,6 +31,41 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def with_arrow_column(
+    df: DataFrame, column: str, out: str, kind: T.DataType, work: Callable[[], Callable[[list], pa.Array]], weight: int = 1 << 21, rows: int = 1000
+) -> DataFrame:
+    """Add ``out``, computed in Python from ``column`` in small batches; all other columns pass through untouched.
+
+    ``work`` is called once a task and gives the function from a list of values to an Arrow array. A batch ends at
+    ``rows`` rows or, with at least one row, before ``weight`` characters or elements, so a task's memory is bounded
+    whatever the size of Spark's own batches. A column already called ``out`` is replaced.
+    """
+    kept = [c for c in df.columns if c != out or c == column]
+    source = df.select(*[F.col(f"`{c}`") for c in kept])
+    place, names = kept.index(column), [c for c in kept if c != out] + [out]
+    shape = T.StructType([f for f in source.schema.fields if f.name != out] + [T.StructField(out, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = work()
+        for batch in batches:
+            values = batch.column(place)
+            at = 0
+            while at < batch.num_rows:
+                upto, size = at, 0
+                while upto < batch.num_rows and upto - at < rows:
+                    v = values[upto]
+                    size += len(v) if isinstance(v, pa.ListScalar) and v.is_valid else v.as_buffer().size if v.is_valid else 0
+                    if size > weight and upto > at:
+                        break
+                    upto += 1
+                part = batch.slice(at, upto - at)
+                old = [part.column(i) for i, c in enumerate(kept) if c != out]
+                yield pa.RecordBatch.from_arrays([*old, compute(part.column(place).to_pylist())], names)
+                at = upto
+
+    return source.mapInArrow(run, shape)
+
+
 def crc_bucket(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

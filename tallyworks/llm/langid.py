@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import crc_bucket
+from tallyworks.llm.common import crc_bucket, materialise
 
 FOLDS, HELD = 3, 1
 ORDER = 3
@@ -152,14 +152,20 @@ class Trees:
 def train(docs: DataFrame, folds: int = FOLDS, held: int = HELD, nodes: int = NODES) -> Trees:
     """Count over all documents with text and language outside the held-out fold.
 
-    Of the counts, the ``nodes`` strings that are most frequent within their languages reach the driver.
+    Of the counts, at most ``nodes`` strings reach the driver, the most frequent within their languages: a histogram
+    of the frequencies in eighths of a bit tells where to cut.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("doc_id", folds) != held))
     counts = known.select("lang", "text").mapInPandas(_counts, "lang string, string long, n long")
     counts = counts.groupBy("lang", "string").agg(F.sum("n").alias("n"))
     size = counts.groupBy("lang").agg(F.sum("n").alias("size"))
-    top = counts.join(size, "lang").orderBy((F.col("n") / F.col("size")).desc(), "lang", "string").limit(nodes)
-    rows = top.select("lang", "string", "n").toPandas()
+    ranked = materialise(counts.join(size, "lang").withColumn("rarity", F.floor(F.log2(F.col("size") / F.col("n")) * 8)))
+    upto, cut = 0, -1
+    for r in ranked.groupBy("rarity").agg(F.count("*").alias("strings")).orderBy("rarity").collect():
+        if upto + r["strings"] > nodes:
+            break
+        upto, cut = upto + r["strings"], r["rarity"]
+    rows = ranked.where(F.col("rarity") <= cut).select("lang", "string", "n").toPandas()
     return Trees.grow({x: (g["string"].to_numpy(np.uint32), g["n"].to_numpy(np.int64)) for x, g in rows.groupby("lang")})
 
 

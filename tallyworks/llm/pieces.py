@@ -20,11 +20,13 @@ from functools import cached_property
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyworks.llm.common import with_arrow_column
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Score of a byte that stands for part of a character without a piece.
@@ -40,6 +42,11 @@ WORDS, WORDS_OF_LINES = re.compile(r" *[^ ]+| +"), re.compile(r" *[^ \n]+| +|\n"
 NBEST = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def spelled(surface: list[bytes], ids) -> str:
+    """What pieces spell, without the space that encoding puts first."""
+    return b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+
+
 @dataclass
 class Vocabulary:
     """Pieces with ids and scores, and the ids of the 256 bytes."""
@@ -292,8 +299,7 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of which ``ids`` are a segmentation, to the character."""
-        surface = self.vocabulary.surface
-        return b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return spelled(self.vocabulary.surface, ids)
 
 
 def with_pieces(docs: DataFrame, text: str = "text", out: str = "nbest", model: str = MODEL, n: int = N_BEST) -> DataFrame:
@@ -305,21 +311,31 @@ def with_pieces(docs: DataFrame, text: str = "text", out: str = "nbest", model:
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # a vocabulary, whatever the corpus
 
-    @F.pandas_udf(NBEST)
-    def encode(texts: pd.Series) -> pd.Series:
+    def work():
         encoder = Encoder(vocabulary.value, n)
-        return pd.Series([[{"score": s, "ids": i} for s, i in found] for found in encoder.encode_all(texts.tolist())])
 
-    return docs.withColumn(out, encode(F.col(text)))
+        def encode(texts: list[str | None]) -> pa.Array:
+            found = encoder.encode_all(texts)
+            every = [x for f in found for x in f]
+            ids = pa.ListArray.from_arrays(_offsets(i for _, i in every), pa.array(np.concatenate([i for _, i in every]), pa.int32()))
+            pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in every], pa.float64()), ids], ["score", "ids"])
+            return pa.ListArray.from_arrays(_offsets(found), pairs)
+
+        return encode
+
+    return with_arrow_column(docs, text, out, NBEST, work)
+
+
+def _offsets(parts) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32())
 
 
 def with_text(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """Add the text that an array of piece ids spells; a null array gives null, an empty one the empty text."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
-    @F.pandas_udf(T.StringType())
-    def decode(rows: pd.Series) -> pd.Series:
-        encoder = Encoder(vocabulary.value)
-        return pd.Series([None if r is None else encoder.decode(r) if len(r) else "" for r in rows], dtype=object)
+    def work():
+        surface = vocabulary.value.surface
+        return lambda rows: pa.array([None if r is None else spelled(surface, r) for r in rows], pa.string())
 
-    return docs.withColumn(out, decode(F.col(ids)))
+    return with_arrow_column(docs, ids, out, T.StringType(), work)

@@ -95,7 +95,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = materialise(docs.select("doc_id", fingerprint_of(text).alias("fp")))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(links(distinct.select("fp")))
+    parts = connected_components(materialise(links(distinct.select("fp"))))
     grouped = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     grouped = grouped.select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
     least = grouped.groupBy("part").agg(F.min("first_id").alias("component_id"))

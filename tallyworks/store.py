@@ -18,7 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back; its lineage ends there."""
+    """Write a frame to the shared folder and read it back.
+
+    The lineage ends at files that survive lost executors, and each row is computed once.
+    """
     path = f"{shared_dir(df.sparkSession)}/tallyworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
