@@ -32,11 +32,13 @@ def forget(df: DataFrame) -> None:
 
 
 def with_arrow_column(
-    df: DataFrame, column: str, out: str, kind: T.DataType, work: Callable[[], Callable[[list], pa.Array]], weight: int = 1 << 21, rows: int = 1000
-) -> DataFrame:
+    df: DataFrame, column: str, out: str, kind: T.DataType, work: Callable[[], Callable[[list | pa.Array], pa.Array]],
+    weight: int = 1 << 21, rows: int = 1000, as_list: bool = True,
+) -> DataFrame:
     """Add ``out``, computed in Python from ``column`` in small batches; all other columns pass through untouched.
 
-    ``work`` is called once a task and gives the function from a list of values to an Arrow array. A batch ends at
+    ``work`` is called once a task and gives the function from a list of values (an Arrow array unless ``as_list``)
+    to an Arrow array. A batch ends at
     ``rows`` rows or, with at least one row, before ``weight`` characters or elements, so a task's memory is bounded
     whatever the size of Spark's own batches. A column already called ``out`` is replaced.
     """
@@ -60,7 +62,8 @@ def with_arrow_column(
                     upto += 1
                 part = batch.slice(at, upto - at)
                 old = [part.column(i) for i, c in enumerate(kept) if c != out]
-                yield pa.RecordBatch.from_arrays([*old, compute(part.column(place).to_pylist())], names)
+                given = part.column(place)
+                yield pa.RecordBatch.from_arrays([*old, compute(given.to_pylist() if as_list else given)], names)
                 at = upto
 
     return source.mapInArrow(run, shape)

@@ -21,6 +21,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -336,6 +337,21 @@ def with_text(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: st
 
     def work():
         surface = vocabulary.value.surface
-        return lambda rows: pa.array([None if r is None else spelled(surface, r) for r in rows], pa.string())
-
-    return with_arrow_column(docs, ids, out, T.StringType(), work)
+        length = np.array([len(s) for s in surface])
+        start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(surface), np.uint8)
+        return lambda rows: _spelled_all(flat, start, length, rows)
+
+    return with_arrow_column(docs, ids, out, T.StringType(), work, weight=1 << 18, as_list=False)
+
+
+def _spelled_all(flat: np.ndarray, start: np.ndarray, length: np.ndarray, rows: pa.Array) -> pa.Array:
+    """``spelled`` of many rows at once; piece i is ``length[i]`` bytes of ``flat`` from ``start[i]``."""
+    ids = rows.flatten().to_numpy(zero_copy_only=False)
+    upto = np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    size = length[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    whole = flat[np.arange(ends[-1]) + np.repeat(start[ids] - ends[:-1], size)]
+    offsets = pa.array(ends[np.concatenate([[0], upto])], pa.int32(), mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
+    parts = pa.ListArray.from_arrays(offsets, pa.array(whole, pa.uint8()))
+    raw = pa.Array.from_buffers(pa.binary(), len(rows), [parts.buffers()[0], parts.buffers()[1], pa.py_buffer(whole)])
+    return pc.utf8_slice_codeunits(raw.cast(pa.string()), 1)

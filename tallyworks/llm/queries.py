@@ -66,11 +66,12 @@ FROM placed
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best segmentations, and whether the best spells the text again."""
     docs = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    best = docs.withColumn("ids", F.col("nbest")[0]["ids"])
-    best = pieces.with_text(best)
-    return best.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("nbest")[0]["score"].alias("score"), "ids",
-        F.col("nbest.score").alias("nbest_scores"), F.expr("decoded = coalesce(text, '')").alias("exact"),
+    best = F.col("nbest")[0]
+    docs = docs.select("doc_id", "text", best["ids"].alias("ids"), best["score"].alias("score"), F.col("nbest.score").alias("nbest_scores"))
+    docs = pieces.with_text(docs)
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", "nbest_scores",
+        F.expr("decoded = coalesce(text, '')").alias("exact"),
     )
 
 
