@@ -30,6 +30,9 @@ from tallyworks.llm.common import with_arrow_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
+#: Scores are whole multiples of one over this, so that sums are exact and equal segmentations tie exactly; round-off
+#: would make the search of a long run of one character try ever more of them.
+GRAIN = 1 << 20
 #: Score of a byte that stands for part of a character without a piece.
 BYTE_SCORE = -25.0
 #: Characters of text that are worked on together, and the longest word whose forward scores are taken in arrays.
@@ -76,7 +79,7 @@ class Vocabulary:
                 if re.search(f"[^{SPACE}]{SPACE}", piece):
                     raise ValueError(f"piece {i} runs past the end of a word")
                 ids[piece] = i
-                scores[piece] = -math.log(2 - model.get_score(i))
+                scores[piece] = -round(math.log(2 - model.get_score(i)) * GRAIN) / GRAIN
                 surface.append(piece.replace(SPACE, " ").encode())
         if bytes_from is None:
             raise ValueError("the vocabulary has no byte pieces")
