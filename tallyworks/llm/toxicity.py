@@ -208,8 +208,10 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for g, n in grams(t).items():
                     for level in level_of(n):
                         count[g, level] = count.get((g, level), 0) + 1
+            if not count:
+                continue
             units, n = list(count), np.array(list(count.values()))
-            yield pd.DataFrame({"gram": [g for g, _ in units], "level": [x for _, x in units], "toxic": n * int(y), "clean": n * (1 - int(y))})
+            yield pd.DataFrame({"gram": pd.Series([g for g, _ in units], dtype=object), "level": [x for _, x in units], "toxic": n * int(y), "clean": n * (1 - int(y))})
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, per_class: int = PER_CLASS) -> Model:
@@ -243,6 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HE
 
     shape = "doc_id long, y int, hits array<int>, fixed array<int>, gram array<int>, count array<int>, words long"
     rows = sample.mapInPandas(look, shape).toPandas().sort_values("doc_id", kind="stable")
+    if not len(rows):  # labels, but none of the documents
+        return Model((), (), {}, np.zeros(len(PATTERNS) + 6), -np.inf)
     clean = rows[rows["y"] == 0]
     have = np.bincount(np.concatenate([*clean["gram"], []]).astype(int), weights=np.concatenate([*clean["count"], []]), minlength=len(names))
     rates = dict(zip(names, ((have + 0.5) / (clean["words"].sum() + 1)).tolist(), strict=True))
