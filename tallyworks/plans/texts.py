@@ -84,6 +84,14 @@ def navigation_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.navigation_shells(pages, "url", "head")
 
 
+@query(r"""
+WITH w AS (SELECT url, sha256(trim(html)) AS sha, regexp_matches(html, '(?i)financial assistance|charity care|free care|discounted care|ability to pay') AS named FROM pages WHERE lower(url) NOT LIKE '%.pdf'),
+g AS (SELECT sha FROM w GROUP BY 1 HAVING count(DISTINCT url) > 1 AND NOT bool_or(named)) SELECT DISTINCT url FROM w WHERE sha IN (SELECT sha FROM g)""")
+def whole_page_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that answer with the same whole page, and don't name assistance anywhere in it."""
+    return corpus.navigation_shells(table(spark, sf_dir, "pages"), "url", "html")
+
+
 @query(r"""
 WITH p AS (SELECT item_id, text AS phrase FROM benchmark WHERE length(text) >= 12 AND regexp_matches(text, '[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]'))
 SELECT doc_id, item_id AS phrase_id FROM documents JOIN p ON contains(text, phrase)""")
