@@ -1,32 +1,36 @@
 """Personal data, and terms that would give it away: information-theoretic sanitisation.
 
 Protected entities are the values of e-mail addresses, IP addresses, payment cards and phone numbers in the texts.
-A term t near an entity e discloses pmi(t; e) = log(p(e|t) / p(e)) of the information content ic(e) = -log p(e),
-with probabilities over documents of the whole corpus. Where that share reaches ALPHA in at least SUPPORT documents,
-knowing the term is as good as knowing the entity, and the term is generalised wherever it stands near that entity.
+A term t in the documents of an entity e discloses pmi(t; e) = log(p(e|t) / p(e)) of the information content
+ic(e) = -log p(e), with probabilities over documents of the whole corpus. Where that share reaches ALPHA in at least
+SUPPORT documents, knowing the term is as good as knowing the entity, and the term is generalised at every place of
+the documents that hold the entity.
 
-Candidate terms are those within REACH words of an entity, so the pairs grow with the mentions, never with
-documents times entities; every count is a grouped sum over all documents, and no group is gathered.
+Pairs are made only for entities of at least SUPPORT documents and for terms whose counts can reach ALPHA with any
+entity, both exact bounds; every count is a grouped sum over all documents, and no group is gathered.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyworks.llm.common import materialise
+from tallyworks.llm.common import materialise, with_arrow_column
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.9
 SUPPORT = 3
-REACH = 5
-#: Largest table of candidate terms that is broadcast; a larger one is joined by shuffle.
+#: Largest table of entities, terms or pairs that is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Terms that a task holds counts of before it hands them on.
+HELD_TERMS = 1 << 18
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -36,9 +40,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,64}")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-NEAR = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("entity", "term")] + [T.StructField(n, T.LongType()) for n in ("start", "end")]
-)
 
 
 def luhn(digits: str) -> bool:
@@ -73,93 +74,132 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the ``reach`` terms on either side of each span, terms inside spans left out.
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct values of the spans, each with its kind."""
+    return sorted({f"{k}:{re.sub(r'[^0-9]', '', text[a:b]) if k in ('card', 'phone') else text[a:b].lower()}" for k, a, b in spans})
 
-    Only a window of text around the span is read, 64 letters and separators for each term.
-    """
-    out = []
-    cover = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        entity = f"{kind}:{re.sub(r'[^0-9]', '', text[a:b]) if kind in ('card', 'phone') else text[a:b].lower()}"
-        lo, hi = max(0, a - 80 * reach), b + 80 * reach
-        before = [m for m in TERM.finditer(text, lo, a) if m.start() > lo or lo == 0][-reach:]
-        after = [m for m in TERM.finditer(text, b, hi) if m.end() < hi or hi >= len(text)][:reach]
-        for m in before + after:
-            if not any(x < m.end() and m.start() < y for x, y in cover):
-                out.append((entity, m[0].lower(), *m.span()))
-    return out
 
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term of the whole text that overlaps no span."""
+    cover, i = sorted((a, b) for _, a, b in spans), 0
+    upto = 0  # the furthest end of the spans that start before the term's end
+    for m in TERM.finditer(text):
+        while i < len(cover) and cover[i][0] < m.end():
+            upto = max(upto, cover[i][1])
+            i += 1
+        if upto <= m.start():
+            yield m[0].lower(), *m.span()
 
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
-    """Add ``pii`` (array of kind, start, end) and ``near`` (array of entity, term, start, end) to each row."""
-    out = T.StructType([T.StructField("pii", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR))])
+
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``pii`` (array of kind, start, end) and ``entities`` (their distinct values) to each row."""
+    out = T.StructType([T.StructField("pii", T.ArrayType(SPAN)), T.StructField("entities", T.ArrayType(T.StringType()))])
 
     @F.pandas_udf(out)
     def find(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             spans = base_spans(t or "")
-            rows.append((spans, near_terms(t, spans, reach) if spans else []))
-        return pd.DataFrame(rows, columns=["pii", "near"])
+            rows.append((spans, entities_of(t, spans) if spans else []))
+        return pd.DataFrame(rows, columns=["pii", "entities"])
+
+    return docs.withColumn("__found", find(F.col(text))).select("*", "__found.pii", "__found.entities").drop("__found")
+
 
-    return docs.withColumn("__found", find(F.col(text))).select("*", "__found.pii", "__found.near").drop("__found")
+def term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, n): in how many rows a term stands, within spans or not, in partial sums."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
 
-def terms_of(text: str):
-    """The distinct terms of a text as a column; the same as TERM finds, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_]{2,64}"), F.lit(0)))
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["term", "n"])
+            held.clear()
+            return out
 
+        for batch in batches:
+            for t in batch.column(0):
+                held.update({x.lower() for x in set(TERM.findall(t.as_py() or ""))})
+                if len(held) > HELD_TERMS:
+                    yield flush()
+        yield flush()
 
-def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the terms near an entity that disclose at least ``alpha`` of its information.
+    return docs.select(F.col(text)).mapInArrow(run, "term string, n long")
 
-    ``scanned`` holds (doc_key, near) of the documents with entities, ``docs`` all documents. Pairs are counted once
-    a document, and a term counts in every document of the corpus that has it, near an entity or not.
+
+def _small(df: DataFrame) -> DataFrame:
+    """A frame marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """((entity, term, disclosure), (doc_key, entity, term)): the terms that disclose at least ``alpha`` of an entity's
+    information, and where both are in a document.
+
+    ``scanned`` holds (doc_key, entities, text) of the documents with entities, ``docs`` all documents. Pairs are
+    counted once a document, wherever the term stands outside personal data, and a term counts in every document of
+    the corpus that has it.
     """
-    n = F.lit(docs.count())
+    total = docs.count()
+    n = F.lit(total)
     p = F.col("n_entity") / n
 
-    def share(n_term: str) -> Column:
-        pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col(n_term)) / p)
-        # an entity of every document has no information to disclose
-        return F.when(F.col("n_entity") < n, pmi / -F.log(p)).otherwise(0.0)
-
-    pairs = scanned.select("doc_key", F.explode("near").alias("x")).select("doc_key", "x.entity", "x.term").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    of_entity = pairs.select("doc_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a term is in at least as many documents as have it near any entity, which bounds its share from above
-    near_any = pairs.select("doc_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    joint = materialise(joint.join(of_entity, "entity").join(near_any, "term").where(share("n_near") >= alpha))
-    wanted = joint.select("term").distinct()
-    seen = docs.select(F.explode(terms_of(text)).alias("term"))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        seen = seen.join(F.broadcast(wanted), "term", "left_semi")
-    of_term = seen.groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = joint.join(of_term, "term")
-    return scored.select("entity", "term", share("n_term").alias("disclosure")).where(F.col("disclosure") >= alpha)
-
-
-def sanitise(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH
-) -> DataFrame:
+    mentions = scanned.select("doc_key", F.explode("entities").alias("entity"))
+    # no pair is in more documents than its entity
+    of_entity = materialise(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    shared = mentions.join(_small(of_entity.select("entity")), "entity").groupBy("doc_key").agg(F.collect_set("entity").alias("entities"))
+
+    def work():
+        return lambda texts: pa.array([sorted({x for x, *_ in terms_outside(t, base_spans(t))}) for t in texts], pa.list_(pa.string()))
+
+    held = with_arrow_column(scanned.select("doc_key", text).join(shared, "doc_key"), text, "terms", T.ArrayType(T.StringType()), work)
+    held = materialise(held.select("doc_key", "entities", "terms"))
+
+    def pairs(terms: DataFrame) -> DataFrame:
+        met = held.select("doc_key", "entities", F.explode("terms").alias("term")).join(_small(terms.select("term")), "term", "left_semi")
+        return met.select("doc_key", F.explode("entities").alias("entity"), "term")
+
+    wanted = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    wanted = materialise(wanted.where(F.col("n_near") >= support))
+    seen = term_counts(docs, text).join(_small(wanted.select("term")), "term", "left_semi")
+    of_term = seen.groupBy("term").agg(F.sum("n").alias("n_term"))
+    # n_both is at most n_near and n_entity, so a share of alpha needs n_term <= n_near^alpha * n^(1 - alpha)
+    reaches = F.log("n_term") <= alpha * F.log("n_near") + (1 - alpha) * F.log(n) + 1e-9
+    kept = materialise(wanted.join(of_term, "term").where(reaches).select("term", "n_term"))
+
+    pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p)
+    # an entity of every document has no information to disclose
+    share = F.when(F.col("n_entity") < n, pmi / -F.log(p)).otherwise(0.0)
+    joint = pairs(kept).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    scored = joint.join(of_entity, "entity").join(kept, "term").select("entity", "term", share.alias("disclosure"))
+    found = materialise(scored.where(F.col("disclosure") >= alpha))
+    return found, pairs(found.select("term").distinct()).join(_small(found.select("entity", "term")), ["entity", "term"], "left_semi")
+
+
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(doc_key, doc_id, pii, terms) of the rows with personal data; ``terms`` are spans of kind ``term``.
 
     ``doc_key`` is a hash of id and text, so repeated rows share one entry. Null and empty texts, and an empty
-    table, have no personal data. Rows with a null id are told apart by their texts. A term that stands near several
-    entities is reported once.
+    table, have no personal data. Rows with a null id are told apart by their texts. A term that discloses several
+    entities is reported once at each place.
     """
     key = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(key.alias("doc_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    scanned = scan(rows, "__text", reach).select("doc_key", "doc_id", "pii", "near").where("size(pii) > 0")
-    scanned = materialise(scanned.dropDuplicates(["doc_key"]))
-    found = disclosing_terms(scanned, rows, "__text", alpha, support)
-    near = scanned.select("doc_key", F.explode("near").alias("x")).select("doc_key", "x.*")
-    hits = near.join(found, ["entity", "term"]).groupBy("doc_key").agg(
-        F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms")
-    )
+    scanned = materialise(scan(rows, "__text").where("size(pii) > 0").dropDuplicates(["doc_key"]))
+    _, where = disclosing_terms(scanned, rows, "__text", alpha, support)
+    hidden = where.groupBy("doc_key").agg(F.collect_set("term").alias("__hide"))
+
+    @F.pandas_udf(T.ArrayType(SPAN))
+    def places(texts: pd.Series, hide: pd.Series) -> pd.Series:
+        out = []
+        for t, terms in zip(texts, hide, strict=True):
+            chosen = set(terms)
+            out.append([("term", a, b) for x, a, b in terms_outside(t, base_spans(t)) if x in chosen])
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    hits = scanned.select("doc_key", "__text").join(hidden, "doc_key").select("doc_key", places("__text", "__hide").alias("terms"))
     none = F.array().cast(T.ArrayType(SPAN))
-    return scanned.drop("near").join(hits, "doc_key", "left").withColumn("terms", F.coalesce("terms", none))
+    return scanned.drop("__text", "entities").join(hits, "doc_key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def digest(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
