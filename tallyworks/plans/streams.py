@@ -25,14 +25,16 @@ def query(sql: str | None = None):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = ev.read_events(spark, f"{sf_dir}/event[s].parquet", FILED)
+    log = ev.read_events(spark, f"{sf_dir}/event[s].parquet", FILED, files=None)
     return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ran(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end into the shared folder. A window is written when the watermark passes it."""
+    """Run to the end into the shared folder. A window is written when the watermark passes it; no row may be late."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ev.run_once(stream, f"{path}/out", f"{path}/checkpoint", mode)
+    late = ev.run_once(stream, f"{path}/out", f"{path}/checkpoint", mode)
+    if late:
+        raise RuntimeError(f"{late} rows came after the watermark and were left out")
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 

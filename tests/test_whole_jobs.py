@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import random
 from collections import Counter, defaultdict
 
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 from same import assert_same, connect
 from tallyworks.llm import pii
-from tallyworks.plans import texts
+from tallyworks.plans import streams, texts
+from tallyworks.streaming import events as ev
 
 
 def written(spark, folder, name, rows, shape):
@@ -56,3 +63,60 @@ def test_disclosure_equals_brute_force(spark):
         want = {i: [(a, b) for x, a, b in pii.terms_outside(t, spans[i]) if any((e, x) in true for e in entities[i])] for i, t in rows if spans[i]}
         got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["terms"]] for r in pii.sanitise(docs, alpha=alpha).collect()}
         assert true and got == want
+
+
+@pytest.fixture(scope="module")
+def overlapping(tmp_path_factory):
+    """Events of 30 days in three files that each cover all of them, and one user of more rows than an Arrow batch."""
+    rng, first = random.Random(5), dt.datetime(2024, 1, 1)
+    at = [first + dt.timedelta(seconds=rng.randrange(30 * 86400)) for _ in range(15_000)]
+    rows = pd.DataFrame({"event_id": range(15_000), "ts": at, "user_id": [1 if i % 5 else i % 7 for i in range(15_000)], "event_type": [f"t{i % 3}" for i in range(15_000)], "value": 1.0, "props": "{}"})
+    rows["ts"] = rows["ts"].astype("datetime64[us]")
+    folder = tmp_path_factory.mktemp("log")
+    (folder / "events.parquet").mkdir()
+    for i in range(3):
+        rows[rows["event_id"] % 3 == i].to_parquet(folder / f"events.parquet/part-{i}.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return str(folder), rows, con
+
+
+@pytest.mark.parametrize("name", ["stream_daily_usage", "stream_once"])
+def test_overlapping_files_lose_no_rows(spark, overlapping, name):
+    sf_dir, _, con = overlapping
+    assert assert_same(streams.QUERIES[name](spark, sf_dir), con, streams.SQL[name])
+
+
+def test_windows_and_sessions_of_overlapping_files(spark, overlapping):
+    sf_dir, rows, _ = overlapping
+    us = rows["ts"].astype("int64")
+    hour = 3_600_000_000
+    sums = Counter(start for t in us for start in (t // (6 * hour) * 6 * hour, t // (6 * hour) * 6 * hour - 6 * hour))
+    over = us.max() - 24 * hour
+    got = {r["start_us"]: r["n"] for r in streams.QUERIES["stream_sliding_usage"](spark, sf_dir).collect()}
+    assert got == {s: n for s, n in sums.items() if s + 12 * hour <= over}
+    runs = []
+    for user, ts in us.groupby(rows["user_id"]):
+        ts = sorted(ts)
+        cuts = [0, *[i for i in range(1, len(ts)) if ts[i] - ts[i - 1] >= 2 * hour], len(ts)]
+        runs += [(user, ts[a], b - a) for a, b in zip(cuts, cuts[1:], strict=False) if ts[b - 1] + 2 * hour <= over]
+    assert sorted(map(tuple, streams.QUERIES["stream_sessions"](spark, sf_dir).collect())) == sorted(runs)
+
+
+def test_rate_limit_takes_a_hot_user_in_order(spark, overlapping):
+    sf_dir, rows, _ = overlapping
+    want = {}
+    for _, g in rows.sort_values(["ts", "event_id"]).groupby("user_id"):
+        start, used = None, 0
+        for i, t in zip(g["event_id"], g["ts"], strict=True):
+            if start is None or t - start >= pd.Timedelta(days=1):
+                start, used = t, 0
+            used += 1
+            want[i] = used <= 3
+    assert {r["event_id"]: r["allowed"] for r in streams.QUERIES["stream_rate_limit"](spark, sf_dir).collect()} == want
+
+
+def test_late_rows_are_counted(spark, overlapping, tmp_path):
+    sf_dir, _, _ = overlapping
+    log = ev.read_events(spark, f"{sf_dir}/event[s].parquet", streams.FILED).withColumn("ts", F.col("ts").cast("timestamp"))
+    assert ev.run_once(ev.windowed(log, "1 day"), str(tmp_path / "out"), str(tmp_path / "checkpoint")) > 0
