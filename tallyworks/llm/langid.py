@@ -5,7 +5,7 @@ code length is that of its probability in the longest context known, each shorte
 escape (method C: as many escapes as the context has different followers). The statistics are frozen, so a text's
 code length is a sum over its bytes; the language with the shortest code wins.
 
-Counting is one pass with sums that are combined before a shuffle; the trees, bounded by NODES, go to every task,
+Counting is one pass with sums that are combined before a shuffle; the trees, of all counts, go to every task,
 where one sorted lookup per byte gives the code lengths in all languages at once.
 """
 
@@ -20,12 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import crc_bucket, materialise
+from tallyworks.llm.common import crc_bucket
 
 FOLDS, HELD = 3, 1
 ORDER = 3
-#: Bound of the model: so many byte strings of ORDER + 1 bytes over all languages, the most frequent of each.
-NODES = 1 << 18
 SLICE = 1 << 20
 #: Counts that a task holds before it hands them on.
 HELD_COUNTS = 1 << 21
@@ -149,29 +147,21 @@ class Trees:
         return out
 
 
-def train(docs: DataFrame, folds: int = FOLDS, held: int = HELD, nodes: int = NODES) -> Trees:
+def train(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Trees:
     """Count over all documents with text and language outside the held-out fold.
 
-    Of the counts, at most ``nodes`` strings reach the driver, the most frequent within their languages: a histogram
-    of the frequencies in eighths of a bit tells where to cut.
+    All counts reach the driver: one row for each language and different string of ORDER + 1 bytes, which grow far
+    slower than the texts.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("doc_id", folds) != held))
     counts = known.select("lang", "text").mapInPandas(_counts, "lang string, string long, n long")
-    counts = counts.groupBy("lang", "string").agg(F.sum("n").alias("n"))
-    size = counts.groupBy("lang").agg(F.sum("n").alias("size"))
-    ranked = materialise(counts.join(size, "lang").withColumn("rarity", F.floor(F.log2(F.col("size") / F.col("n")) * 8)))
-    upto, cut = 0, -1
-    for r in ranked.groupBy("rarity").agg(F.count("*").alias("strings")).orderBy("rarity").collect():
-        if upto + r["strings"] > nodes:
-            break
-        upto, cut = upto + r["strings"], r["rarity"]
-    rows = ranked.where(F.col("rarity") <= cut).select("lang", "string", "n").toPandas()
+    rows = counts.groupBy("lang", "string").agg(F.sum("n").alias("n")).toPandas()
     return Trees.grow({x: (g["string"].to_numpy(np.uint32), g["n"].to_numpy(np.int64)) for x, g in rows.groupby("lang")})
 
 
 def with_language(docs: DataFrame, trees: Trees, text: str = "text", out: str = "language") -> DataFrame:
     """Add a struct (lang, score) of every text; an existing column of that name is replaced, all others stay."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by NODES
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # grows with the different strings, not with the texts
 
     @F.pandas_udf("lang string, score double")
     def identify(texts: pd.Series) -> pd.DataFrame:

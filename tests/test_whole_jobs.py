@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from same import assert_same, connect
-from tallyworks.llm import pii
+from tallyworks.llm import langid, pii
 from tallyworks.plans import streams, texts
 from tallyworks.streaming import events as ev
 
@@ -120,3 +122,15 @@ def test_late_rows_are_counted(spark, overlapping, tmp_path):
     sf_dir, _, _ = overlapping
     log = ev.read_events(spark, f"{sf_dir}/event[s].parquet", streams.FILED).withColumn("ts", F.col("ts").cast("timestamp"))
     assert ev.run_once(ev.windowed(log, "1 day"), str(tmp_path / "out"), str(tmp_path / "checkpoint")) > 0
+
+
+def test_language_counts_are_never_cut(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60_000)), "ab"[i % 2]) for i in range(15)]
+    learned = [(t.encode(), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % langid.FOLDS != langid.HELD]
+    counts = {x: np.unique(langid.strings_of([t for t, lang in learned if lang == x])[0], return_counts=True) for x in "ab"}
+    assert sum(len(k) for k, _ in counts.values()) > 1 << 18
+    got, want = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")), langid.Trees.grow(counts)
+    assert got.langs == want.langs
+    for k in range(langid.ORDER + 1):
+        assert np.array_equal(got.strings[k], want.strings[k]) and np.allclose(got.bits[k], want.bits[k])
