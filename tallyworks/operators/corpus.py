@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words by which a page names assistance.
 ASSISTANCE = r"(?i)financial assistance|charity care|free care|discounted care|ability to pay"
 THIN_CHARS = 200
 MIN_QUOTE = 12
+#: Character runs that a task hands on at once.
+GRAMS = 1 << 16
 # Stop words by language, for a vote.
 STOP_WORDS = {
     "en": "the and of to is are for with you your will be this that by if may not from have".split(),
@@ -46,12 +52,31 @@ def refresh(old: DataFrame, new: DataFrame, url: str, sha: str) -> DataFrame:
     return a.join(b, "url", "full").select("url", outcome.alias("outcome"))
 
 
+def _grams(rows: DataFrame) -> DataFrame:
+    """(__d, __w) of the distinct runs of MIN_QUOTE characters of each text in (__d, __t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            grams: list[str] = []
+            for i, t in enumerate(batch.column(1)):
+                text = t.as_py() or ""
+                found = {text[k : k + MIN_QUOTE] for k in range(len(text) - MIN_QUOTE + 1)}
+                grams += found
+                at += [i] * len(found)
+                if len(grams) >= GRAMS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(grams, pa.string())], ["__d", "__w"])
+                    at, grams = [], []
+
+    return rows.select("__d", "__t").mapInArrow(run, T.StructType([rows.schema["__d"], T.StructField("__w", T.StringType())]))
+
+
 def phrases_found(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str) -> DataFrame:
     """(doc_id, phrase_id) where a document holds a phrase.
 
     Both sides meet on the phrase's rarest-looking word, its longest, so that the work grows with the words of the
-    corpus and not with documents times phrases; what meets is checked on the text. Phrases under MIN_QUOTE
-    characters or of fewer than three words are never found.
+    corpus and not with documents times phrases; what meets is checked on the text. Phrases without a word between
+    white space meet the texts on their first MIN_QUOTE characters; shorter phrases are never found.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     probe = phrases.where(F.length(phrase) >= MIN_QUOTE).select(F.col(phrase_id).alias("__p"), F.col(phrase).alias("__phrase"))
@@ -61,6 +86,9 @@ def phrases_found(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame, p
     probe = probe.withColumn("__w", longest["w"])
     rows = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t"))
     met = rows.select("__d", F.explode(words("__t")).alias("__w")).join(probe.select("__p", "__w"), "__w").select("__d", "__p").distinct()
+    wordless = probe.where(F.col("__w").isNull()).select("__p", F.substring("__phrase", 1, MIN_QUOTE).alias("__w"))
+    if not wordless.isEmpty():
+        met = met.unionByName(_grams(rows).join(wordless, "__w").select("__d", "__p").distinct())
     checked = met.join(rows, "__d").join(probe.select("__p", "__phrase"), "__p").where(F.expr("contains(__t, __phrase)"))
     return checked.select(F.col("__d").alias("doc_id"), F.col("__p").alias("phrase_id"))
 

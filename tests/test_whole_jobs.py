@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from same import assert_same, connect
 from tallyworks.llm import langid, pii
+from tallyworks.operators import corpus
 from tallyworks.plans import streams, texts
 from tallyworks.streaming import events as ev
 
@@ -134,3 +135,12 @@ def test_language_counts_are_never_cut(spark):
     assert got.langs == want.langs
     for k in range(langid.ORDER + 1):
         assert np.array_equal(got.strings[k], want.strings[k]) and np.allclose(got.bits[k], want.bits[k])
+
+
+def test_phrases_without_an_inner_word_are_found(spark):
+    phrases = [(1, "uncompensated care"), (2, "本院为低收入患者提供经济援助计划"), (3, "otorhinolaryngology"), (4, "short one"), (5, "the cost of care"), (6, "uncompensated cash"), (7, " uncompensated"), (8, None)]
+    texts = ["All uncompensated care, at the cost of care", "详情：本院为低收入患者提供经济援助计划。", "xotorhinolaryngologyx a short one", "uncompensatedcare", "", None, "an uncompensated\tcareer", "uncompensated careers " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = corpus.phrases_found(docs, "doc_id", "text", spark.createDataFrame(phrases, "item_id long, text string"), "item_id", "text")
+    want = sorted((d, p) for d, t in enumerate(texts) for p, q in phrases if t and q and len(q) >= 12 and q in t)
+    assert sorted(map(tuple, got.collect())) == want and {1, 2, 3, 5, 7} == {p for _, p in want}
