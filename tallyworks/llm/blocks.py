@@ -1,32 +1,40 @@
 """Pairwise work inside buckets, in pieces of bounded size.
 
-A bucket with more than BLOCK members is cut into blocks by a hash, and every pair of blocks becomes one row with at
-most about twice BLOCK members. So no bucket, however hot, meets in one task, no pair becomes a row, and every pair
-of the bucket is still looked at.
+The size of large buckets is estimated from every SAMPLE-th member by hash, with sums combined before the shuffle. A
+bucket of an estimate over BLOCK is cut into blocks by a hash of its members before they are brought together, and
+every pair of blocks becomes one row of about twice BLOCK members. So no hot bucket meets in one task, no pair becomes
+a row, and every pair of the bucket is still looked at; the estimate only decides how a bucket is cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyworks.llm.common import materialise
+
 BLOCK = 512
+SAMPLE = 16
+#: Largest table of hot buckets that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def block_pairs(members: DataFrame, bucket: list[str], node: str, block: int = BLOCK) -> DataFrame:
-    """(bucket, node) rows as (bucket, node, left, right): each member once for every pair of blocks it is in.
+    """(bucket, ..., node) rows with ``left``, ``right`` and ``side``: each member once for every pair of blocks it is in.
 
-    Buckets of one member are left out. A member's own block is ``left`` or ``right``; ``side`` says which (0 both,
-    1 left, 2 right).
+    A member's own block is ``left`` or ``right``; ``side`` says which (0 both, 1 left, 2 right). All columns stay.
     """
-    n = F.count("*").over(Window.partitionBy(*bucket))
-    kept = members.withColumn("__n", n).where("__n > 1")
-    kept = kept.withColumn("__parts", F.ceil(F.col("__n") / block).cast("int"))
+    drawn = members.where(F.pmod(F.xxhash64(node, F.lit(11)), F.lit(SAMPLE)) == 0)
+    parts = F.ceil(F.count("*") * SAMPLE / block).cast("int")
+    hot = materialise(drawn.groupBy(*bucket).agg(parts.alias("__parts")).where("__parts > 1"))
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    kept = members.join(hot, bucket, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
     kept = kept.withColumn("__own", F.pmod(F.xxhash64(node, F.lit(7)), F.col("__parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__other")
-    return kept.select(*bucket, node, "__own", other).select(
-        *bucket, node,
+    return kept.select(*members.columns, "__own", other).select(
+        *members.columns,
         F.least("__own", "__other").alias("left"), F.greatest("__own", "__other").alias("right"),
         F.when(F.col("__own") == F.col("__other"), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2).alias("side"),
     )

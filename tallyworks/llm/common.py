@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from tallyworks.store import materialise
 
-__all__ = ["connected_components", "crc_bucket", "forget", "labelled_sample", "materialise", "table", "with_arrow_column"]
+__all__ = ["connected_components", "crc_bucket", "forget", "join_skewed", "labelled_sample", "materialise", "table", "with_arrow_column"]
 
 #: A word, for every operator that counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most keys that a join sends to all tasks for their number of rows, and the most rows of a key that is never sent.
+HEAVY, LIGHT = 20_000, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,11 +96,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return docs.select("doc_id", "text").join(ids, "doc_id"), totals
 
 
+def join_skewed(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``per_key``, which has one row a key and says in column ``n`` how many rows it has.
+
+    Keys with over LIGHT rows and more than one in HEAVY of ``total`` are joined by broadcast, so that their rows stay
+    where they are; there are at most HEAVY of them, whatever the size of the input. All other keys are shuffled.
+    ``how`` is inner or left. ``per_key`` is read three times and ``rows`` twice.
+    """
+    bar = max(LIGHT, total // HEAVY)
+    hot = F.broadcast(per_key.where(F.col(n) > bar))
+    cold = per_key.where(F.col(n) <= bar)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph: (u, v) longs in, (node, component) out, component the least node.
 
-    Alternates large-star and small-star steps (each a grouped minimum and an equi-join) until nothing changes;
-    a hub's neighbours are never gathered in one place. Self-links and repeats are fine, nulls are dropped;
+    Alternates large-star and small-star steps (each a grouped minimum and an equi-join) until nothing changes. The
+    joins spread a hub's links over all tasks (``join_skewed``). Self-links and repeats are fine, nulls are dropped;
     nodes that appear only in self-links come back as their own component.
     """
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).where("node is not null").distinct()
@@ -107,16 +123,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
     while True:
         n, starts = edges.agg(F.count("*"), F.count_distinct("u")).first()
-        chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        chained = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         if n == starts and chained.isEmpty():  # every node has one parent, and every parent is a root
             break
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = materialise(small.union(low).distinct())
-        forget(edges)
+        least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = join_skewed(both, least, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct())
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_skewed(large, low, ["u"], "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        step = materialise(small.union(low.select("u", "m")).distinct())
+        for done in (edges, least, large, low):
+            forget(done)
         edges = step
     return nodes.join(edges.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component")

@@ -1,10 +1,15 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two 64-bit fingerprints within RADIUS = 3 bits differ in at most one bit, half the radius rounded down, in one of
-their two 32-bit halves. Every distinct fingerprint emits all variants of each half within that distance, 2 * 33
-rows; the rows are shuffled on (half, variant), and fingerprints that meet are verified on all 64 bits. (Balls
-around the whole fingerprint would have to reach two bits to meet at distance three: 2,081 rows each for the same
-links.) Copies share a fingerprint and are one node, so they cost nothing here.
+A ball is a fingerprint with all its variants within half the radius, rounded down to HALF = 1 bit. Fingerprints are
+cut into three blocks of 21, 21 and 22 bits. Of at most RADIUS = 3 different bits, some two blocks hold at most two
+(at worst each block holds one), so on the 42 or 43 bits of those two blocks the balls of two linked fingerprints
+meet in the middle. Every distinct fingerprint emits the balls of its three pairs of blocks, 131 rows; the rows are
+shuffled on (pair, variant), and fingerprints that meet are verified on all 64 bits. Copies share a fingerprint and
+are one node, so they cost nothing here.
+
+``links(..., whole=True)`` takes balls around all 64 bits instead. There distances of 1 and 3 only join fingerprints
+of opposite parity, so odd ones emit the ball of two bits (2,081 rows) and even ones that of one bit (65), and the
+links are the same; the README has its figures.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyworks.llm.blocks import block_pairs, roots
-from tallyworks.llm.common import connected_components, materialise
+from tallyworks.llm.common import connected_components, join_skewed, materialise
 
 RADIUS = 3
+#: Bits of the two lower blocks; the third has the rest.
+BITS = 21
 SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
@@ -69,20 +76,41 @@ def _verify(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) that span the near-duplicate components of the distinct fingerprints in column ``fp``."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    ball = F.concat(F.array(F.lit(0).cast("long")), flips)
-    other = F.lit(1 << 32)
-    variants = F.concat(
-        F.transform(ball, lambda m: low.bitwiseXOR(m)),
-        F.transform(ball, lambda m: high.bitwiseXOR(m).bitwiseOR(other)),
+def _flips(bits: int) -> Column:
+    """All masks of at most one of ``bits`` bits."""
+    one = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    return F.concat(F.array(F.lit(0).cast("long")), one)
+
+
+def block_balls(fp: str = "fp") -> Column:
+    """The variants of the three pairs of blocks, the pair's number above the variant's bits."""
+    low = (1 << BITS) - 1
+    x, high = F.col(fp), F.shiftrightunsigned(fp, 2 * BITS)
+    pairs = (
+        (x.bitwiseAND(F.lit((1 << 2 * BITS) - 1)), 2 * BITS),
+        (F.shiftrightunsigned(fp, BITS), 64 - BITS),
+        (x.bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(high, BITS)), 64 - BITS),
     )
-    met = block_pairs(fps.select("fp", F.explode(variants).alias("bucket")), ["bucket"], "fp")
-    groups = met.groupBy("bucket", "left", "right").agg(F.collect_list("fp").alias("members")).select("members")
-    return groups.mapInPandas(_verify, "u long, v long").distinct()
+
+    def ball(no: int, part: Column, bits: int) -> Column:
+        return F.transform(_flips(bits), lambda m: part.bitwiseXOR(m).bitwiseOR(F.lit(no << 60)))
+
+    return F.concat(*[ball(no, *pair) for no, pair in enumerate(pairs)])
+
+
+def whole_balls(fp: str = "fp") -> Column:
+    """The variants of a whole fingerprint: within two bits if it has an odd number of ones, else within one."""
+    one = F.transform(_flips(64), lambda m: F.col(fp).bitwiseXOR(m))
+    two = F.array_distinct(F.flatten(F.transform(_flips(64), lambda m: F.transform(_flips(64), lambda k: F.col(fp).bitwiseXOR(m).bitwiseXOR(k)))))
+    return F.when(F.bit_count(fp) % 2 == 1, two).otherwise(one)
+
+
+def links(fps: DataFrame, whole: bool = False) -> DataFrame:
+    """Links (u, v) that span the near-duplicate components of the distinct fingerprints in column ``fp``."""
+    balls = whole_balls() if whole else block_balls()
+    met = block_pairs(fps.select("fp", F.explode(balls).alias("bucket")), ["bucket"], "fp")
+    groups = met.groupBy("bucket", "left", "right").agg(F.collect_list("fp").alias("members"))
+    return groups.where("size(members) > 1").select("members").mapInPandas(_verify, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,13 +122,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     others but lend no id: their component is null only if no row of it has an id. Other columns are not read.
     """
     rows = materialise(docs.select("doc_id", fingerprint_of(text).alias("fp")))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+    total = rows.count()
     parts = connected_components(materialise(links(distinct.select("fp"))))
     grouped = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
-    least = grouped.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "part").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+    grouped = materialise(grouped.select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("part")))
+    least = materialise(grouped.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    named = materialise(join_skewed(grouped, least, ["part"], "n", total).select("fp", "component_id", "copies"))
+    return join_skewed(rows, named, ["fp"], "copies", total).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,6 +139,5 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", F.col(text).alias("text")))
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    left = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -1,9 +1,13 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by the ordered list of its NEAREST closest reference points. Vectors whose cosine reaches the
-threshold nearly agree on that order, so the inverted lists are keyed by SHARED of the listed pivots at once:
-vectors that share at least that many meet in such a list, and are then verified by their cosine in double
-precision. Lists are worked through in blocks of bounded size; exact copies are one node.
+A vector is described by its permutation: the KEPT reference points closest to it, nearest first. Vectors whose cosine
+reaches the threshold nearly agree on that order. The inverted lists are those of two pivots at once, a vector standing
+in the lists of all pairs of its FIRST nearest pivots; lists hold numbers and permutations alone. Within a list the
+pivots that two permutations share are counted, and only vectors with a partner that shares at least SHARED of the KEPT
+are sent there, to be verified by their cosine in double precision.
+
+Pivots grow with the cube root of the largest group, so that lists, of which there are as many as pairs of pivots,
+grow more slowly than the table. Long lists are worked through in blocks of bounded size; exact copies are one node.
 """
 
 from __future__ import annotations
@@ -17,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.llm.blocks import block_pairs, roots
-from tallyworks.llm.common import connected_components, materialise
+from tallyworks.llm.common import connected_components, join_skewed, materialise
 
 THRESHOLD = 0.98
-#: Pivots come from a bounded sample: the first SAMPLE distinct vectors by hash, of which PIVOTS that lie apart stay.
-SAMPLE = 4096
-PIVOTS = 128
+#: Pivots come from a bounded sample: the first SAMPLE distinct vectors by hash, of which those that lie apart stay,
+#: GROWTH times the cube root of the largest group's rows, within the bounds of PIVOTS.
+SAMPLE = 8192
+PIVOTS = (64, 4096)
+GROWTH = 16
 APART = 0.8
-NEAREST = 6
-SHARED = 3
+FIRST, KEPT, SHARED = 5, 10, 5
 
 
 def usable(vector: str) -> str:
@@ -36,63 +41,100 @@ def usable(vector: str) -> str:
     )
 
 
-def choose_pivots(sample: np.ndarray, pivots: int = PIVOTS, apart: float = APART) -> np.ndarray:
+def pivots_for(rows: int) -> int:
+    """How many pivots a table has whose largest group has so many rows."""
+    return int(min(PIVOTS[1], max(PIVOTS[0], round(GROWTH * rows ** (1 / 3)))))
+
+
+def choose_pivots(sample: np.ndarray, pivots: int, apart: float = APART) -> np.ndarray:
     """Unit vectors of the sample, in order, that have a cosine under ``apart`` with all chosen before."""
-    chosen = np.empty((0, sample.shape[1] if sample.ndim == 2 else 0))
-    for x in sample:
-        x = x / np.linalg.norm(x)
-        if len(chosen) == pivots:
+    x = units(sample)
+    chosen = np.empty((pivots, x.shape[1]))
+    n = 0
+    for v in x:
+        if n == pivots:
             break
-        if not len(chosen) or (chosen @ x).max() < apart:
-            chosen = np.vstack([chosen, x])
-    return chosen
+        if not n or (chosen[:n] @ v).max() < apart:
+            chosen[n] = v
+            n += 1
+    return chosen[:n]
 
 
-def units(vectors: pd.Series) -> np.ndarray:
+def units(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, float) for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of large components overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def permutations(nodes: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
-    """Add ``near``: the ids of each (node, dim, vector)'s nearest pivots, in ascending order of id."""
+def permutations(nodes: DataFrame, pivots: dict[int, np.ndarray], kept: int = KEPT) -> DataFrame:
+    """Add ``near``: the ids of each (dim, vector)'s nearest pivots, nearest first."""
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS[1] vectors a length
 
     @F.pandas_udf("array<int>")
     def near(dim: pd.Series, vector: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(dim), index=dim.index, dtype=object)
         for d, at in dim.groupby(dim).groups.items():
-            score = units(vector[at]) @ pivots[int(d)].T
-            order = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
-            out[at] = list(np.sort(order, axis=1).astype(np.int32))
+            score = units(vector[at]) @ shared.value[int(d)].T
+            most = min(kept, score.shape[1])
+            some = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            order = np.lexsort((some, -np.take_along_axis(score, some, 1)), axis=1)
+            out[at] = list(np.take_along_axis(some, order, 1).astype(np.int32))
         return out
 
     return nodes.withColumn("near", near("dim", "vector"))
 
 
-def _verifier(threshold: float, shared: int):
-    def verify(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def candidates(near: list, side: list, cell: tuple[int, int], first: int, shared: int) -> np.ndarray:
+    """Which pairs of a list are its own candidates, as a symmetric matrix.
+
+    A pair shares at least ``shared`` pivots, meets across the list's two blocks, and belongs to the list of the two
+    lowest of the pivots that are among the first of both, so that it is looked at in one list only.
+    """
+    n = len(near)
+    row = np.repeat(np.arange(n), [len(x) for x in near])
+    ids, column = np.unique(np.concatenate(near), return_inverse=True)
+    every = np.zeros((n, len(ids)), np.float32)
+    every[row, column] = 1
+    early = np.concatenate([np.arange(len(x)) < first for x in near])
+    low = early & (ids[column] < max(cell))
+    heads = np.zeros((n, len(ids)), np.float32)
+    heads[row[low], column[low]] = 1
+    side = np.asarray(side)
+    most = np.minimum.outer(every.sum(axis=1), every.sum(axis=1))
+    found = (every @ every.T >= np.minimum(shared, most)) & (heads @ heads.T == (cell[0] < cell[1]))
+    found &= (side[:, None] == 0) | (side[:, None] != side[None, :])
+    np.fill_diagonal(found, False)
+    return found
+
+
+def _finder(first: int, shared: int):
+    def find(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in groups:
             out = []
-            for cell, members in zip(batch["cell"], batch["members"], strict=True):
+            for label, dim, p, q, left, right, members in batch.itertuples(index=False):
+                own = candidates([m["near"] for m in members], [m["side"] for m in members], (p, q), first, shared).any(axis=1)
+                for i in np.flatnonzero(own):
+                    m = members[i]
+                    out.append((label, dim, p, q, left, right, m["node"], m["side"], m["near"]))
+            yield pd.DataFrame(out, columns=["label", "dim", "p", "q", "left", "right", "node", "side", "near"])
+
+    return find
+
+
+def _verifier(threshold: float, first: int, shared: int):
+    def verify(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in groups:
+            out = [pd.DataFrame({"node": [], "n": [], "root": []}, dtype=np.int64)]
+            for p, q, members in batch.itertuples(index=False):
                 node = np.array([m["node"] for m in members], np.int64)
                 copies = np.array([m["copies"] for m in members], np.int64)
-                side = np.array([m["side"] for m in members])
-                near = np.array([m["near"] for m in members])
-                x = units(pd.Series([m["vector"] for m in members]))
-                linked = x @ x.T >= threshold
-                np.fill_diagonal(linked, False)
+                x = units([m["vector"] for m in members])
+                linked = candidates([m["near"] for m in members], [m["side"] for m in members], (p, q), first, shared)
+                linked &= x @ x.T >= threshold
                 linked &= linked.T
-                i, j = np.nonzero(linked & ((side[:, None] == 0) | (side[:, None] != side[None, :])))
-                # a pair that meets in several lists counts in the one of its first common pivots
-                own = np.zeros(len(i), bool)
-                for at in range(0, len(i), 1 << 16):
-                    a, b = near[i[at : at + (1 << 16)]], near[j[at : at + (1 << 16)]]
-                    common = (a[:, :, None] == b[:, None, :]).any(axis=2)
-                    first = common & (common.cumsum(axis=1) <= shared)
-                    own[at : at + (1 << 16)] = (a[first].reshape(-1, len(cell)) == np.asarray(cell)).all(axis=1)
                 root = roots(linked)
-                n = np.bincount(i[own], weights=copies[j[own]], minlength=len(node)).astype(np.int64)
-                keep = (n > 0) | (root != np.arange(len(node)))
+                n = linked @ copies
+                keep = n > 0
                 out.append(pd.DataFrame({"node": node[keep], "n": n[keep], "root": node[root][keep]}))
             yield pd.concat(out)
 
@@ -101,50 +143,54 @@ def _verifier(threshold: float, shared: int):
 
 def near_duplicates(
     rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", group: str = "label",
-    threshold: float = THRESHOLD, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED,
+    threshold: float = THRESHOLD, pivots: int | None = None, first: int = FIRST, kept: int = KEPT, shared: int = SHARED,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows link if their groups are equal and not null, their vectors equally long and usable, and their cosine is at
     least ``threshold``. Vectors that are null, empty, zero or hold null or non-finite components, and rows of a null
-    group, link with nothing: 0 links, their own component, kept. Copies link with each other and each counts.
-    A component's id is its least vec_id; of rows that share that id each is kept. Other columns are not read.
+    group, link with nothing: 0 links, their own component, kept. Copies link with each other and each counts; a copy
+    is told by its length and two hashes, 128 bits. A component's id is its least vec_id; of rows that share that id
+    each is kept. Other columns are not read.
     """
     base = rows.select(F.col(vec_id).alias("vec_id"), F.col(group).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    base = base.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), F.size("vector"), "vector")})
     fit = base.where(f"label is not null and {usable('vector')}")
-    nodes = fit.groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "label", F.size("vector").alias("dim"), "vector", "first_id", "copies")
-    nodes = materialise(nodes)
+    copy = ["label", "h1", "h2"]
+    nodes = fit.groupBy(*copy).agg(F.first("vector").alias("vector"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), *copy, F.size("vector").alias("dim"), "vector", "first_id", "copies"))
 
+    largest = nodes.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n"))
     points: dict[int, np.ndarray] = {}
-    for dim in [r["dim"] for r in nodes.select("dim").distinct().collect()]:
-        sample = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).select("vector").toPandas()
-        points[dim] = choose_pivots(np.array(sample["vector"].tolist()), pivots)
-    described = materialise(permutations(nodes, points, nearest))
-
-    k = min([shared, *(min(len(p), nearest) for p in points.values())])
-    subsets = {}
-    for size in {min(len(p), nearest) for p in points.values()}:
-        subsets[size] = [F.array(*[F.col("near")[i] for i in c]) for c in combinations(range(size), k)]
-    cells = F.coalesce(*[F.when(F.size("near") == s, F.array(*c)) for s, c in subsets.items()]) if subsets else F.array("near")
-    lists = described.select("node", "label", "dim", F.explode(cells).alias("cell"))
-    met = block_pairs(lists, ["label", "dim", "cell"], "node")
-    held = met.join(described.select("node", "copies", "near", "vector"), "node")
-    groups = held.groupBy("label", "dim", "cell", "left", "right").agg(
-        F.collect_list(F.struct("node", "copies", "side", "near", "vector")).alias("members")
-    )
-    found = materialise(groups.select("cell", "members").mapInPandas(_verifier(threshold, k), "node long, n long, root long"))
+    for dim, n in largest.collect():  # one row for each length of vectors, which is a property of the model that made them
+        sample = nodes.where(F.col("dim") == dim).orderBy("h1", "h2", "node").limit(SAMPLE).select("vector").toPandas()
+        points[dim] = choose_pivots(sample["vector"], pivots or pivots_for(n))
+    described = materialise(permutations(nodes.select("node", "label", "dim", "vector"), points, kept).select("node", "label", "dim", "near"))
+
+    # the lists of pairs of first pivots; a table with a single pivot has one list
+    at = lambda i: F.get("near", F.lit(i))
+    pairs = F.array(*[F.struct(F.least(at(i), at(j)).alias("p"), F.greatest(at(i), at(j)).alias("q")) for i, j in combinations(range(first), 2)])
+    lists = described.select("node", "label", "dim", "near", F.explode(F.filter(pairs, lambda x: x["p"] < x["q"])).alias("c"))
+    alone = described.where("size(near) < 2").select("node", "label", "dim", "near", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    lists = lists.select("node", "label", "dim", "near", "c.p", "c.q").union(alone)
+    cell = ["label", "dim", "p", "q"]
+    block = [*cell, "left", "right"]
+    met = block_pairs(lists, cell, "node").groupBy(*block).agg(F.collect_list(F.struct("node", "side", "near")).alias("members"))
+    shape = ", ".join(f"{c} {t}" for c, t in met.drop("members").dtypes) + ", node long, side int, near array<int>"
+    wanted = materialise(met.where("size(members) > 1").select(*block, "members").mapInPandas(_finder(first, shared), shape))
+    held = wanted.join(nodes.select("node", "copies", "vector"), "node")
+    groups = held.groupBy(*block).agg(F.collect_list(F.struct("node", "copies", "side", "near", "vector")).alias("members"))
+    found = materialise(groups.select("p", "q", "members").mapInPandas(_verifier(threshold, first, shared), "node long, n long, root long"))
 
     parts = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    named = described.select("node", "label", "vector", "first_id", "copies").join(counts, "node", "left").join(parts, "node", "left")
-    named = named.withColumn("part", F.coalesce("component", "node"))
-    least = named.groupBy("part").agg(F.min("first_id").alias("least_id"))
-    named = named.join(least, "part").select(
-        F.col("label").alias("__label"), F.col("vector").alias("__vector"), "least_id",
-        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"),
-    )
-    out = base.join(named, (F.col("label") == F.col("__label")) & (F.col("vector") == F.col("__vector")), "left")
+    named = nodes.drop("vector", "dim").join(counts, "node", "left").join(parts, "node", "left")
+    named = materialise(named.withColumn("part", F.coalesce("component", "node")).drop("component"))
+    total = rows.count()
+    least = materialise(named.groupBy("part").agg(F.min("first_id").alias("least_id"), F.count("*").alias("size")))
+    links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")
+    named = materialise(join_skewed(named, least, ["part"], "size", total).select(*copy, "least_id", "copies", links))
+    out = join_skewed(base.drop("vector"), named, copy, "copies", total, "left")
     component = F.coalesce("least_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

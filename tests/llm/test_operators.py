@@ -17,7 +17,7 @@ import xxhash
 
 import corpus_pipeline
 from same import assert_same, connect
-from tallyworks.llm import media, pieces, pii, queries, secrets, simhash
+from tallyworks.llm import media, pieces, pii, queries, secrets
 from tallyworks.llm.common import table
 
 Q, SQL = queries.queries(), queries.oracle_sql()
@@ -62,13 +62,6 @@ def test_simhash_equals_brute_force(spark, sf_dir, texts):
     assert got == {d: (f"{f:016x}", least[d]) for d, f in fps.items()}
 
 
-def test_simhash_links_at_three_bits(spark):
-    fps = [(0,), (0b111,), (1 << 63 | 1 << 31 | 1,), (0xF0,), (-1,)]
-    signed = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f,) for (f,) in fps], "fp long")
-    got = least_reachable([f[0] for f in signed.collect()], [(r["u"], r["v"]) for r in simhash.links(signed).collect()])
-    assert len(set(got.values())) == 3  # 0xF0 is four bits from zero, all ones far away
-
-
 def test_vectors_equal_brute_force(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").collect()
     by_label: dict = {}
@@ -84,9 +77,8 @@ def test_vectors_equal_brute_force(spark, sf_dir):
     least = least_reachable([r["vec_id"] for r in rows], links)
     n = Counter(itertools.chain(*links))
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in Q["op10_vector_duplicates"](spark, sf_dir).collect()}
-    true_links = sum(n.values())
-    assert sum(g[0] for g in got.values()) >= 0.9 * true_links and all(got[v][0] <= n[v] for v in got)
-    assert sum(got[v][1] == least[v] for v in got) >= 0.95 * len(got)
+    # the given table holds no links; planted ones are in test_near.py
+    assert {v: g[:2] for v, g in got.items()} == {v: (n[v], least[v]) for v in got}
     assert all(g[2] == (v == g[1]) for v, g in got.items())
 
 
