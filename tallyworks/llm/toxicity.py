@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons mined from labelled documents (groups of word parts that turn up together, in
-so many different words at least), a general lexicon of insults, patterns, and the given label, which is one more
-voter of fixed accuracy. None is trusted. A generative model of their votes estimates by EM how often each votes on
-toxic and on clean texts, and how their votes correlate beyond that, so that voters who repeat each other count as
-fewer. A linear classifier is then trained on the posterior labels of the model and scores every whole text.
+Many voters look at a text: lexicons (each a group of word parts that turn up together, in so many different words at
+least), a general lexicon of insults, and patterns. Given labels only choose which lexicons may vote. A generative
+model learns from the votes alone, by EM, how many texts are toxic, how often each voter votes on toxic and on clean
+ones, and how each two voters correlate within a class: toxic texts come in kinds (languages, say) that make voters
+vote together or never, and voters who repeat each other beyond that count as fewer. A linear classifier is trained
+on the posterior labels of that model, never on the given ones, and scores every whole text.
 """
 
 from __future__ import annotations
@@ -30,13 +31,17 @@ CUT = 0.7
 #: LEVELS of how many different words of the text have it.
 PART, HEADS, WHOLE = 5, (4, 5, 6), 16
 LEVELS = (1, 2, 3, 5)
-GRAMS, VOTERS = 768, 64
-#: How often a given label is right.
-TRUST = 0.97
+#: Size of the model: the strongest units that it knows.
+GRAMS = 768
+#: Belief in a text being toxic before anything is known of its voters, by how many of them vote.
+FIRST_BELIEF = (0.02, 0.5, 0.95)
+#: Correlation over all texts from which two voters vote for the same kind of toxic texts.
+TOGETHER = 0.15
 #: A gram's surprise that is a vote of its own.
 ODD = 8.0
-LEAST = 4
-RIDGE = 1e-2
+#: A unit is known if in so many toxic texts of the sample, in so many times the clean texts' share; it votes from TRUSTED.
+LEAST, KNOWN, TRUSTED = 4, 20, 100
+RIDGE = 10.0
 
 #: General insults, whole words.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "fool", "jerk")
@@ -125,31 +130,82 @@ def patterns(text: str | None) -> list[int]:
     return [int(any(f" {w} " in words for w in INSULTS)), *[int(p.search(text or "") is not None) for p in PATTERNS]]
 
 
-def label_model(votes: np.ndarray, prior: float, given: np.ndarray, trust: float = TRUST, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """EM over binary votes: (posterior, accuracies on toxic, on clean, weights for correlated voters).
+@dataclass(frozen=True)
+class LabelModel:
+    """What the votes say: belief in each text, rates of votes on toxic and clean texts, correlations of voters."""
+
+    posterior: np.ndarray
+    prior: float
+    on: np.ndarray
+    off: np.ndarray
+    correlation: np.ndarray
+    weight: np.ndarray
+
+
+def correlations(rest: np.ndarray) -> np.ndarray:
+    cov = rest.T @ rest / max(1, len(rest))
+    sd = np.sqrt(np.diag(cov)) + 1e-9
+    corr = cov / np.outer(sd, sd)
+    np.fill_diagonal(corr, 0)
+    return corr
 
-    Starts from the given labels (0 or 1), which vote with the accuracy ``trust``. A voter's weight is 1 over 1 plus
-    its positive correlations with the others within the classes.
+
+def kinds_of(votes: np.ndarray, together: float = TOGETHER) -> np.ndarray:
+    """Groups of voters that vote on the same texts, by average linkage of their correlations over all texts.
+
+    Voters that stay alone tell no kind and have -1, unless all do, who are then one group.
+    """
+    m = votes.shape[1]
+    like = correlations(votes - votes.mean(axis=0))
+    np.fill_diagonal(like, -np.inf)
+    label, size = np.arange(m), np.ones(m)
+    while m > 1:
+        a, b = divmod(int(like.argmax()), m)
+        if like[a, b] < together:
+            break
+        like[a] = like[:, a] = (size[a] * like[a] + size[b] * like[b]) / (size[a] + size[b])
+        like[a, a] = -np.inf
+        like[b] = like[:, b] = -np.inf
+        size[a] += size[b]
+        label[label == b] = a
+    alone = np.bincount(label, minlength=m)[label] == 1
+    if alone.all():
+        return np.zeros(m, int)
+    out = np.full(m, -1)
+    out[~alone] = np.unique(label[~alone], return_inverse=True)[1]
+    return out
+
+
+def label_model(votes: np.ndarray, rounds: int = 100) -> LabelModel:
+    """EM over binary votes (texts in rows, voters in columns), without any label.
+
+    A text is clean or toxic of one of ``kinds_of`` kinds. The start tells them apart: a text is believed to be of the
+    kind whose voters vote on it, the more the surer. ``correlation`` is what clean and toxic leave unexplained of
+    each two voters. What the kinds leave unexplained, too, are repeats: a voter's weight is 1 over 1 plus that.
     """
     n, m = votes.shape
-    told = np.where(given == 1, 1, -1) * np.log(trust / (1 - trust))
-    post = np.where(given == 1, trust, 1 - trust)
-    weight = np.ones(m)
+    kind = kinds_of(votes)
+    by_kind = votes @ (kind[:, None] == np.arange(kind.max() + 1))
+    belief = np.array(FIRST_BELIEF)[np.minimum(by_kind.max(axis=1).astype(int), len(FIRST_BELIEF) - 1)]
+    member = np.zeros((n, by_kind.shape[1] + 1))  # clean, then each kind
+    member[:, 0] = 1 - belief
+    member[np.arange(n), by_kind.argmax(axis=1) + 1] = belief
     for _ in range(rounds):
-        on = (votes.T @ post + 1) / (post.sum() + 2)
-        off = (votes.T @ (1 - post) + 0.05) / ((1 - post).sum() + 2)
-        rest = votes - post[:, None] * on - (1 - post)[:, None] * off
-        cov = rest.T @ rest / n
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        corr = np.maximum(cov / np.outer(sd, sd), 0)
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + corr.sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + told + votes @ (weight * np.log(on / off)) + (1 - votes) @ (weight * np.log((1 - on) / (1 - off)))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            return new, on, off, weight
-        post = new
-    return post, on, off, weight
+        size = member.sum(axis=0)
+        rate = (member.T @ votes + np.where(np.arange(len(size)) == 0, 0.05, 0.5)[:, None] * votes.mean(axis=0)) / (size + 1)[:, None]
+        rate = np.clip(rate, 1e-6, 1 - 1e-6)
+        weight = 1 / (1 + np.maximum(correlations(votes - member @ rate), 0).sum(axis=1))
+        odds = np.log(size / n + 1e-9) + (votes * weight) @ np.log(rate).T + ((1 - votes) * weight) @ np.log(1 - rate).T
+        new = np.exp(odds - odds.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        done = np.abs(new - member).max() < 1e-6
+        member = new
+        if done:
+            break
+    post = 1 - member[:, 0]
+    on, off = post @ votes / max(post.sum(), 1e-9), (1 - post) @ votes / max((1 - post).sum(), 1e-9)
+    corr = correlations(votes - post[:, None] * on - (1 - post)[:, None] * off)
+    return LabelModel(post, float(post.mean()), on, off, corr, weight)
 
 
 def linear(x: np.ndarray, target: np.ndarray, mass: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
@@ -170,21 +226,22 @@ def linear(x: np.ndarray, target: np.ndarray, mass: np.ndarray, ridge: float = R
     return w[:-1], float(w[-1])
 
 
-def group_voters(on_doc: np.ndarray, voters: int = VOTERS) -> np.ndarray:
-    """The voter of each unit, best first: that of an earlier unit it turns up with half the time, else a new one.
+def group_voters(on_doc: np.ndarray, may_vote: np.ndarray) -> np.ndarray:
+    """The voter of each unit, best first: that of the earlier unit it turns up with at least half the time, else a new one.
 
-    ``on_doc`` tells in which documents each unit turns up. Units left over when all voters exist share the last.
+    Units that may not vote have -1; they are inputs of the classifier only.
     """
-    of = np.zeros(on_doc.shape[1], int)
-    heads: list[np.ndarray] = []
-    for k in range(on_doc.shape[1]):
-        col = on_doc[:, k]
-        same = [(col & h).sum() / max(1, (col | h).sum()) for h in heads]
-        if same and max(same) >= 0.5 or len(heads) == voters:
+    of = np.full(on_doc.shape[1], -1)
+    heads = np.zeros((len(on_doc), 0), np.float32)
+    for k in np.flatnonzero(may_vote):
+        col = on_doc[:, k].astype(np.float32)
+        both = col @ heads
+        same = both / np.maximum(1, col.sum() + heads.sum(axis=0) - both)
+        if len(same) and same.max() >= 0.5:
             of[k] = int(np.argmax(same))
         else:
-            of[k] = len(heads)
-            heads.append(col)
+            of[k] = heads.shape[1]
+            heads = np.column_stack([heads, col])
     return of
 
 
@@ -227,8 +284,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HE
     counts = counts.groupBy("gram", "level").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = lambda c, k: (F.col(c) + 0.1) / (n_of[k] + 0.2)
     strength = F.col("toxic") / n_of[1] * F.log(share("toxic", 1) / share("clean", 0))
-    telling = counts.where((F.col("toxic") >= LEAST) & (share("toxic", 1) > 20 * share("clean", 0)))
-    found = tuple((r["gram"], r["level"]) for r in telling.orderBy(strength.desc(), "gram", "level").limit(GRAMS).collect())
+    ratio = share("toxic", 1) / share("clean", 0)
+    telling = counts.where((F.col("toxic") >= LEAST) & (ratio > KNOWN)).withColumn("votes", ratio > TRUSTED)
+    best = telling.orderBy(strength.desc(), "gram", "level").limit(GRAMS).collect()
+    found = tuple((r["gram"], r["level"]) for r in best)
     machine = Model(found, (), {}, np.zeros(0), 0.0)
     names = sorted({g for g, _ in found})
     place = {g: k for k, g in enumerate(names)}
@@ -255,11 +314,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HE
     for i, (h, g, n, w) in enumerate(zip(rows["hits"], rows["gram"], rows["count"], rows["words"], strict=True)):
         on_doc[i, np.asarray(h, int)] = True
         odd[i] = surprise({names[k]: c for k, c in zip(g, n, strict=True)}, w, rates)
-    voter = group_voters(on_doc)
+    voter = group_voters(on_doc, np.array([r["votes"] for r in best], bool))
     votes, x = inputs(on_doc, np.array(rows["fixed"].tolist()), voter, odd, rows["words"].to_numpy(float))
-    prior = float(np.clip(rows["y"].mean(), 0.01, 0.99))
-    posterior, *_ = label_model(votes, prior, rows["y"].to_numpy())
-    # each class back to its share among all labelled documents
+    posterior = label_model(votes).posterior
+    # the sample holds at most so many rows of a class: each back to its share among all labelled documents
     every = sum(totals.values())
     mass = np.where(rows["y"] == 1, totals[1] / every / n_of[1], totals[0] / every / n_of[0])
     weights, bias = linear(x, posterior, mass)
