@@ -12,12 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import materialise
+from tallyworks.llm.common import materialise, small
 
 BLOCK = 512
 SAMPLE = 16
-#: Largest table of hot buckets that is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def block_pairs(members: DataFrame, bucket: list[str], node: str, block: int = BLOCK) -> DataFrame:
@@ -28,9 +26,7 @@ def block_pairs(members: DataFrame, bucket: list[str], node: str, block: int = B
     drawn = members.where(F.pmod(F.xxhash64(node, F.lit(11)), F.lit(SAMPLE)) == 0)
     parts = F.ceil(F.count("*") * SAMPLE / block).cast("int")
     hot = materialise(drawn.groupBy(*bucket).agg(parts.alias("__parts")).where("__parts > 1"))
-    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    kept = members.join(hot, bucket, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    kept = members.join(small(hot), bucket, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
     kept = kept.withColumn("__own", F.pmod(F.xxhash64(node, F.lit(7)), F.col("__parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__other")
     return kept.select(*members.columns, "__own", other).select(

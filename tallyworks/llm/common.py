@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tallyworks.store import materialise
 
-__all__ = ["connected_components", "crc_bucket", "forget", "join_skewed", "labelled_sample", "materialise", "table", "with_arrow_column"]
+__all__ = ["connected_components", "crc_bucket", "forget", "join_skewed", "labelled_sample", "materialise", "row_key", "small", "table", "with_arrow_column"]
 
 #: A word, for every operator that counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,6 +96,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return docs.select("doc_id", "text").join(ids, "doc_id"), totals
 
 
+def row_key(*columns: str | Column) -> Column:
+    """128 bits that tell rows apart by the given columns, nulls included."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    # concat_ws leaves nulls out: the part of a null is empty, that of an empty text "0:"
+    told = [F.concat_ws(":", F.length(c.cast("string")), c.cast("string")) for c in cols]
+    return F.unhex(F.md5(F.concat_ws("|", *told)))
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A frame marked for broadcast if it has at most so many rows, else as it is. Counts that far."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def join_skewed(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``per_key``, which has one row a key and says in column ``n`` how many rows it has.
 

@@ -1,7 +1,7 @@
 """Media columns: WAV bytes, short-time Fourier transforms and spectral-peak pair fingerprints.
 
-A text's UTF-8 bytes, padded with spaces, become the 8-bit samples of a mono WAV file, which is lossless; the
-fingerprint is taken from the samples that the ``wave`` module reads back. Rows are independent, so this is one
+A text's UTF-8 bytes, padded with spaces, become the 8-bit samples of a mono WAV file in a binary column, which is
+lossless; the fingerprint is taken from the samples that the ``wave`` module reads back from that column. Rows are independent, so this is one
 narrow, Arrow-batched projection without a shuffle; a frame's spectrum is small and long files go in blocks of
 frames, so memory doesn't grow with a file's length beyond the file itself.
 """
@@ -14,9 +14,12 @@ import wave
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tallyworks.llm.common import with_arrow_column
 
 PAD = 192
 RATE = 8000
@@ -26,8 +29,8 @@ REACH = 3
 BLOCK = 4096
 
 SCHEMA = (
-    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, peak_times array<int>, peak_hashes array<int>, feature string, media binary"
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+    "media_sha256 string, peak_times array<int>, peak_hashes array<int>, feature string"
 )
 
 
@@ -88,31 +91,40 @@ def peak_pairs(times: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[order], code[order]
 
 
-def describe(text: str | None, keep_media: bool) -> tuple:
-    raw = len((text or "").encode("utf-8", "surrogatepass"))
-    media = to_wav(padded(text))
+def describe(media: bytes) -> tuple:
+    """The fields of SCHEMA, all read from the file."""
     payload = from_wav(media)
     at, code = peak_pairs(*spectral_peaks(np.frombuffer(payload, np.uint8)))
     feature = hashlib.md5(at.astype("<i4").tobytes() + code.astype("<i4").tobytes()).hexdigest()
     return (
-        raw, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
         hashlib.sha256(media).hexdigest(), at.astype(np.int32), code.astype(np.int32), f"{len(at)}:{feature}",
-        media if keep_media else None,
     )
 
 
-def with_media(df: DataFrame, text: str = "text", out: str = "media", keep_media: bool = True) -> DataFrame:
-    """Add a struct column ``out`` with the stored WAV file and its time-coded fingerprint.
+def with_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
+    """Add a binary column ``out`` with the text as a WAV file. A null text counts as empty: one frame of spaces.
+
+    A column already called ``out`` is replaced, all others stay.
+    """
+
+    def work():
+        return lambda texts: pa.array([to_wav(padded(t)) for t in texts], pa.binary())
+
+    return with_arrow_column(df, text, out, T.BinaryType(), work)
+
+
+def with_fingerprint(df: DataFrame, media: str = "media", out: str = "fingerprint") -> DataFrame:
+    """Add a struct ``out`` of what a column of WAV files holds; a null file gives null, one that can't be read an error.
 
-    Fields: n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, peak_times and
-    peak_hashes (parallel arrays in time order), feature (their count and md5), media (the file; null unless
-    ``keep_media``). A null text counts as empty: one frame of spaces. Equal texts give equal values; rows and
-    other columns stay as they are, but for a column already called ``out``, which is replaced.
+    Fields: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, peak_times and peak_hashes (parallel
+    arrays in time order), feature (their count and md5). Equal files give equal values. A column already called
+    ``out`` is replaced, all others stay.
     """
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    shape = T._parse_datatype_string(SCHEMA)
 
-    @F.pandas_udf(SCHEMA)
-    def media(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([describe(t, keep_media) for t in texts], columns=names)
+    def work():
+        kind = to_arrow_type(shape)
+        return lambda files: pa.array([None if f is None else dict(zip(shape.names, describe(f), strict=True)) for f in files], kind)
 
-    return df.withColumn(out, media(F.col(text)))
+    return with_arrow_column(df, media, out, shape, work, rows=200)

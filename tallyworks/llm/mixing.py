@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import WORD, materialise
+from tallyworks.llm.common import WORD, materialise, row_key
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -30,10 +30,6 @@ def size_of(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def row_key(text: str) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col(text))
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Per source of (source, size): docs, source_size, weight, target.
 
@@ -82,7 +78,7 @@ def _running(df: DataFrame, keys: list[str], value: str, order: list, part: str,
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str, DataFrame]:
     """Mix all documents of (doc_id, source, text) to the targets of ``source_targets``.
 
-    Returns ``documents`` (doc_id, row_key: a hash of id, source and text, source, size, source_size, target, taken:
+    Returns ``documents`` (doc_id, row_key: 128 bits of id, source and text, source, size, source_size, target, taken:
     words the mix takes, repeats counted),
     ``schedule`` (slot, source_no, block, epoch, words: what the slot takes of the block) and ``pieces`` (source_no,
     block, doc_id, lo, words: which part of which document a block holds). Every source's taken words are its target
@@ -92,7 +88,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     documents of their own, in an order fixed by a hash of the id and the size, so reruns agree. An empty table
     gives empty tables.
     """
-    rows = materialise(docs.select("doc_id", row_key(text).alias("row_key"), "source", size_of(text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")))
+    rows = materialise(docs.select("doc_id", row_key("doc_id", "source", text).alias("row_key"), "source", size_of(text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")))
     targets = source_targets(rows, weights, most)
     total = F.sum("source_size").over(Window.partitionBy())
     step = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.ceil(total / SLOTS))).cast("long")
@@ -174,5 +170,5 @@ def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     taken = mix(docs, text)["documents"].where("taken > 0").groupBy("row_key")
     copies = taken.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).where("__copies > 0")
-    rows = docs.withColumn("__key", row_key(text)).join(copies.withColumnRenamed("row_key", "__key"), "__key")
+    rows = docs.withColumn("__key", row_key("doc_id", "source", text)).join(copies.withColumnRenamed("row_key", "__key"), "__key")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

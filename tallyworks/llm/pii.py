@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyworks.llm.common import materialise, with_arrow_column
+from tallyworks.llm.common import join_skewed, materialise, row_key, small, with_arrow_column
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.9
 SUPPORT = 3
-#: Largest table of entities, terms or pairs that is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
 #: Terms that a task holds counts of before it hands them on.
 HELD_TERMS = 1 << 18
 
@@ -37,7 +35,9 @@ AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{2,64}")
+#: What every text with personal data has, and few others; a filter that needs no Python.
+MAYBE = r"@[A-Za-z0-9-]+\.|[0-9](?:\.[0-9]+){3}|\+[0-9]|[0-9](?:[\x20-]?[0-9]){12}"
+TERM = re.compile(r"[^\W\d_]{2,}")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
@@ -127,11 +127,6 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text)).mapInArrow(run, "term string, n long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A frame marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """((entity, term, disclosure), (doc_key, entity, term)): the terms that disclose at least ``alpha`` of an entity's
     information, and where both are in a document.
@@ -147,7 +142,8 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str, alpha: floa
     mentions = scanned.select("doc_key", F.explode("entities").alias("entity"))
     # no pair is in more documents than its entity
     of_entity = materialise(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
-    shared = mentions.join(_small(of_entity.select("entity")), "entity").groupBy("doc_key").agg(F.collect_set("entity").alias("entities"))
+    asked = of_entity.agg(F.sum("n_entity")).first()[0] or 0
+    shared = join_skewed(mentions, of_entity, ["entity"], "n_entity", asked).groupBy("doc_key").agg(F.collect_set("entity").alias("entities"))
 
     def work():
         return lambda texts: pa.array([sorted({x for x, *_ in terms_outside(t, base_spans(t))}) for t in texts], pa.list_(pa.string()))
@@ -156,36 +152,42 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str, alpha: floa
     held = materialise(held.select("doc_key", "entities", "terms"))
 
     def pairs(terms: DataFrame) -> DataFrame:
-        met = held.select("doc_key", "entities", F.explode("terms").alias("term")).join(_small(terms.select("term")), "term", "left_semi")
+        """(doc_key, entity, term) of the given (term, n_near)."""
+        met = held.select("doc_key", "entities", F.explode("terms").alias("term"))
+        met = join_skewed(met, terms.select("term", "n_near"), ["term"], "n_near", every)
         return met.select("doc_key", F.explode("entities").alias("entity"), "term")
 
     wanted = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     wanted = materialise(wanted.where(F.col("n_near") >= support))
-    seen = term_counts(docs, text).join(_small(wanted.select("term")), "term", "left_semi")
+    every = wanted.agg(F.sum("n_near")).first()[0] or 0
+    seen = term_counts(docs, text).join(small(wanted.select("term")), "term", "left_semi")
     of_term = seen.groupBy("term").agg(F.sum("n").alias("n_term"))
     # n_both is at most n_near and n_entity, so a share of alpha needs n_term <= n_near^alpha * n^(1 - alpha)
     reaches = F.log("n_term") <= alpha * F.log("n_near") + (1 - alpha) * F.log(n) + 1e-9
-    kept = materialise(wanted.join(of_term, "term").where(reaches).select("term", "n_term"))
+    kept = materialise(wanted.join(of_term, "term").where(reaches).select("term", "n_near", "n_term"))
 
     pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) / p)
     # an entity of every document has no information to disclose
     share = F.when(F.col("n_entity") < n, pmi / -F.log(p)).otherwise(0.0)
     joint = pairs(kept).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    scored = joint.join(of_entity, "entity").join(kept, "term").select("entity", "term", share.alias("disclosure"))
+    scored = joint.join(of_entity, "entity").join(kept, "term").select("entity", "term", "n_both", share.alias("disclosure"))
     found = materialise(scored.where(F.col("disclosure") >= alpha))
-    return found, pairs(found.select("term").distinct()).join(_small(found.select("entity", "term")), ["entity", "term"], "left_semi")
+    telling = materialise(kept.join(found.select("term").distinct(), "term", "left_semi"))
+    hits = found.agg(F.sum("n_both")).first()[0] or 0
+    where = join_skewed(pairs(telling), found.select("entity", "term", "n_both"), ["entity", "term"], "n_both", hits)
+    return found.drop("n_both"), where.select("doc_key", "entity", "term")
 
 
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(doc_key, doc_id, pii, terms) of the rows with personal data; ``terms`` are spans of kind ``term``.
 
-    ``doc_key`` is a hash of id and text, so repeated rows share one entry. Null and empty texts, and an empty
+    ``doc_key`` is ``row_key`` of id and text, so repeated rows share one entry. Null and empty texts, and an empty
     table, have no personal data. Rows with a null id are told apart by their texts. A term that discloses several
     entities is reported once at each place.
     """
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(key.alias("doc_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    scanned = materialise(scan(rows, "__text").where("size(pii) > 0").dropDuplicates(["doc_key"]))
+    rows = docs.select(row_key(doc_id, text).alias("doc_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    maybe = rows.where(F.col("__text").rlike(MAYBE))
+    scanned = materialise(scan(maybe, "__text").where("size(pii) > 0").dropDuplicates(["doc_key"]))
     _, where = disclosing_terms(scanned, rows, "__text", alpha, support)
     hidden = where.groupBy("doc_key").agg(F.collect_set("term").alias("__hide"))
 
@@ -204,7 +206,7 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", alpha:
 
 def digest(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of each kind, the hash of the base spans and all spans as text, for every row of ``docs``."""
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
+    key = row_key(doc_id, text)
     show = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     none = F.array().cast(T.ArrayType(SPAN))
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("doc_key")).join(found.drop("doc_id"), "doc_key", "left")
@@ -222,7 +224,6 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settin
     kind of the first.
     """
     found = sanitise(docs, text, doc_id, **settings).select(F.col("doc_key").alias("__key"), F.concat("pii", "terms").alias("__spans"))
-    key = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
 
     @F.pandas_udf(T.StringType())
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -239,7 +240,8 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settin
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, index=texts.index, dtype=object)
 
-    joined = docs.withColumn("__key", key).join(found, "__key", "left")
-    hidden = joined.where(F.col("__spans").isNotNull()).withColumn(text, cover(text, "__spans"))
-    clean = joined.where(F.col("__spans").isNull())
-    return hidden.unionByName(clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # texts that can't have any stay where they are
+    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
+    hidden = docs.where(maybe).withColumn("__key", row_key(doc_id, text)).join(found, "__key", "left").withColumn(text, cover(text, "__spans"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return hidden.select(*names).unionByName(docs.where(~maybe).select(*names))

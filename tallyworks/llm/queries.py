@@ -81,11 +81,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a WAV file, read back, with its fingerprint's digest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = media.with_media(docs, out="media", keep_media=False)
-    wanted = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return out.select("doc_id", *[F.col("media")[c].alias(c) for c in wanted])
+    """Every document as a WAV file, read back, with its time-coded fingerprint and the fingerprint's digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    out = media.with_fingerprint(media.with_media(docs))
+    wanted = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "peak_times", "peak_hashes")
+    return out.select("doc_id", "n_bytes", *[F.col("fingerprint")[c].alias(c) for c in wanted])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Secret scans over a trigram inverted index, with DataFrame functions only.
 
-Each rule's regular expression is turned into a Boolean query over the trigrams that any match must hold. The
-index holds the postings (trigram, document) of the trigrams that some rule asks for, intersecting them gives each
-rule's candidate documents, and only those run the rule's expression. Rules without a mandatory trigram scan every
-document.
+Each rule's regular expression is turned into a Boolean query over the trigrams that any match must hold: alternatives
+that each ask for up to ASKED trigrams. One pass cuts every text into trigrams and keeps the postings (trigram,
+document) of those that some rule asks for; an alternative's postings are intersected by counting them, which gives
+the candidates (document, rules), and only those run the rule's expression. Rules without a mandatory trigram scan
+every document where it lies. Texts are not shuffled where the candidates are few enough to be broadcast.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as c
 import re._parser as parser
 from dataclasses import dataclass
@@ -16,6 +18,8 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyworks.llm.common import materialise, row_key, small
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,6 +50,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 MOST_STRINGS = 64
+#: Most trigrams that an alternative of a query asks for.
+ASKED = 6
 
 
 def _strings(node) -> set[str] | None:
@@ -116,23 +122,34 @@ def trigram_query(regex: str) -> frozenset[frozenset[str]]:
     return frozenset(x for x in alternatives if not any(y < x for y in alternatives))
 
 
-def postings(docs: DataFrame, key: list[str], text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """The inverted index (trigram, key) of the trigrams that some rule's query holds."""
-    wanted = sorted({t for r in rules for a in r.query for t in a})
-    low = docs.select(*key, F.lower(text).alias("__low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in wanted]))
-    return low.select(*key, F.explode(held).alias("trigram"))
+def asked_of(query: frozenset[frozenset[str]]) -> list[list[str]]:
+    """At most ASKED trigrams of each alternative, those with the fewest letters first: prose has them least."""
+    return [sorted(a, key=lambda t: (sum(map(str.isalpha, t)), t))[:ASKED] for a in sorted(query, key=sorted)]
+
+
+def _one_of(trigrams: list[str]) -> str:
+    """An expression that finds the given trigrams at every place, overlaps included, in one pass over a text."""
+    heads: dict[str, list[str]] = {}
+    for t in trigrams:
+        heads.setdefault(t[0], []).append(t[1:])
+    each = "|".join(f"{re.escape(h)}(?:{'|'.join(map(re.escape, tails))})" for h, tails in heads.items())
+    return f"(?=({each}))"
+
+
+def postings(rows: DataFrame, key: str, text: str, rules: list[Rule]) -> DataFrame:
+    """The inverted index (trigram, key) of the trigrams that some rule's query asks for."""
+    wanted = sorted({t for r in rules for a in asked_of(r.query) for t in a})
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_one_of(wanted)), F.lit(1)))
+    return rows.select(key, F.explode(found).alias("trigram"))
 
 
-def candidates(index: DataFrame, key: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, rules): the selective rules whose trigram query a document's postings meet."""
-    held = index.groupBy(*key).agg(F.collect_set("trigram").alias("held"))
-    meets = []
-    for r in rules:
-        if frozenset() not in r.query:
-            every = [F.forall(F.array(*map(F.lit, sorted(a))), lambda t: F.array_contains("held", t)) for a in sorted(r.query, key=sorted)]
-            meets.append(F.when(reduce(Column.__or__, every), F.lit(r.kind)))
-    return held.select(*key, F.array_compact(F.array(*meets)).alias("rules")).where("size(rules) > 0")
+def candidates(index: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """(key, rules): the rules for one of whose alternatives a document is in the postings of all trigrams."""
+    asks = [(r.kind, no, len(a), t) for r in rules for no, a in enumerate(asked_of(r.query)) for t in a]
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(no).alias("no"), F.lit(n).alias("need"), F.lit(t).alias("trigram")) for k, no, n, t in asks])
+    query = index.sparkSession.range(1).select(F.explode(rows).alias("q")).select("q.*")  # as large as the rules
+    met = index.distinct().join(F.broadcast(query), "trigram").groupBy(key, "kind", "no").agg(F.count("*").alias("have"), F.first("need").alias("need"))
+    return met.where("have = need").groupBy(key).agg(F.collect_set("kind").alias("rules"))
 
 
 def _parts(text: str, rule: Rule) -> Column:
@@ -156,33 +173,31 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     group is too short is dropped and not retried. Null and empty texts have no spans. Repeated rows each come back
     with the spans of their text, rows with a null id too. Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__hash", F.xxhash64("__text"))
-    key = ["__doc", "__hash"]
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.select(F.col("__doc").alias("__d"), F.col("__hash").alias("__h"), *[x for x in right.columns if x not in key])
-        return left.join(right, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").drop("__d", "__h")
-
-    asked = joined(rows, candidates(postings(rows, key, "__text", rules), key, rules))
-    each = [
-        _parts("__text", r) if frozenset() in r.query
-        else F.when(F.array_contains("rules", r.kind), _parts("__text", r)).otherwise(F.array().cast("array<struct<kind:string,gap:bigint,whole:bigint,kept:boolean>>"))
-        for r in rules
-    ]
-    parts = asked.select(*key, F.concat(*each).alias("parts")).where("size(parts) > 0").dropDuplicates(key)
-    long = parts.select(*key, F.posexplode("parts").alias("no", "p")).select(*key, "no", "p.*")
-    upto = Window.partitionBy(*key, "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__key", row_key("doc_id", "__text"))
+    selective, scans = [r for r in rules if frozenset() not in r.query], [r for r in rules if frozenset() in r.query]
+    found = []
+    if scans:
+        hit = reduce(Column.__or__, [F.col("__text").rlike(r.regex) for r in scans])
+        found.append(rows.where(hit).select("__key", F.concat(*[_parts("__text", r) for r in scans]).alias("parts")))
+    if selective:
+        picked = small(materialise(candidates(postings(rows, "__key", "__text", selective), "__key", selective)))
+        none = F.array().cast("array<struct<kind:string,gap:bigint,whole:bigint,kept:boolean>>")
+        each = [F.when(F.array_contains("rules", r.kind), _parts("__text", r)).otherwise(none) for r in selective]
+        found.append(rows.join(picked, "__key").select("__key", F.concat(*each).alias("parts")))
+    parts = [f.where("size(parts) > 0").dropDuplicates(["__key"]) for f in found]
+    long = reduce(DataFrame.unionByName, parts).select("__key", F.posexplode("parts").alias("no", "p")).select("__key", "no", "p.*")
+    upto = Window.partitionBy("__key", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("whole")).over(upto)
     order = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
     spans = (
         long.withColumn("end", end)
         .where("kept")
-        .groupBy(*key)
+        .groupBy("__key")
         .agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("whole")).alias("start"), order.alias("kind_no"), "kind", "end"))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>")
-    return joined(rows.select(*key), spans).select(F.col("__doc").alias("doc_id"), F.coalesce("spans", empty).alias("spans"))
+    return rows.select("doc_id", "__key").join(spans, "__key", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def digest(found: DataFrame, base: tuple[str, ...] = BASE) -> DataFrame:

@@ -32,7 +32,7 @@ def works(labels):
         "toxicity": lambda d: toxicity.classify(d, labels), "toxicity without labels": lambda d: toxicity.classify(d, none),
         "simhash": simhash.near_duplicates, "language": langid.classify, "mix": lambda d: mixing.mix(d)["documents"],
         "pii": lambda d: pii.digest(d, pii.sanitise(d)), "redact": pii.redact, "secrets": secrets.find_secrets,
-        "media": media.with_media, "pieces": pieces.with_pieces,
+        "media": lambda d: media.with_fingerprint(media.with_media(d)), "pieces": pieces.with_pieces,
     }
 
 
