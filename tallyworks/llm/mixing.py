@@ -170,5 +170,5 @@ def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     taken = mix(docs, text)["documents"].where("taken > 0").groupBy("row_key")
     copies = taken.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).where("__copies > 0")
-    rows = docs.withColumn("__key", row_key("doc_id", "source", text)).join(copies.withColumnRenamed("row_key", "__key"), "__key")
+    rows = docs.withColumn("__mix_key", row_key("doc_id", "source", text)).join(copies.withColumnRenamed("row_key", "__mix_key"), "__mix_key")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

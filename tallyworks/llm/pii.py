@@ -223,7 +223,7 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settin
     All other columns stay, and so do rows without personal data. Overlapping spans are replaced as one, under the
     kind of the first.
     """
-    found = sanitise(docs, text, doc_id, **settings).select(F.col("doc_key").alias("__key"), F.concat("pii", "terms").alias("__spans"))
+    found = sanitise(docs, text, doc_id, **settings).select(F.col("doc_key").alias("__pii_key"), F.concat("pii", "terms").alias("__pii_spans"))
 
     @F.pandas_udf(T.StringType())
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -242,6 +242,6 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settin
 
     # texts that can't have any stay where they are
     maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    hidden = docs.where(maybe).withColumn("__key", row_key(doc_id, text)).join(found, "__key", "left").withColumn(text, cover(text, "__spans"))
+    hidden = docs.where(maybe).withColumn("__pii_key", row_key(doc_id, text)).join(found, "__pii_key", "left").withColumn(text, cover(text, "__pii_spans"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return hidden.select(*names).unionByName(docs.where(~maybe).select(*names))

@@ -55,3 +55,140 @@ def test_soft_logistic_regression_is_a_stationary_point():
     at = np.append(w, b)
     slope = [(loss(at + 1e-5 * e) - loss(at - 1e-5 * e)) / 2e-5 for e in np.eye(6)]
     assert np.abs(slope).max() < 1e-5
+
+
+def test_preferences_are_fitted_by_logistic_loss():
+    """The weights are a minimum of the loss over the same pairs of features, and the quantile rejects as many as are bad."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.standard_normal((300, len(quality.NAMES))))
+    y = (x[:, 0] + 0.3 * rng.standard_normal(300) > 0.4).astype(int)
+    model = quality.fit(x, y, (y == 0).mean())
+    z = (quality.expand(x) - model.mean) / model.scale
+    draw = np.random.default_rng(0)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    won = np.concatenate([good[draw.integers(0, len(good), len(bad) * quality.PAIRS)], np.repeat(good, quality.PAIRS)])
+    lost = np.concatenate([np.repeat(bad, quality.PAIRS), bad[draw.integers(0, len(bad), len(good) * quality.PAIRS)]])
+    assert (y[won] == 1).all() and (y[lost] == 0).all()
+
+    def loss(w):
+        return np.logaddexp(0, -(z[won] - z[lost]) @ w).mean() + quality.RIDGE * w @ w / 2
+
+    best = loss(model.weights)
+    slope = [(loss(model.weights + 1e-5 * e) - loss(model.weights - 1e-5 * e)) / 2e-5 for e in np.eye(z.shape[1])]
+    assert np.abs(slope).max() < 1e-4
+    assert all(loss(model.weights + 0.05 * rng.standard_normal(z.shape[1])) > best for _ in range(50))
+    assert abs((model.score(x) < quality.CUT).sum() - (y == 0).sum()) <= 2
+
+
+def slow_bits(counts, text):
+    """Bits of a text by escape method C, from the counts of (context, next byte) of every order."""
+    total = 0.0
+    padded = b"\0" * langid.ORDER + text
+    for i in range(langid.ORDER, len(padded)):
+        nxt, bits = padded[i], None
+        escapes = 0.0
+        for order in range(langid.ORDER, -1, -1):
+            seen = counts.get(padded[i - order : i])
+            if seen is None:
+                continue
+            n, kinds = sum(seen.values()), len(seen)
+            if nxt in seen:
+                bits = math.log2((n + kinds) / seen[nxt])
+                break
+            escapes += math.log2((n + kinds) / kinds)
+        total += escapes + (8.0 if bits is None else bits)
+    return total
+
+
+def test_code_lengths_equal_slow_trees(spark):
+    texts = {"a": ["the cat sat on the mat", "the rat", "éa", "x" * 40], "b": ["der hund und die katze", "das", "ëb bb"]}
+    docs = spark.createDataFrame([(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    trees = langid.train(docs, folds=1, held=1)
+    asked = [b"the hund sat", b"", "été".encode(), b"zzz", b"the cat sat on the mat", bytes(range(1, 128))]
+    got = trees.totals(asked)
+    for c, lang in enumerate(trees.langs):
+        counts: dict = {}
+        for t in texts[lang]:
+            raw = b"\0" * langid.ORDER + t.encode()
+            for i in range(langid.ORDER, len(raw)):
+                for order in range(langid.ORDER + 1):
+                    counts.setdefault(raw[i - order : i], {}).setdefault(raw[i], 0)
+                    counts[raw[i - order : i]][raw[i]] += 1
+        assert np.allclose(got[:, c], [slow_bits(counts, t) for t in asked])
+
+
+def test_equal_code_lengths_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(0, "abc", "b"), (0, "abc", "a"), (2, "abcx", None)], "doc_id long, text string, lang string")
+    found = langid.with_language(docs, langid.train(docs, folds=1, held=1)).collect()
+    assert all(r["language"]["lang"] == "a" and abs(r["language"]["score"] - 0.5) < 1e-12 for r in found)
+
+
+def test_search_equals_all_segmentations_of_random_texts():
+    vocabulary = pieces.Vocabulary.load()
+    rng = random.Random(9)
+    words = [p for p in vocabulary.ids if 2 <= len(p) <= 6 and pieces.SPACE not in p]
+
+    def every(key):
+        if not key:
+            return [(0.0, ())]
+        return [(vocabulary.scores[key[:n]] + s, (vocabulary.ids[key[:n]], *p)) for n in range(1, len(key) + 1) if key[:n] in vocabulary.ids for s, p in every(key[n:])]
+
+    encoder = pieces.Encoder(vocabulary, 4)
+    for _ in range(150):
+        unit = " " * rng.randint(0, 2) + "".join(rng.choices(words, k=rng.randint(1, 2)))[:9]
+        key = unit.replace(" ", pieces.SPACE)
+        if any(ch not in vocabulary.ids for ch in key):
+            continue
+        all_of = sorted(every(key), reverse=True)[:4]
+        found = vocabulary.n_best(unit, 4)
+        assert [s for s, _ in found] == [s for s, _ in all_of]
+        assert len({ids for _, ids in found}) == len(found)
+        # the forward pass that texts are encoded by ends where the search's first path does
+        score, cost, _, ids = encoder.viterbi([unit])
+        assert score[0] == found[0][0] and sum(vocabulary.scores[p] for i in ids for p in [next(k for k, v in vocabulary.ids.items() if v == i)]) == score[0]
+        assert cost[0] == (found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+
+
+def test_texts_of_several_words_against_search_of_the_whole():
+    """Combining the words' own choices gives what a search over the whole text's lattice gives."""
+    vocabulary = pieces.Vocabulary.load()
+    rng = random.Random(10)
+    words = [p.replace(pieces.SPACE, "") for p in vocabulary.ids if 2 <= len(p) <= 7]
+    encoder = pieces.Encoder(vocabulary, 3)
+    for _ in range(60):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 6)))
+        whole = vocabulary.n_best(" " + text, 3)
+        found = encoder.encode(text)
+        assert [s for s, _ in found] == [s for s, _ in whole]
+        assert all(encoder.decode(ids) == text for _, ids in found)
+
+
+def test_spectral_peaks_equal_a_slow_transform():
+    rng = np.random.default_rng(11)
+    samples = rng.integers(0, 256, 192 * 3).astype(np.uint8)
+    samples[192:384] = 128  # a silent frame
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 191) for i in range(192)]
+    want = []
+    for t, at in enumerate(range(0, len(samples) - 191, 96)):
+        frame = [(float(s) - 128) * w for s, w in zip(samples[at : at + 192], window, strict=True)]
+        level = []
+        for k in range(97):
+            re = sum(x * math.cos(2 * math.pi * k * i / 192) for i, x in enumerate(frame))
+            im = sum(x * math.sin(2 * math.pi * k * i / 192) for i, x in enumerate(frame))
+            level.append(round(20 * math.log10(1 + math.hypot(re, im))))
+        peaks = sorted((-level[k], k) for k in range(1, 96) if level[k] > level[k - 1] and level[k] >= level[k + 1] and level[k] > 0)
+        want += [(t, k) for _, k in peaks[:3]]
+    times, bins = media.spectral_peaks(samples)
+    assert list(zip(times.tolist(), bins.tolist(), strict=True)) == want
+    at, code = media.peak_pairs(times, bins)
+    pairs = sorted((a, i << 16 | j << 8 | b - a) for (a, i), (b, j) in itertools.combinations(want, 2) if 1 <= b - a <= 3)
+    assert list(zip(at.tolist(), code.tolist(), strict=True)) == pairs
+
+
+def test_file_comes_back_from_its_column(spark):
+    docs = spark.createDataFrame([(1, "é" * 500), (2, None), (3, ""), (4, "é" * 500)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in media.with_fingerprint(media.with_media(docs)).collect()}
+    for i, text in ((1, "é" * 500), (2, ""), (3, "")):
+        assert media.from_wav(bytes(rows[i]["media"])) == media.padded(text)
+        assert rows[i]["fingerprint"]["payload_bytes"] == len(media.padded(text))
+    assert rows[1]["fingerprint"] == rows[4]["fingerprint"] and rows[2]["fingerprint"] == rows[3]["fingerprint"]
