@@ -108,7 +108,9 @@ def whole_balls(fp: str = "fp") -> Column:
 def links(fps: DataFrame, whole: bool = False) -> DataFrame:
     """Links (u, v) that span the near-duplicate components of the distinct fingerprints in column ``fp``."""
     balls = whole_balls() if whole else block_balls()
-    met = block_pairs(fps.select("fp", F.explode(balls).alias("bucket")), ["bucket"], "fp")
+    # the table of fingerprints is small beside what it becomes
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = block_pairs(spread.select("fp", F.explode(balls).alias("bucket")), ["bucket"], "fp")
     groups = met.groupBy("bucket", "left", "right").agg(F.collect_list("fp").alias("members"))
     return groups.where("size(members) > 1").select("members").mapInPandas(_verify, "u long, v long").distinct()
 
