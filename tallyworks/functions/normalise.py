@@ -13,9 +13,25 @@ from pyspark.sql import functions as F
 
 # Words and abbreviations that names are compared without.
 CROSSWALK_WORDS = "THE INC INCORPORATED HOSPITAL MEDICAL CENTER CORP CORPORATION OF AND & LLC HEALTH SYSTEM DBA".split()
-LEGAL_WORDS = "inc llc corp corporation incorporated the of and hospital company".split()
+LEGAL_WORDS = "inc llc corp corporation co the of and dba ltd".split()
 # Hosts of directories and file stores, which are nobody's own website.
-DIRECTORY_HOSTS = ["wikipedia.org", "facebook.com", "linkedin.com", "yelp.com", "healthgrades.com", "usnews.com", "mapquest.com"]
+DIRECTORY_HOSTS = [
+    "wikipedia.org", "healthgrades.com", "usnews.com", "yelp.com", "facebook.com", "linkedin.com", "instagram.com", "twitter.com", "x.com",
+    "youtube.com", "medicare.gov", "cms.gov", "indeed.com", "glassdoor.com", "mapquest.com", "yellowpages.com", "zocdoc.com", "vitals.com",
+    "webmd.com", "hospitalsafetygrade.org", "leapfroggroup.org", "ahd.com", "definitivehc.com", "npino.com", "npidb.org", "caredash.com", "bbb.org",
+    "google.com", "bing.com", "dollarfor.org", "mass.gov", "wikidata.org", "bizapedia.com", "opencorporates.com", "propublica.org", "guidestar.org",
+    "candid.org", "addictions.com", "findhelp.org", "networkofcare.org", "hospitalstats.org", "healthcare4ppl.com", "medicare-hospital-ratings.com",
+    "211.org", "billfairly.com", "careroute.ai", "fairvisithealth.com", "carelistings.com", "seniorhealthdatabase.com", "payerprice.com",
+    "causeiq.com", "merriam-webster.com", "lownhospitalsindex.org", "hospitalbills411.com", "healthbillcentral.com", "brightbillapp.com",
+    "calhospital.org", "njspotlightnews.org", "communityplatform.us", "vituity.com", "turquoise.health", "castleconnolly.com", "medibillsaver.com",
+    "medicarelist.com", "hospitalcompare.io", "safehospitalsusa.com", "doxo.com", "pdffiller.com", "prnewswire.com", "cbsnews.com",
+    "nbclosangeles.com", "news10.com", "syracuse.com", "folsomtimes.com", "ohiodailydigital.com", "reddit.com", "wiktionary.org", "nursa.com",
+    "ama-assn.org", "fatf-gafi.org", "njha.com", "1degree.org", "sunshinesupportnetwork.com", "recovered.org",
+]
+# Ends of hosts that publish records about others; the second is a state's own host.
+DIRECTORY_ENDS = r"\.gov$|(?:^|\.)(?:al|ak|az|ar|ca|co|ct|de|dc|fl|ga|hi|id|il|in|ia|ks|ky|la|me|md|ma|mi|mn|ms|mo|mt|ne|nv|nh|nj|nm|ny|nc|nd|oh|ok|or|pa|ri|sc|sd|tn|tx|ut|vt|va|wa|wv|wi|wy)\.us$"
+# Corporate suffixes that a payee is compared without, dotted or not.
+PAYEE_SUFFIXES = r"\b(?:p\.?a\.?|p\.?c\.?|l\.?l\.?c\.?|l\.?l\.?p\.?|inc\.?|ltd\.?|corp\.?|co\.?)\b"
 # Patterns that mark a text as personal, by name, in the order they are reported.
 PERSONAL_PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -100,7 +116,7 @@ def bill_name(c: str | Column) -> Column:
 
 def payee_name(c: str | Column) -> Column:
     """A payee's name without its corporate suffix and punctuation."""
-    t = F.regexp_replace(F.lower(_col(c)), r"\b(?:inc|llc|llp|pc|pllc|pa|ltd|corp|co)\b\.?", " ")
+    t = F.regexp_replace(F.lower(_col(c)), PAYEE_SUFFIXES, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9 ]+", " "), r"\s+", " "))
 
 
@@ -133,9 +149,9 @@ def registered_domain(url: str | Column) -> Column:
 
 
 def is_directory(url: str | Column) -> Column:
-    """Whether the host is one of DIRECTORY_HOSTS or below one."""
+    """Whether the host is one of DIRECTORY_HOSTS or below one, or ends like DIRECTORY_ENDS."""
     h = host(url)
-    return F.coalesce(F.exists(F.array(*map(F.lit, DIRECTORY_HOSTS)), lambda d: (h == d) | h.endswith(F.concat(F.lit("."), d))), F.lit(False))
+    return F.coalesce(F.exists(F.array(*map(F.lit, DIRECTORY_HOSTS)), lambda d: (h == d) | h.endswith(F.concat(F.lit("."), d))) | h.rlike(DIRECTORY_ENDS), F.lit(False))
 
 
 def same_url(url: str | Column) -> Column:

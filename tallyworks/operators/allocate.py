@@ -21,13 +21,19 @@ def service_counts(rows: DataFrame, provider: str, place: str, cases: str) -> tu
 def allocate(by_pair: DataFrame, by_place: DataFrame, weights: DataFrame, provider: str, place: str, weight: str) -> DataFrame:
     """(provider, served, places): each place's weight by the share of its cases that a provider has.
 
-    A place without a weight counts as zero, one without cases is skipped. ``weights`` has one row per place.
+    A place without a weight counts as zero, one without cases is skipped; see ``with_all_providers`` for providers
+    without any. ``weights`` has one row per place.
     """
     part = F.coalesce(F.col(weight), F.lit(0)) * F.col("cases") / F.nullif(F.col("place_cases"), F.lit(0))
     joined = by_pair.join(by_place, place).join(weights.select(place, weight), place, "left")
     return joined.groupBy(provider).agg(F.sum(part).alias("served"), F.count("*").alias("places"))
 
 
+def with_all_providers(providers: DataFrame, served: DataFrame, provider: str) -> DataFrame:
+    """Every provider's row of ``allocate``; one without places has a null served and 0 places."""
+    return providers.select(provider).distinct().join(served, provider, "left").withColumn("places", F.coalesce("places", F.lit(0)))
+
+
 def dual_part(whole: str, dual: str, of: str) -> Column:
     """whole * dual / of; null unless all are known and ``of`` is not zero."""
     return F.try_divide(F.col(whole) * F.col(dual), F.col(of))

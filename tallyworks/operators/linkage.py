@@ -64,20 +64,21 @@ def top_candidates(scored: DataFrame, key: str, score: str, tie: Column, n: int
     return ranked.withColumn("confident", confident).drop("__next")
 
 
-def origins(loans: DataFrame, most: int = 32) -> DataFrame:
+def origins(loans: DataFrame) -> DataFrame:
     """(borrower, origin) of (borrower, lender) edges: the lenders that borrow from nobody, through any chain.
 
     Chains are followed one step a round until no new pair turns up; cycles end because no pair is followed twice.
-    Of chains longer than ``most`` steps the last lender reached is left out.
+    A borrower whose chain only runs in a circle has its own lender as origin.
     """
     step = loans.select("borrower", F.col("lender").alias("at")).distinct()
     seen = materialise(step)
     fresh = seen
-    for _ in range(most):
+    while True:
         further = fresh.join(loans.select(F.col("borrower").alias("at"), "lender"), "at").select("borrower", F.col("lender").alias("at")).distinct()
         fresh = materialise(further.join(seen, ["borrower", "at"], "left_anti"))
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
     roots = loans.select(F.col("borrower").alias("at")).distinct()
-    return seen.join(roots, "at", "left_anti").select("borrower", F.col("at").alias("origin"))
+    found = seen.join(roots, "at", "left_anti").select("borrower", F.col("at").alias("origin"))
+    return found.unionByName(step.join(found, "borrower", "left_anti").select("borrower", F.col("at").alias("origin")))

@@ -12,7 +12,7 @@ GUIDELINES = {"contiguous": (15960, 5680), "AK": (19950, 7100), "HI": (18360, 65
 WINDOW_DAYS = 240
 WAIT_DAYS = 120
 # Reasons for a denial that lie with the application, in the order they are told.
-CASE_ISSUES = ["missing_documents", "deadline_passed", "incomplete_application"]
+CASE_ISSUES = ["incomplete", "late", "unsigned", "income_too_high", "missing_documents", "assets_too_high"]
 CHECK_INS = [14, 30, 45]
 RETENTION_ABANDONED_DAYS = 1
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.operators import rules
+from tallyworks.store import materialise
 
 NEVER_DAYS = 90
 
@@ -30,13 +31,20 @@ def build_queue(
     return queue.orderBy(F.col("priority").desc(), name, key), skipped
 
 
-def within_budget(queue: DataFrame, order: list[Column], cost: Column, budget: float) -> DataFrame:
-    """The entries, in order, for which the money lasts.
+def within_budget(queue: DataFrame, order: list[Column], cost: Column, budget: float, parts: int = 64) -> DataFrame:
+    """The entries, in order, for which the money lasts, with ``spent`` up to and including each.
 
-    The running sum is over the queue, one row per key of a registry; a cost may not be negative.
+    A cost may not be negative, and ``order`` should end in a tie-breaker. The queue is cut into ranges of the order;
+    their sums are put in front of one another, and the running sum is taken within each, so no task sees it all.
     """
-    spent = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return queue.withColumn("spent", spent).where(F.col("spent") <= budget)
+    ranged = materialise(queue.withColumn("__cost", cost).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum("__cost").alias("__sum"))  # one row a range from here on
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = F.broadcast(sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base")))
+    running = F.sum("__cost").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # ranges that begin beyond the budget aren't sorted
+    kept = ranged.join(bases, "__part").where(F.col("__base") <= budget)
+    return kept.withColumn("spent", F.col("__base") + running).where(F.col("spent") <= budget).drop("__part", "__cost", "__base")
 
 
 def usage_by_day(events: DataFrame, day: Column, amount: Column, start: str, end: str) -> DataFrame:

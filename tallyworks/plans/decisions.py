@@ -158,7 +158,7 @@ def triage_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
     none = F.array().cast("array<string>")
     fourth, sixteenth, last = F.expr("event_id div 4"), F.expr("event_id div 16") % 3, F.expr("event_id div 48") % 3
-    reasons = F.when(sixteenth == 1, F.array(F.lit("missing_documents"), F.lit("deadline_passed"))).when(sixteenth == 2, F.array(F.lit("over_income"), F.lit("missing_documents"))).otherwise(none)
+    reasons = F.when(sixteenth == 1, F.array(F.lit("income_too_high"), F.lit("late"))).when(sixteenth == 2, F.array(F.lit("not_resident"), F.lit("missing_documents"))).otherwise(none)
     asked = F.when(last == 1, F.array(F.lit("pay_stub"), F.lit("other"), F.lit("tax_return"))).when(last == 2, F.array(F.lit("other"))).otherwise(none)
     out = rules.triage(pick(["free", "discount", "assistance", "not_eligible"], i), pick(["approved", "partial", "denied", "more_info"], fourth), reasons, asked, F.array(F.lit("tax_return")), i % 5 == 0)
     rows = table(spark, sf_dir, "events").select("event_id", out.alias("o"))

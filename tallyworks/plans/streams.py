@@ -66,13 +66,19 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(spark, ev.rate_limited(_stream(spark, sf_dir), "user_id", 86400.0, 3)).select("user_id", "event_id", "allowed")
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, run
+HAVING max(ts) + INTERVAL 26 HOUR <= (SELECT max(ts) FROM events)""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that are over."""
     return _ran(spark, ev.sessions(_stream(spark, sf_dir), "2 hours")).select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query()
+@query("""
+WITH w AS (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS start FROM events)
+SELECT epoch_us(start) AS start_us, count(*) AS n FROM w GROUP BY start HAVING start + INTERVAL 36 HOUR <= (SELECT max(ts) FROM events)""")
 def stream_sliding_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of twelve hours every six, those that are over."""
     return _ran(spark, ev.windowed(_stream(spark, sf_dir), "12 hours", "6 hours")).select(F.unix_micros("start").alias("start_us"), "n")

@@ -27,9 +27,9 @@ def query(sql: str | None = None):
 WITH s AS (SELECT s_suppkey, 'St. ' || s_name || ' Med Ctr, Inc.' AS name, CAST(s_suppkey * 137 AS VARCHAR) AS num FROM supplier)
 SELECT s_suppkey,
   array_to_string(list_filter(string_split(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'THE', 'INC', 'INCORPORATED', 'HOSPITAL', 'MEDICAL', 'CENTER', 'CORP', 'CORPORATION', 'OF', 'AND', '&', 'LLC', 'HEALTH', 'SYSTEM', 'DBA')), ' ') AS crosswalk_name,
-  array_to_string(list_filter(string_split(regexp_replace(replace(replace(lower(name), 'st.', 'saint'), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'inc', 'llc', 'corp', 'corporation', 'incorporated', 'the', 'of', 'and', 'hospital', 'company')), ' ') AS return_name,
+  array_to_string(list_filter(string_split(regexp_replace(replace(replace(lower(name), 'st.', 'saint'), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'inc', 'llc', 'corp', 'corporation', 'co', 'the', 'of', 'and', 'dba', 'ltd')), ' ') AS return_name,
   regexp_replace(replace(replace(replace(lower(name), 'st.', 'saint'), 'ctr', 'center'), 'med ', 'medical '), '[^a-z0-9 ]', ' ', 'g') AS bill_name,
-  trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\b(inc|llc|llp|pc|pllc|pa|ltd|corp|co)\b\.?', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS payee_name,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\b(p\.?a\.?|p\.?c\.?|l\.?l\.?c\.?|l\.?l\.?p\.?|inc\.?|ltd\.?|corp\.?|co\.?)\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS payee_name,
   CASE WHEN length(num) BETWEEN 8 AND 9 THEN lpad(num, 9, '0') END AS ein,
   CASE WHEN length(num) BETWEEN 1 AND 9 THEN lpad(num, 9, '0') END AS return_ein,
   CASE WHEN length(num) > 5 THEN left(lpad(num, 9, '0'), 5) ELSE lpad(num, 5, '0') END AS zip5,
@@ -47,11 +47,10 @@ def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH h AS (SELECT page_id, url, regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]*)', 1), '^www\.', '') AS host FROM pages)
 SELECT page_id, host, array_to_string(string_split(host, '.')[greatest(len(string_split(host, '.')) - 1, 1):], '.') AS domain,
-  regexp_replace(regexp_replace(regexp_replace(lower(url), '^http://', 'https://'), '^(https://)www\.', '\1'), '/+$', '') AS same_url,
-  md5(host) = '' AS directory FROM h""")
+  regexp_replace(regexp_replace(regexp_replace(lower(url), '^http://', 'https://'), '^(https://)www\.', '\1'), '/+$', '') AS same_url FROM h""")
 def normalised_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts, registered domains and one form for equal addresses."""
-    return table(spark, sf_dir, "pages").select("page_id", n.host("url").alias("host"), n.registered_domain("url").alias("domain"), n.same_url("url").alias("same_url"), n.is_directory("url").alias("directory"))
+    return table(spark, sf_dir, "pages").select("page_id", n.host("url").alias("host"), n.registered_domain("url").alias("domain"), n.same_url("url").alias("same_url"))
 
 
 @query(r"""
@@ -72,16 +71,16 @@ def sha_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-SHELLS = r"substr(html, 1, 60)"
+SHELLS = r"regexp_replace(html, '<[^>]*>|\s+', ' ', 'g')"
 
 
 @query(f"""
 WITH w AS (SELECT url, sha256(trim({SHELLS})) AS sha, regexp_matches({SHELLS}, '(?i)financial assistance|charity care|free care|discounted care|ability to pay') AS named FROM pages WHERE lower(url) NOT LIKE '%.pdf'),
 g AS (SELECT sha FROM w GROUP BY 1 HAVING count(DISTINCT url) > 1 AND NOT bool_or(named)) SELECT DISTINCT url FROM w WHERE sha IN (SELECT sha FROM g)""")
 def navigation_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses that answer with the same page, by the head of the markup, and don't name assistance."""
-    pages = table(spark, sf_dir, "pages").select("url", F.substring("html", 1, 60).alias("head"))
-    return corpus.navigation_shells(pages, "url", "head")
+    """Addresses whose pages say the same apart from markup and spacing, and don't name assistance anywhere."""
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_replace("html", r"<[^>]*>|\s+", " ").alias("said"))
+    return corpus.navigation_shells(pages, "url", "said")
 
 
 @query(r"""
@@ -163,7 +162,7 @@ def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quotes_found_loosely(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes cut from documents, with their spacing and quotes changed, found again in the same documents."""
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 200")
+    """Quotes cut from documents, with their spacing changed, found again in the same documents; short ones hold none."""
+    docs = table(spark, sf_dir, "documents")
     quote = F.replace(F.substring("text", 20, 60), F.lit(" "), F.lit("  "))
     return docs.select("doc_id", t.quote_found_of(quote, F.col("text")).alias("found"))

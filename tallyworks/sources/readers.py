@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import normalise as n
 
-#: Largest member that is read out of an archive.
-MEMBER_BYTES = 64 << 20
+#: Parts in which a member of an archive is handed on, so that no cell grows with the member.
+PART_BYTES = 16 << 20
+# Forms of the object and batch ids of an e-file index.
+OBJECT_ID, BATCH_ID = r"^[0-9]{18}$", r"^[0-9]{4}_TEOS_XML_[0-9]{2}[A-Z]$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,18 +61,18 @@ def service_area(raw: DataFrame) -> DataFrame:
 
 
 def array_table(spark: SparkSession, path: str) -> DataFrame:
-    """Long form (row, name, value) of JSON files that are arrays of arrays with a header row."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.from_json("value", "array<array<string>>").alias("a"))
-    cells = rows.select(F.col("a")[0].alias("names"), F.posexplode(F.slice("a", 2, F.size("a"))).alias("row", "cells"))
-    return cells.select("row", F.explode(F.arrays_zip("names", "cells")).alias("c")).select("row", F.col("c.names").alias("name"), F.col("c.cells").alias("value"))
+    """Long form (file, row, name, value) of JSON files that are arrays of arrays with a header row."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    rows = text.select("file", F.from_json("value", "array<array<string>>").alias("a"))
+    cells = rows.select("file", F.col("a")[0].alias("names"), F.posexplode(F.slice("a", 2, F.size("a"))).alias("row", "cells"))
+    return cells.select("file", "row", F.explode(F.arrays_zip("names", "cells")).alias("c")).select("file", "row", F.col("c.names").alias("name"), F.col("c.cells").alias("value"))
 
 
 def census_sums(cells: DataFrame, variables: list[str], place: str) -> DataFrame:
     """(place, total): the sum of the variables, a cell that is negative, missing or no number counting as zero."""
     v = F.col("value").try_cast("double")
     safe = F.when((v >= 0) & ~F.isnan(v) & (v < 9e18), v.cast("bigint")).otherwise(0)
-    return cells.groupBy("row").agg(
+    return cells.groupBy("file", "row").agg(
         F.max(F.when(F.col("name") == place, F.col("value"))).alias("place"), F.sum(F.when(F.col("name").isin(variables), safe).otherwise(0)).alias("total")
     ).select("place", "total")
 
@@ -90,7 +92,9 @@ def dataset_versions(catalogue: DataFrame, family: str) -> DataFrame:
 
 def newest_returns(index: DataFrame, wanted: DataFrame, return_type: str = "990") -> DataFrame:
     """Each wanted EIN's newest return in an index: by period, submission date and object id as text."""
-    valid = index.where((F.col("RETURN_TYPE") == return_type) & F.col("OBJECT_ID").rlike(r"^[0-9]+$")).withColumn("ein", n.ein_of_return("EIN"))
+    index = index.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("RETURN_TYPE", "OBJECT_ID", "XML_BATCH_ID")})
+    valid = index.where((F.col("RETURN_TYPE") == return_type) & F.col("OBJECT_ID").rlike(OBJECT_ID) & F.col("XML_BATCH_ID").rlike(BATCH_ID))
+    valid = valid.withColumn("ein", n.ein_of_return("EIN"))
     kept = valid.join(wanted.select("ein").distinct(), "ein", "left_semi")
     rest = [c for c in kept.columns if c != "ein"]
     newest = kept.groupBy("ein").agg(F.max_by(F.struct(*rest), F.struct("TAX_PERIOD", "SUB_DATE", "OBJECT_ID")).alias("r"))
@@ -98,7 +102,10 @@ def newest_returns(index: DataFrame, wanted: DataFrame, return_type: str = "990"
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(archive, member, content) of the members of ZIP files whose names match, up to MEMBER_BYTES each."""
+    """(archive, member, part, content) of the members of ZIP files whose names match, each in parts of PART_BYTES.
+
+    A compression that can't be read is an error. Members of one part, as single documents are, need no joining.
+    """
     import re
 
     wanted = re.compile(pattern)
@@ -108,10 +115,15 @@ def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
             for archive, body in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(body)) as z:
                     for info in z.infolist():
-                        if wanted.fullmatch(info.filename) and info.file_size <= MEMBER_BYTES:
-                            yield pd.DataFrame({"archive": [archive], "member": [info.filename], "content": [z.read(info)]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+                        if not wanted.fullmatch(info.filename):
+                            continue
+                        with z.open(info) as member:
+                            part = 0
+                            while (content := member.read(PART_BYTES)) or not part:
+                                yield pd.DataFrame({"archive": [archive], "member": [info.filename], "part": [part], "content": [content]})
+                                part += 1
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, part int, content binary")
 
 
 def filings(xml: DataFrame, content: str = "content") -> DataFrame:

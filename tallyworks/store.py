@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new local one if all tasks run in this machine's JVM, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tallyworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
