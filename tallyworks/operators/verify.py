@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyworks.functions import poverty
+from tallyworks.functions.poverty import plain_number
 from tallyworks.functions.text import normal_of, quote_found_of
-from tallyworks.operators import bands
+from tallyworks.operators import bands, wording
 from tallyworks.operators.corpus import number_stated
 from tallyworks.operators.facts import first_reason
 
 FREE, TIERS, ASSETS = "eligibility.free_care_max_fpl", "eligibility.discount_tiers", "eligibility.asset_test"
+CEILING, INSURED, RESIDENCY = "eligibility.assistance_ceiling_fpl", "eligibility.insured_patients_covered", "eligibility.residency"
 # Wordings that the rules look for, in comparable form.
 PATIENT_SHARE = (
     r"\b(?:patient )?responsib\w*|\bpatients? (?:pays?|portion|share)\b|\bco-?pay\w*"
@@ -63,14 +66,11 @@ ASSET_TESTED = (
     r"|\bbe applied\b|\btaken into account\b|\bconsists? of\b|\binclud\w+|\bdocument\w*|\bvalidate\b"
 )
 LATER_BAND = r"(?<![\d.])(\d{2,3})\s?%?\s*[-–]\s*(\d{2,3})\s?%"
+#: Between items that are compared together.
+PARTED = "\ue002"
 NAMED_PERCENT = r"(?<![\d.$])(\d{2,3})\s?%"
 
 
-def plain_number(number: Column) -> Column:
-    """A decimal as text without zeros at the end."""
-    return F.regexp_replace(number.cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
-
-
 def looks_serialised(value: Column, items: Column) -> Column:
     """Whether a text value, or an item of a list, is a list or object written as text."""
     written = lambda v: F.ltrim(v).rlike(r"^[\[{]")
@@ -127,7 +127,7 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
     """``facts`` with ``reason``: why a fact is rejected, null if it is accepted. The first rule that fails decides.
 
     ``facts`` has key, path, layer, state, source_id, quote and, each null where it doesn't apply, value (text),
-    number, flag, items (array of text) and tiers (array of low, high, percent). ``texts`` has one text for each
+    number, flag, items (array of text: a list's parts, or the codes of states) and tiers (array of low, high, percent). ``texts`` has one text for each
     source_id, ``set_aside`` one reason. Reported facts are accepted as they are.
     """
     c = F.col
@@ -135,13 +135,30 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
     rows = rows.join(set_aside.select("source_id", c("reason").alias("__aside")), "source_id", "left")
     rows = rows.withColumn("__said", normal_of(F.coalesce("quote", F.lit("")))).withColumn("__found", quote_found_of(F.coalesce("quote", F.lit("")), c("__text")))
     said, free, tiers = c("__said"), c("path") == FREE, (c("path") == TIERS) & c("tiers").isNotNull()
-    reason = first_reason(
+    # items are compared in the form of quotes; one that has several words stays one item
+    items = F.transform(F.split(normal_of(F.array_join("items", PARTED, "")), PARTED), F.trim)
+    rows, text = rows.withColumns({"__items": items, "__poverty": poverty.poverty_text(said)}), c("__poverty")
+    problem = {
+        name: why for name, why in {
+            "list": wording.list_problem(c("path"), said, c("items"), c("__items")),
+            "ceiling": F.when(c("path") == CEILING, wording.ceiling_problem(said, text, c("number"))),
+            "limit": F.when(c("path").isin(FREE, TIERS, CEILING), wording.income_limit_problem(said, text, c("quote"), c("state"), c("tiers"), c("number"))),
+            "insured": F.when(c("path") == INSURED, wording.insured_problem(said, c("flag"))),
+            "residency": F.when(c("path") == RESIDENCY, wording.residency_problem(said, c("quote"), c("items"))),
+        }.items()
+    }
+    line = free & (c("number") == 100) & poverty.states_poverty_line(said)
+    early = first_reason(
         ("source text missing", c("__text").isNull()),
         ("quote not found in source", ~c("__found")),
         ("document set aside", c("__aside").isNotNull()),
         ("value is a list or object written as text", looks_serialised(c("value"), c("items"))),
-        ("value not in quote", (c("number").isNotNull() & ~number_stated(said, plain_number(c("number")))) | ((F.size("tiers") > 0) & ~tiers_stated(said, c("tiers")))),
-        ("quote states the patient's share, not a discount", tiers & (patient_share(said) | bands.rises(c("tiers")))),
+        ("value not in quote", (c("number").isNotNull() & ~number_stated(said, plain_number(c("number"))) & ~line) | ((F.size("tiers") > 0) & ~tiers_stated(said, c("tiers")))),
+    )
+    share = first_reason(("quote states the patient's share, not a discount", tiers & (patient_share(said) | bands.rises(c("tiers")))))
+    late = first_reason(
+        ("quote does not state the free-care limit as an income limit", free & ~wording.free_limit_stated(said, text, c("number"))),
+        ("quote gives different free-care limits for inpatient and outpatient care", free & wording.free_limit_split(said, text)),
         ("quote gives the limit as the top of a later band, not the free band", free & tops_later_band(said, c("number"))),
         ("quote describes a sliding scale or a denial, not free care", free & not_free(said)),
         ("quote states the band for another state's facilities", free & (c("state") != "NJ") & said.rlike(STATE_PROGRAM)),
@@ -150,5 +167,6 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
         ("the table gives different discounts for inpatient and outpatient care", tiers & said.rlike(SERVICE_COLUMNS)),
         ("quote does not support the asset-test value", (c("path") == ASSETS) & ~supports_asset_test(said, c("flag"))),
     )
+    reason = F.coalesce(early, problem["list"], problem["ceiling"], share, problem["limit"], late, problem["insured"], problem["residency"])
     own = F.when(F.startswith(reason, F.lit("document set")), c("__aside")).otherwise(reason)
     return rows.withColumn("reason", F.when(c("layer") != "reported", own)).select(*facts.columns, "reason")
