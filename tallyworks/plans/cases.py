@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.operators import cases, verify
+from tallyworks.operators import aside, cases, verify, wording
 from tallyworks.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -81,3 +81,78 @@ def bill_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("website_domain"), F.lit("x").alias("city"), F.col("s_nationkey").alias("state"),
     )
     return cases.bill_matches(c, s)
+
+
+@query(r"""
+WITH f AS (SELECT s_suppkey AS key, s_suppkey % 8 AS k, 100 + s_suppkey % 300 AS pct FROM supplier),
+q AS (SELECT *, CASE k WHEN 0 THEN 'you may get assistance up to ' || pct || '% of the federal poverty level' WHEN 1 THEN 'you may get assistance above ' || pct || '% of the federal poverty level'
+    WHEN 2 THEN 'assistance up to ' || pct || '% of the fpl, discounts up to ' || pct + 100 || '% of the fpl' WHEN 3 THEN 'financial assistance is open to insured patients' WHEN 4 THEN 'every patient may ask for help'
+    WHEN 5 THEN 'residents of massachusetts and texas may apply' WHEN 6 THEN 'residents of massachusetts may apply' ELSE 'bring pay stubs to the desk' END AS quote FROM f)
+SELECT key, CASE WHEN k < 3 AND contains(quote, 'above ' || pct) THEN 'quote states the percentage as a floor (above, over, at least), not a ceiling'
+  WHEN k < 3 AND list_max(list_transform(regexp_extract_all(quote, '(\d+)%', 1), lambda x: CAST(x AS INT))) > pct THEN 'quote names a higher income limit than the ceiling'
+  WHEN k IN (3, 4) AND NOT regexp_matches(quote, '\binsured\b') THEN 'quote does not say whether insured patients are covered'
+  WHEN k IN (5, 6) AND NOT (contains(quote, 'massachusetts') AND contains(quote, 'texas')) THEN 'quote does not name every listed state as a whole state'
+  WHEN k = 7 AND contains(quote, 'pay stubs') AND NOT contains(quote, 'photo id') THEN 'quote does not name every listed item' END AS reason FROM q""")
+def verified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ceilings, insured flags, residencies and document lists held to their quotes, with the first reason against each."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 8).alias("k"), (F.col("s_suppkey") % 300 + 100).alias("pct"))
+    k, pct, c, null = F.col("k"), F.col("pct"), F.concat, F.lit(None)
+    level = F.lit("% of the federal poverty level")
+    quote = (
+        F.when(k == 0, c(F.lit("you may get assistance up to "), pct, level)).when(k == 1, c(F.lit("you may get assistance above "), pct, level))
+        .when(k == 2, c(F.lit("assistance up to "), pct, F.lit("% of the fpl, discounts up to "), pct + 100, F.lit("% of the fpl")))
+        .when(k == 3, "financial assistance is open to insured patients").when(k == 4, "every patient may ask for help")
+        .when(k == 5, "residents of massachusetts and texas may apply").when(k == 6, "residents of massachusetts may apply").otherwise("bring pay stubs to the desk")
+    )
+    items = F.when(k.isin(5, 6), F.array(F.lit("MA"), F.lit("TX"))).when(k == 7, F.array(F.lit("pay_stubs"), F.lit("photo_id")))
+    path = F.when(k < 3, verify.CEILING).when(k < 5, verify.INSURED).when(k < 7, verify.RESIDENCY).otherwise(wording.DOCUMENTS)
+    source = F.col("key").cast("string").alias("source_id")
+    facts = s.select(
+        "key", path.alias("path"), F.lit("documented").alias("layer"), F.lit("MA").alias("state"), source, quote.alias("quote"), null.cast("string").alias("value"),
+        F.when(k < 3, pct).cast("decimal(18,2)").alias("number"), F.when(k.isin(3, 4), True).alias("flag"), items.alias("items"),
+        null.cast("array<struct<low:double,high:double,percent:double>>").alias("tiers"),
+    )
+    aside_none = s.limit(0).select(source, F.lit("").alias("reason"))
+    return verify.checked(facts, s.select(source, c(F.lit("Policy: "), quote, F.lit(".")).alias("text")), aside_none).select("key", "reason")
+
+
+@query("""
+WITH d AS (SELECT s_suppkey AS ccn, s_suppkey || '-' || n AS source_id, CASE WHEN (s_suppkey + n) % 4 <> 0 THEN 150 + 50 * ((s_suppkey * n) % 5) END AS lim, n FROM supplier, (VALUES (1), (2), (3)) v(n))
+SELECT ccn, source_id, lim AS told FROM d WHERE lim IS NOT NULL AND CASE WHEN ccn % 2 = 0 THEN n <> 1 AND lim <> 150 + 50 * (ccn % 5) ELSE true END""")
+def conflicting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose free-care limit isn't the sheet's, or that state one where the sheet has a ceiling alone."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ccn"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n"))
+    limit = F.col("ccn") * F.col("n") % 5 * 50 + 150
+    d = s.withColumn("source_id", F.concat_ws("-", "ccn", "n"))
+    text = F.when((F.col("ccn") + F.col("n")) % 4 != 0, F.concat(F.lit("Our policy. Free care is given at or below "), limit, F.lit("% of the Federal Poverty Level.")))
+    even = F.col("ccn") % 2 == 0
+    rules = d.where("n = 1").select("ccn", F.when(even, limit).cast("decimal(18,2)").alias("free"), F.when(~even, 600).cast("decimal(18,2)").alias("ceiling"), "source_id")
+    found = aside.document_conflicts(rules, d.select("source_id", text.alias("text")), d.select("ccn", "source_id"))
+    return found.select("ccn", "source_id", F.col("limits")[0].cast("int").alias("told"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS st, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1)
+SELECT c_custkey AS ccn, c_nationkey AS state FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 11 < 8 AND c_mktsegment <> 'BUILDING'
+  AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey IN (SELECT o_custkey FROM s WHERE st = 'O' AND price > 100000)""")
+def website_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as hospitals whose website is worth a search."""
+    c = table(spark, sf_dir, "customer")
+    h = c.select(F.col("c_custkey").alias("ccn"), F.col("c_nationkey").alias("state"), F.when(F.col("c_custkey") % 3 != 0, "x.org").alias("website_domain"), (F.col("c_custkey") % 11 / 10).alias("domain_confidence"))
+    o = table(spark, sf_dir, "orders")
+    items = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("ccn"), F.lit("domain_unconfirmed").alias("kind"))
+    sheets = o.select(F.col("o_custkey").alias("ccn"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderstatus") == "O", "held").otherwise("published").alias("status"), (F.col("o_totalprice") > 100000).alias("has_rule"))
+    return aside.website_candidates(h, items, sheets, c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("ccn")))
+
+
+@query()
+def documents_of_other_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as documents, each held by the supplier of its number: which are set aside, and by which clause."""
+    s = table(spark, sf_dir, "supplier")
+    names = F.concat(F.lit("Mercy "), F.replace("s_name", F.lit("#"), F.lit(" ")))
+    hospitals = s.select(F.col("s_suppkey").cast("string").alias("ccn"), names.alias("name"), F.concat(F.lit("town"), F.col("s_nationkey")).alias("city"), F.when(F.col("s_nationkey") < 12, "WA").otherwise("TX").alias("state"), F.lit("example.org").alias("website_domain"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), "url", F.when(F.col("page_id") % 3 == 0, "Policy for Texas").otherwise("Policy").alias("title"), F.regexp_replace("html", r"<[^>]*>", " ").alias("text"))
+    n = s.count()
+    held = table(spark, sf_dir, "pages").select((F.col("page_id") % n + 1).cast("string").alias("ccn"), F.col("page_id").cast("string").alias("source_id"))
+    loans = held.withColumn("lender", F.lit("1"))
+    return aside.documents_set_aside(hospitals, pages, held, loans).select("ccn", "source_id", "clause")
