@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tallyworks.llm import langid, media, mixing, pieces, pii, quality, secrets, simhash, toxicity, vectors
+from tallyworks.llm import langid, lines, media, middle, mixing, pieces, pii, quality, secrets, simhash, toxicity, vectors
 
 ROWS = [
     (1, None, "en", "a"), (2, "", None, "a"), (3, " \t\n", "en", None), (4, "one two three", "fr", "b"),
@@ -33,6 +33,7 @@ def works(labels):
         "simhash": simhash.near_duplicates, "language": langid.classify, "mix": lambda d: mixing.mix(d)["documents"],
         "pii": lambda d: pii.digest(d, pii.sanitise(d)), "redact": pii.redact, "secrets": secrets.find_secrets,
         "media": lambda d: media.with_fingerprint(media.with_media(d)), "pieces": pieces.with_pieces,
+        "lines": lines.without_repeats, "middle": middle.with_middle,
     }
 
 
