@@ -1,7 +1,7 @@
 """Percentages of the poverty level in quotes: how they are written, and whether one limits an income.
 
-All take a quote in the form of ``text.normal_of`` and are built-in expressions. A number's surroundings are read a few
-words either way, so the work grows with a quote's length times the occurrences of the number.
+All take a quote in the form of ``text.normal_of`` and are built-in expressions. A number's surroundings are cut from
+the few characters beside it, so the work grows with a quote's length.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ OTHER_BASIS = (
 )
 PERCENT = r"^ ?(?:%|percent\b)"
 RANGE = r"(?:-|to|through|thru)"
-#: Characters read on either side of a number.
+#: Where sentences end.
+SENTENCE_END = r"(?<=[.;])\s+|\n{2,}|•|▪"
+#: Characters read before and after a number.
 REACH_BEFORE, REACH_AFTER = 200, 300
-#: A character that no text in comparable form has.
-MARK = "\ue000"
 
 
 def poverty_text(said: Column) -> Column:
@@ -85,21 +85,18 @@ def tied_percents(text: Column) -> Column:
     return F.transform(found, lambda x: x.cast("decimal(18,6)"))
 
 
-def around(text: Column, pattern: Column, number: Column) -> Column:
-    """(before, after) of every place where a pattern that reads as ``number`` occurs."""
-    parts, n = F.split(text, pattern), plain_number(number)
-    places = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-    whole = lambda some: F.replace(F.array_join(some, MARK), F.lit(MARK), n)
-
-    def at(i: Column) -> Column:
-        before, after = whole(F.slice(parts, F.lit(1), i)), whole(F.slice(parts, i + 1, F.size(parts)))
-        return F.struct(F.right(before, F.lit(REACH_BEFORE)).alias("before"), F.left(after, F.lit(REACH_AFTER)).alias("after"))
-
-    return F.when(F.size(parts) > 1, F.transform(places, at)).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+def around(text: Column, pattern: Column) -> Column:
+    """(before, after) of every place where a pattern without groups occurs, so many characters either way."""
+    # what stands before is all from the begin, or so many characters; either look-behind is tried at one length
+    before = f"(?:(?<=(.{{{REACH_BEFORE}}}))|(?<=(^.{{0,{REACH_BEFORE - 1}}})))"
+    place = F.concat(F.lit("(?s)(?="), pattern, F.lit(f"){before}"), pattern, F.lit(f"(?=(.{{0,{REACH_AFTER}}}))"))
+    long, whole, after = (F.regexp_extract_all(text, place, F.lit(g)) for g in (1, 2, 3))
+    found = F.arrays_zip(long.alias("a"), whole.alias("b"), after.alias("after"))
+    return F.transform(found, lambda x: F.struct(F.concat(x["a"], x["b"]).alias("before"), x["after"].alias("after")))
 
 
 def _at_number(text: Column, number: Column, test: Callable[[Column, Column], Column]) -> Column:
-    places = around(F.replace(text, F.lit(","), F.lit("")), F.concat(F.lit(r"(?<![\d.$])"), number_pattern(number)), number)
+    places = around(F.replace(text, F.lit(","), F.lit("")), F.concat(F.lit(r"(?<![\d.$])"), number_pattern(number)))
     return F.exists(places, lambda p: test(p["before"], p["after"]))
 
 
@@ -154,7 +151,7 @@ def free_care_limits(said: Column) -> Column:
 
 
 def _limits(said: Column, test: Callable[[Column], Column]) -> Column:
-    sentences = F.filter(F.split(said, r"(?<=[.;])\s+|\n{2,}|•|▪"), test)
+    sentences = F.filter(F.split(said, SENTENCE_END), test)
     found = F.flatten(F.transform(sentences, lambda s: tied_percents(poverty_text(s))))
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<decimal(18,6)>"))
 

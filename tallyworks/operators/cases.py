@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions import fuzzy
 from tallyworks.functions import normalise as n
 from tallyworks.operators.linkage import top_candidates
+from tallyworks.operators.names import best_names
 
 # Programmes under whose rules cost-sharing may not be billed, lower case.
 COST_SHARING_PROTECTED = ["qmb", "medicaid", "masshealth", "medi-cal", "nj familycare", "medical assistance"]
@@ -36,31 +41,52 @@ def payee_routes(bills: DataFrame, listed: DataFrame, key: str = "bill_id", owne
     return bills.join(named, key, "left").select(key, F.when(F.col("payee_kind").isin(OUTSIDE_POLICY), route).alias("route"), "listed")
 
 
-def bill_score(name: Column, phones: Column, domain: Column, address: Column) -> Column:
-    """How well a hospital's row fits a bill: 0.6 of the names' token-set ratio (a column), 30 for a phone, 30 or 15
-    for the address of its policy, 5 for its city."""
-    phone = F.when(F.coalesce(F.array_contains(phones, n.digits("phone")), F.lit(False)) & (n.digits("phone") != ""), 30.0).otherwise(0.0)
-    below = F.endswith(domain, F.concat(F.lit("."), F.col("website_domain")))
-    site = F.when(domain == F.col("website_domain"), 30.0).when(below, 15.0).otherwise(0.0)
-    city = F.when(F.contains(F.lower(address), F.lower("city")), 5.0).otherwise(0.0)
-    return F.round(F.coalesce(name, F.lit(0.0)) * 0.6 + phone + F.coalesce(site, F.lit(0.0)) + F.coalesce(city, F.lit(0.0)), 1)
+# What a bill's phone, policy address (the hospital's own, or one below it) and city add to its name's score.
+NAME_SHARE, PHONE, SITE, BELOW_SITE, CITY = 0.6, 30.0, 30.0, 15.0, 5.0
+
+
+def _beside_names(bills: pd.DataFrame, hospitals: pd.DataFrame) -> Callable[[int], np.ndarray]:
+    """What each hospital of a chunk adds to its name's score for a bill."""
+    by_phone, by_site, by_city = ({} for _ in range(3))
+    for by, column in ((by_phone, "__phone"), (by_site, "website_domain"), (by_city, "__city")):
+        for i, value in enumerate(hospitals[column]):
+            if value is not None and (value or by is by_city):
+                by.setdefault(value, []).append(i)
+
+    def of(i: int) -> np.ndarray:
+        bill, out = bills.iloc[i], np.zeros(len(hospitals))
+        for phone in set(bill["__phones"]):
+            out[by_phone.get(phone, [])] += PHONE
+        site = bill["__domain"] or ""
+        out[by_site.get(site, [])] += SITE
+        for k in (k for k, ch in enumerate(site) if ch == "."):
+            out[by_site.get(site[k + 1 :], [])] += BELOW_SITE
+        if bill["__address"]:
+            for city, at in by_city.items():
+                if city in bill["__address"]:
+                    out[at] += CITY
+        return out
+
+    return of
 
 
 def bill_matches(bills: DataFrame, hospitals: DataFrame, block: str = "state") -> DataFrame:
     """The three hospitals of a bill's block that fit it best, with place and whether the first is confident.
 
+    The score is 0.6 of the names' token-set ratio, 30 for a phone, 30 for the address of its policy or 15 for one below
+    it, and 5 for its city in the bill's address, to one decimal; of equal scores the first by name and ccn is first.
     ``bills``: bill_id, hospital_name, hospital_phone, fap_phone, fap_url, hospital_address and the block;
     ``hospitals``, a registry: ccn, name, phone, website_domain, city and the block. A bill without a hospital's name,
-    phone or policy address has no candidates.
+    phone or policy address has no candidates, nor has one that no hospital scores over 0.
     """
     told = bills.where(F.coalesce(F.nullif("hospital_name", F.lit("")), F.nullif("hospital_phone", F.lit("")), F.nullif("fap_url", F.lit(""))).isNotNull())
     read = told.select(
-        "bill_id", block, n.bill_name(F.coalesce("hospital_name", F.lit(""))).alias("__bill"), n.host("fap_url").alias("__domain"), F.col("hospital_address").alias("__address"),
+        "bill_id", block, n.bill_name(F.coalesce("hospital_name", F.lit(""))).alias("__bill"), n.host("fap_url").alias("__domain"), F.lower("hospital_address").alias("__address"),
         F.array(n.digits(F.coalesce("hospital_phone", F.lit(""))), n.digits(F.coalesce("fap_phone", F.lit("")))).alias("__phones"),
     )
-    pairs = read.join(hospitals, block).withColumn("__ratio", fuzzy.token_set_ratio_of("__bill", n.bill_name("name")))
-    scored = pairs.withColumn("score", bill_score(F.col("__ratio"), F.col("__phones"), F.col("__domain"), F.col("__address")))
-    return top_candidates(scored.select("bill_id", "ccn", "score"), "bill_id", "score", F.col("ccn"))
+    registry = hospitals.select("ccn", block, "name", "website_domain", n.digits("phone").alias("__phone"), F.lower("city").alias("__city"))
+    best = best_names(read, "bill_id", F.col("__bill"), registry, "ccn", n.bill_name("name"), [block], ["name", "ccn"], k=3, scale=NAME_SHARE, extra=_beside_names)
+    return top_candidates(best, "bill_id", "score", F.col("place"))
 
 
 # Registry types and owners that are taken in.

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions import fuzzy
+from tallyworks.operators.names import best_names
 from tallyworks.store import materialise
 
 
@@ -48,9 +48,7 @@ def fuzzy_block(rows: DataFrame, key: str, name: Column, block: list[Column], ta
     names = [f"__b{i}" for i in range(len(block))]
     a = rows.select(key, name.alias("__a"), *[c.alias(n) for c, n in zip(block, names, strict=True)])
     b = targets.select(target, target_name.alias("__b"), *[c.alias(n) for c, n in zip(target_block, names, strict=True)])
-    scored = a.join(b, names).select(key, target, fuzzy.token_set_ratio_of("__a", "__b").alias("score")).where(F.col("score") >= least)
-    best = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), target))
-    return scored.withColumn("__rn", best).where("__rn = 1").drop("__rn")
+    return best_names(a, key, F.col("__a"), b, target, F.col("__b"), names, [target], least=least, digits=12).drop("place")
 
 
 def top_candidates(scored: DataFrame, key: str, score: str, tie: Column, n: int = 3, sure: float = 75.0, lead: float = 10.0) -> DataFrame:
@@ -64,6 +62,15 @@ def top_candidates(scored: DataFrame, key: str, score: str, tie: Column, n: int
     return ranked.withColumn("confident", confident).drop("__next")
 
 
+def first_of_each(targets: DataFrame, features: list[str], target: str, n: int = 3) -> DataFrame:
+    """The first ``n`` targets of each combination of features: where scores only depend on features, no other can be among the best ``n``.
+
+    Partial sorts keep at most ``n`` ids a combination before anything is shuffled together.
+    """
+    place = F.row_number().over(Window.partitionBy(*features).orderBy(target))
+    return targets.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+
 def origins(loans: DataFrame) -> DataFrame:
     """(borrower, origin) of (borrower, lender) edges: the lenders that borrow from nobody, through any chain.
 

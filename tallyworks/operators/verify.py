@@ -1,17 +1,18 @@
 """Facts held to their quotes and sources: one ordered cascade of reasons, in built-in expressions.
 
-``checked`` joins facts with the texts they cite and gives each its first reason, or none. The wording rules read the
-quote in the form of ``text.normal_of``, which is computed once a fact.
+``checked`` brings the facts that cite a text together with it and gives each its first reason, or none. A text is
+brought into the form of ``text.normal_of`` once, before it meets its facts, and so is a quote; what the rules need of a
+text (its full-help bands, its passages for uninsured patients) is read from it once too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions import poverty
+from tallyworks.functions import poverty, tables
 from tallyworks.functions.poverty import plain_number
-from tallyworks.functions.text import normal_of, quote_found_of
+from tallyworks.functions.text import normal_of, quotes_held
 from tallyworks.operators import bands, wording
 from tallyworks.operators.corpus import number_stated
 from tallyworks.operators.facts import first_reason
@@ -66,6 +67,7 @@ ASSET_TESTED = (
     r"|\bbe applied\b|\btaken into account\b|\bconsists? of\b|\binclud\w+|\bdocument\w*|\bvalidate\b"
 )
 LATER_BAND = r"(?<![\d.])(\d{2,3})\s?%?\s*[-–]\s*(\d{2,3})\s?%"
+INSURED_TABLE = "the table is for insured patients only"
 #: Between items that are compared together.
 PARTED = "\ue002"
 NAMED_PERCENT = r"(?<![\d.$])(\d{2,3})\s?%"
@@ -123,18 +125,53 @@ def supports_asset_test(said: Column, flag: Column) -> Column:
     return said.rlike(ASSET_WORDS) & F.when(flag, said.rlike(ASSET_TESTED) & (~no | some)).otherwise(no & ~some)
 
 
+#: Facts that meet one copy of a text.
+CHUNK = 200
+
+
+def _with_sources(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``facts`` (with ``__said``) and what their sources say of them: ``__has``, ``__found``, ``__helped`` (bands of full
+    help), ``__for_insured`` and ``__for_all`` (tables of bands: for insured patients only, and given to all the same).
+
+    Facts meet their text in chunks, so a text that very many facts cite is copied once for CHUNK of them, and it isn't
+    copied for each fact. Facts without a text stay.
+    """
+    c = F.col
+    cited = facts.where("source_id is not null")
+    docs = texts.join(cited.select("source_id").distinct(), "source_id", "left_semi").select("source_id", normal_of("text").alias("__plain"))
+    docs = docs.where("__plain is not null")
+    docs = docs.withColumns({"__helped": tables.full_help_bands(c("__plain")), "__passages": tables.uninsured_passages(c("__plain"))})
+    many = cited.groupBy("source_id").agg(F.ceil(F.count("*") / CHUNK).alias("__chunks")).where("__chunks > 1")
+    dealt = facts.join(many, "source_id", "left").withColumn("__chunk", F.pmod(F.xxhash64("key", "path"), F.coalesce("__chunks", F.when(c("source_id").isNull(), 512).otherwise(1))))
+    grouped = dealt.groupBy("source_id", "__chunk").agg(F.collect_list(F.struct(*[f"`{x}`" for x in facts.columns if x != "source_id"])).alias("__facts"))
+    met = grouped.join(docs, "source_id", "left").withColumn("__held", quotes_held(F.transform("__facts", lambda f: f["__said"]), "__plain"))
+    table = lambda f: (f["path"] == TIERS) & f["tiers"].isNotNull()
+    told = F.transform("__facts", lambda f, i: F.struct(
+        f.alias("f"), F.coalesce(F.get("__held", i), F.lit(False)).alias("found"), F.when(table(f), tables.for_insured(c("__plain"), f["__said"])).alias("insured"),
+        F.when(table(f), tables.gives_tiers(c("__passages"), f["tiers"])).alias("all"),
+    ))
+    rows = met.select("source_id", c("__plain").isNotNull().alias("__has"), "__helped", F.explode(told).alias("__t"))
+    return rows.select("source_id", "__t.f.*", "__has", "__helped", c("__t.found").alias("__found"), F.coalesce("__t.insured", F.lit(False)).alias("__for_insured"), F.coalesce("__t.all", F.lit(False)).alias("__for_all"))
+
+
 def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFrame:
     """``facts`` with ``reason``: why a fact is rejected, null if it is accepted. The first rule that fails decides.
 
     ``facts`` has key, path, layer, state, source_id, quote and, each null where it doesn't apply, value (text),
-    number, flag, items (array of text: a list's parts, or the codes of states) and tiers (array of low, high, percent). ``texts`` has one text for each
-    source_id, ``set_aside`` one reason. Reported facts are accepted as they are.
+    number, flag, items (array of text: a list's parts, or the codes of states) and tiers (array of low, high, percent).
+    With a column ``sheet`` a free limit is also held against the table of discounts of its own sheet. ``texts`` has one
+    text for each source_id, ``set_aside`` one reason. Reported facts are accepted as they are.
     """
     c = F.col
-    rows = facts.join(texts.select("source_id", c("text").alias("__text")), "source_id", "left")
+    rows = _with_sources(facts.withColumn("__said", normal_of(F.coalesce("quote", F.lit("")))), texts)
     rows = rows.join(set_aside.select("source_id", c("reason").alias("__aside")), "source_id", "left")
-    rows = rows.withColumn("__said", normal_of(F.coalesce("quote", F.lit("")))).withColumn("__found", quote_found_of(F.coalesce("quote", F.lit("")), c("__text")))
     said, free, tiers = c("__said"), c("path") == FREE, (c("path") == TIERS) & c("tiers").isNotNull()
+    only_insured = c("__for_insured") & ~c("__for_all")
+    in_table = F.lit(False)
+    if "sheet" in facts.columns:
+        table = F.max(F.when(tiers & (c("layer") != "reported") & c("__found") & only_insured, said)).over(Window.partitionBy("sheet", "source_id"))
+        rows = rows.withColumn("__table", table)
+        in_table = F.contains("__table", said)
     # items are compared in the form of quotes; one that has several words stays one item
     items = F.transform(F.split(normal_of(F.array_join("items", PARTED, "")), PARTED), F.trim)
     rows, text = rows.withColumns({"__items": items, "__poverty": poverty.poverty_text(said)}), c("__poverty")
@@ -149,24 +186,33 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
     }
     line = free & (c("number") == 100) & poverty.states_poverty_line(said)
     early = first_reason(
-        ("source text missing", c("__text").isNull()),
+        ("source text missing", ~c("__has")),
         ("quote not found in source", ~c("__found")),
         ("document set aside", c("__aside").isNotNull()),
         ("value is a list or object written as text", looks_serialised(c("value"), c("items"))),
         ("value not in quote", (c("number").isNotNull() & ~number_stated(said, plain_number(c("number"))) & ~line) | ((F.size("tiers") > 0) & ~tiers_stated(said, c("tiers")))),
     )
     share = first_reason(("quote states the patient's share, not a discount", tiers & (patient_share(said) | bands.rises(c("tiers")))))
-    late = first_reason(
-        ("quote does not state the free-care limit as an income limit", free & ~wording.free_limit_stated(said, text, c("number"))),
-        ("quote gives different free-care limits for inpatient and outpatient care", free & wording.free_limit_split(said, text)),
-        ("quote gives the limit as the top of a later band, not the free band", free & tops_later_band(said, c("number"))),
-        ("quote describes a sliding scale or a denial, not free care", free & not_free(said)),
-        ("quote states the band for another state's facilities", free & (c("state") != "NJ") & said.rlike(STATE_PROGRAM)),
-        ("quote states an eligibility ceiling for any assistance, not a free-care band", free & assistance_ceiling(said)),
-        ("the band needs a financial hardship, so it is not an income band", tiers & needs_hardship(c("quote"), c("tiers"))),
-        ("the table gives different discounts for inpatient and outpatient care", tiers & said.rlike(SERVICE_COLUMNS)),
-        ("quote does not support the asset-test value", (c("path") == ASSETS) & ~supports_asset_test(said, c("flag"))),
+    limit = first_reason(
+        ("quote does not state the free-care limit as an income limit", ~wording.free_limit_stated(said, text, c("number"))),
+        ("quote gives different free-care limits for inpatient and outpatient care", wording.free_limit_split(said, text)),
+        ("quote gives the limit as the top of a later band, not the free band", tops_later_band(said, c("number"))),
+        ("quote describes a sliding scale or a denial, not free care", not_free(said)),
+        ("quote states the band for another state's facilities", (c("state") != "NJ") & said.rlike(STATE_PROGRAM)),
+        ("quote charges the patient within the free band", tables.charges_patient(said)),
+        ("the document gives full assistance to a band above this limit", tables.helped_above(c("__helped"), c("number").cast("decimal(18,6)"))),
+        ("quote states an eligibility ceiling for any assistance, not a free-care band", assistance_ceiling(said)),
+        (INSURED_TABLE, in_table),
+    )
+    table = first_reason(
+        ("quote gives the discount as a range or a floor, not a fixed percentage", tables.of_tiers(c("tiers"), tables.range_discounts(said))),
+        ("the band needs a financial hardship, so it is not an income band", needs_hardship(c("quote"), c("tiers"))),
+        ("the discount is added to another one", tables.of_tiers(c("tiers"), tables.added_discounts(said))),
+        (INSURED_TABLE, only_insured),
+        ("the tier is read from the wrong column of the table for this hospital", tables.wrong_column(said, c("state"), c("tiers"))),
+        ("the table gives different discounts for inpatient and outpatient care", said.rlike(SERVICE_COLUMNS)),
     )
-    reason = F.coalesce(early, problem["list"], problem["ceiling"], share, problem["limit"], late, problem["insured"], problem["residency"])
+    assets = first_reason(("quote does not support the asset-test value", (c("path") == ASSETS) & ~supports_asset_test(said, c("flag"))))
+    reason = F.coalesce(early, problem["list"], problem["ceiling"], share, problem["limit"], F.when(free, limit), F.when(tiers, table), problem["insured"], assets, problem["residency"])
     own = F.when(F.startswith(reason, F.lit("document set")), c("__aside")).otherwise(reason)
     return rows.withColumn("reason", F.when(c("layer") != "reported", own)).select(*facts.columns, "reason")

@@ -159,10 +159,10 @@ def ceiling_problem(said: Column, text: Column, ceiling: Column) -> Column:
     """Why a quote can't carry an assistance ceiling: it must give it as a percentage of the poverty level, as the
     highest that it names and no floor, with more than the free band, and about the hospital's own help."""
     tied = p.tied_percents(text)
-    pattern = F.concat(F.lit(r"(?<![\d.])"), F.replace(p.plain_number(ceiling), F.lit("."), F.lit(r"\.")), F.lit(r"(?:\.?0+)?"), F.lit(p.TIED))
+    pattern = F.concat(F.lit(r"(?<![\d.])"), p.number_pattern(ceiling), F.lit(p.TIED))
     return first_reason(
         ("quote does not state the ceiling as a percentage of the poverty level", ~F.exists(tied, lambda x: x == ceiling)),
-        ("quote states the percentage as a floor (above, over, at least), not a ceiling", F.exists(p.around(text, pattern, ceiling), lambda x: x["before"].rlike(FLOOR_BEFORE))),
+        ("quote states the percentage as a floor (above, over, at least), not a ceiling", F.exists(p.around(text, pattern), lambda x: x["before"].rlike(FLOOR_BEFORE))),
         ("quote names a higher income limit than the ceiling", F.exists(tied, lambda x: x > ceiling)),
         ("quote states the free-care band, not the ceiling", F.forall(tied, lambda x: x == ceiling) & only_free_band(said)),
         ("quote does not say the hospital's financial assistance reaches it", ~_own_words(text).rlike(HELP)),

@@ -68,7 +68,9 @@ def top3_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates within a state and whether the first is confident."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("state"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cand"), F.col("s_nationkey").alias("state"))
-    score = F.lit(40.0) + F.when(F.col("key") % 10 == F.col("cand") % 10, 30).otherwise(0) + F.when(F.col("key") % 7 == F.col("cand") % 7, 15).otherwise(0)
+    # a score depends on the state and the two remainders alone, so the first three of each are all that can be among the best
+    s = linkage.first_of_each(s.withColumns({"__ten": F.col("cand") % 10, "__seven": F.col("cand") % 7}), ["state", "__ten", "__seven"], "cand")
+    score = F.lit(40.0) + F.when(F.col("key") % 10 == F.col("__ten"), 30).otherwise(0) + F.when(F.col("key") % 7 == F.col("__seven"), 15).otherwise(0)
     pairs = c.join(s, "state").select("key", "cand", F.round(score, 1).alias("score"))
     return linkage.top_candidates(pairs, "key", "score", F.col("cand")).select("key", "cand", "score", "place", "confident")
 
