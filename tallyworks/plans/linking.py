@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import fuzzy
 from tallyworks.functions import normalise as n
+from tallyworks.operators import crosswalk as crosswalks
 from tallyworks.operators import linkage
 from tallyworks.sources.readers import table
 
@@ -90,3 +91,71 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both scores of parts' names against their types."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("b"))
     return p.select("p_partkey", fuzzy.ratio_of("a", "b").alias("ratio"), fuzzy.token_set_ratio_of("a", "b").alias("token_set"))
+
+
+_CROSSWALK_ROWS = r"""
+WITH h AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS ccn, c_custkey AS k, 'H' || lpad(CAST(c_custkey % 23 AS VARCHAR), 3, '0') || ' W' || lpad(CAST(c_custkey % 11 AS VARCHAR), 2, '0') AS plain,
+    'S' || CAST(c_nationkey % 3 AS VARCHAR) AS state, lpad(CAST(c_custkey % 10 AS VARCHAR), 5, '0') AS zip5, 'c' || CAST(c_nationkey % 4 AS VARCHAR) AS town FROM customer),
+e AS (SELECT o_custkey AS k, o_orderkey AS line, o_orderkey % 5 = 0 AS unit, o_orderkey % 4 = 0 AS main, CAST(o_orderkey AS VARCHAR) AS npi, 'a' || CAST((o_custkey + o_orderkey) % 300 AS VARCHAR) AS who FROM orders WHERE o_orderkey % 3 = 0),
+enrolled AS (SELECT k, npi, who FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY unit, NOT main, line) AS place FROM e JOIN h USING (k)) WHERE place = 1)"""
+
+
+@query(_CROSSWALK_ROWS + """
+SELECT ccn, npi, who AS associate_id FROM h JOIN enrolled USING (k)""")
+def enrollment_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One enrollment row a hospital: its own before its units', the main location before others."""
+    h, _, enrollments, _ = _crosswalk_tables(spark, sf_dir)
+    return crosswalks.enrollment_of(h, enrollments).select("ccn", "npi", "associate_id")
+
+
+@query(_CROSSWALK_ROWS + """,
+l AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 9 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS ccn, 'H' || lpad(CAST(p_partkey % 23 AS VARCHAR), 3, '0') || ' W' || lpad(CAST(p_partkey % 11 AS VARCHAR), 2, '0') AS words,
+    p_partkey % 3 = 0 AS east, lpad(CAST(p_partkey % 10 AS VARCHAR), 5, '0') AS zip5, 'c' || CAST(p_partkey % 4 AS VARCHAR) AS town, 'S' || CAST(p_partkey % 3 AS VARCHAR) AS state, CAST(100000000 + p_partkey AS VARCHAR) AS ein FROM part WHERE p_partkey % 10 <> 0),
+s AS (SELECT k, ccn, state, CASE WHEN k % 17 = 0 THEN 'manual' ELSE 'cbi' END AS method, CAST(200000000 + k AS VARCHAR) AS ein, 'a' || CAST(k % 300 AS VARCHAR) AS who FROM h WHERE k % 17 = 0 OR k % 13 = 0),
+base AS (SELECT h.*, npi, coalesce(enrolled.who, s.who) AS who, CASE WHEN s.method = 'manual' THEN s.ein END AS manual, (SELECT arg_min(l.ein, l.line) FROM l WHERE l.ccn = h.ccn AND l.state = h.state) AS cbi
+  FROM h LEFT JOIN enrolled USING (k) LEFT JOIN s ON s.k = h.k),
+fresh AS (SELECT state, who, arg_max(cbi, plain || ccn) AS ein FROM base WHERE manual IS NULL AND cbi IS NOT NULL AND who IS NOT NULL GROUP BY ALL),
+old AS (SELECT b.state, b.who, arg_max(s.ein, s.ccn) AS ein FROM (SELECT DISTINCT state, who FROM base) b JOIN s ON s.who = b.who AND s.method = 'cbi' AND s.state <> b.state GROUP BY ALL),
+same AS (SELECT h.k, arg_min(l.ein, l.line) AS ein FROM h JOIN l ON l.state = h.state AND l.zip5 = h.zip5 AND l.words = h.plain AND NOT east GROUP BY ALL),
+near AS (SELECT h.k, arg_min(l.ein, l.line) AS ein FROM h JOIN l ON l.state = h.state AND l.zip5 = h.zip5 AND l.town = h.town AND l.words = h.plain GROUP BY ALL)
+SELECT ccn, npi, who AS associate_id, coalesce(manual, cbi, fresh.ein, old.ein, same.ein, near.ein) AS ein,
+  CASE WHEN manual IS NOT NULL THEN 'manual' WHEN cbi IS NOT NULL THEN 'cbi' WHEN coalesce(fresh.ein, old.ein) IS NOT NULL THEN 'enrollments' WHEN same.ein IS NOT NULL THEN 'name_zip' WHEN near.ein IS NOT NULL THEN 'fuzzy' END AS match_method,
+  CAST(CASE WHEN coalesce(manual, cbi) IS NOT NULL THEN 1.0 WHEN coalesce(fresh.ein, old.ein) IS NOT NULL THEN 0.9 WHEN same.ein IS NOT NULL THEN 0.8 WHEN near.ein IS NOT NULL THEN 0.7 END AS DOUBLE) AS match_confidence
+FROM base LEFT JOIN fresh USING (state, who) LEFT JOIN old USING (state, who) LEFT JOIN same USING (k) LEFT JOIN near USING (k)""")
+def registry_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax numbers and provider identifiers of a registry by all methods; names are alike by their words, as SQL can say."""
+    out = crosswalks.crosswalk(*_crosswalk_tables(spark, sf_dir), "2026")
+    return out.select("ccn", "npi", "associate_id", "ein", "match_method", "match_confidence")
+
+
+@query()
+def nearest_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar listed name, anywhere in the state, of each hospital that no method ties to a tax number."""
+    out = crosswalks.crosswalk(*_crosswalk_tables(spark, sf_dir), "2026").where("match_method is null")
+    return out.select("ccn", "best_name", "best_ein", "best_score")
+
+
+def _crosswalk_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Customers as a registry, parts as a list of tax numbers, orders as enrollments, and some stored matches."""
+    k, pad = F.col("k"), lambda c, n: F.lpad(c.cast("string"), n, "0")
+    words = lambda k: F.concat(F.lit("H"), pad(k % 23, 3), F.lit(" W"), pad(k % 11, 2))
+    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    state = F.concat(F.lit("S"), (F.col("c_nationkey") % 3).cast("string"))
+    hospitals = c.select(pad(k, 6).alias("ccn"), F.concat(words(k), F.lit(" Hospital")).alias("name"), F.concat(F.lit("C"), (F.col("c_nationkey") % 4).cast("string")).alias("city"), state.alias("state"), (k % 10).cast("string").alias("zip"))
+    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    listed = p.select(
+        k.alias("line"), F.when(k % 9 == 0, k.cast("string")).alias("ccn"), F.concat(words(k), F.when(k % 3 == 0, " East").otherwise(", Inc.")).alias("name"), F.concat(F.lit("c"), (k % 4).cast("string")).alias("city"),
+        F.lit(None).cast("string").alias("state"), pad(k % 10, 5).alias("zip"), F.when(k % 10 == 0, "12-3").otherwise((k + 100_000_000).cast("string")).alias("ein"), F.lit("December 6, 2024").alias("updated"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("file_state"),
+    )
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey"))
+    order = F.col("o_orderkey")
+    enrollments = o.select(
+        F.when(order % 3 != 0, None).when(order % 5 == 0, F.concat(pad(k, 6), F.lit("A"))).otherwise(k.cast("string")).alias("ccn"), order.alias("line"), order.cast("string").alias("npi"),
+        F.concat(F.lit("a"), ((k + order) % 300).cast("string")).alias("associate_id"), F.lit("N").alias("nonprofit"), F.when(order % 4 == 0, "MAIN").otherwise("OTHER").alias("location_type"),
+    )
+    known = (k % 17 == 0) | (k % 13 == 0)
+    stored = c.select(
+        pad(k, 6).alias("ccn"), F.when(known, (k + 200_000_000).cast("string")).alias("ein"), F.when(known, F.concat(F.lit("a"), (k % 300).cast("string"))).alias("associate_id"),
+        F.when(k % 17 == 0, "manual").when(known, "cbi").alias("match_method"), F.lit("stored").alias("matched_name"), F.lit("before").alias("ein_vintage"),
+    )
+    return hospitals, listed, enrollments, stored
