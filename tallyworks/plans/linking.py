@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions import fuzzy
 from tallyworks.functions import normalise as n
 from tallyworks.operators import crosswalk as crosswalks
-from tallyworks.operators import linkage
+from tallyworks.operators import filings, linkage
 from tallyworks.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -159,3 +159,33 @@ def _crosswalk_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         F.when(k % 17 == 0, "manual").when(known, "cbi").alias("match_method"), F.lit("stored").alias("matched_name"), F.lit("before").alias("ein_vintage"),
     )
     return hospitals, listed, enrollments, stored
+
+
+@query("""
+WITH li AS (SELECT l_orderkey AS filing, l_linenumber + 10 * row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS place, l_linenumber % 4 AS line, l_partkey AS p, l_suppkey AS s, l_returnflag AS flag FROM lineitem),
+f AS (SELECT filing, place, line, 'Hill ' || CAST(p % 5 AS VARCHAR) AS name, CASE s % 3 WHEN 1 THEN 'A' WHEN 2 THEN 'B' END AS grp, row_number() OVER (PARTITION BY filing ORDER BY place) AS rank FROM li WHERE flag = 'N'),
+a AS (SELECT filing, place, CASE WHEN p % 6 <> 0 THEN line END AS line, CASE s % 5 WHEN 1 THEN 'a' WHEN 2 THEN 'Reporting group - B' WHEN 3 THEN 'The Hill ' || CAST(p % 5 AS VARCHAR) END AS name, CASE s % 5 WHEN 1 THEN 'A' WHEN 2 THEN 'B' END AS code,
+    CASE WHEN s % 5 = 3 THEN 'Hill ' || CAST(p % 5 AS VARCHAR) END AS named, CAST(100 + 50 * (p % 2) AS BIGINT) AS free, row_number() OVER (PARTITION BY filing ORDER BY place) AS rank FROM li WHERE flag <> 'N'),
+per AS (SELECT filing, count(*) AS n, count(line) = count(*) AND count(DISTINCT line) = count(*) AS lines, count(DISTINCT free) = 1 AS eq, arg_min(place, place) AS first FROM a GROUP BY 1),
+met AS (SELECT f.*, per.* EXCLUDE (filing), coalesce((SELECT min(place) FROM a WHERE a.filing = f.filing AND a.code = f.grp), (SELECT min(place) FROM a WHERE a.filing = f.filing AND a.named = f.name)) AS chosen,
+    (SELECT min(place) FROM a WHERE a.filing = f.filing AND a.line = f.line) AS byline, (SELECT place FROM a WHERE a.filing = f.filing AND a.rank = f.rank) AS byrank FROM f LEFT JOIN per USING (filing)),
+ruled AS (SELECT *, CASE WHEN n IS NULL THEN NULL WHEN n = 1 AND count(grp) OVER w = count(*) OVER w AND min(grp) OVER w = max(grp) OVER w THEN 'lone' WHEN max(chosen) OVER w IS NOT NULL THEN 'named' WHEN lines THEN 'line' WHEN eq THEN 'equal'
+    WHEN n = count(*) OVER w THEN 'order' ELSE 'first' END AS rule FROM met WINDOW w AS (PARTITION BY filing)),
+given AS (SELECT *, CASE rule WHEN 'lone' THEN first WHEN 'equal' THEN first WHEN 'named' THEN coalesce(chosen, CASE WHEN lines THEN byline END) WHEN 'line' THEN byline WHEN 'order' THEN byrank END AS at FROM ruled),
+loose AS (SELECT a.*, coalesce(r.rule, CASE WHEN r.filing IS NULL AND per.lines THEN 'line' WHEN r.filing IS NULL THEN 'first' END) AS rule FROM a JOIN per USING (filing) LEFT JOIN (SELECT filing, any_value(rule) AS rule FROM ruled GROUP BY 1) r USING (filing))
+SELECT g.filing, g.place, g.line, g.name, g.rule, a.free FROM given g LEFT JOIN a ON a.filing = g.filing AND a.place = g.at WHERE g.rule IS NULL OR g.rule <> 'first'
+UNION ALL SELECT filing, NULL, line, name, rule, free FROM loose l WHERE rule = 'line' AND NOT EXISTS (SELECT 1 FROM f WHERE f.filing = l.filing AND f.line = l.line)
+UNION ALL SELECT filing, NULL, NULL, name, rule, free FROM loose WHERE rule = 'first' AND rank = 1""")
+def facility_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as a return's facilities (flag N) and groups of answers (other flags): which answers hold for which facility."""
+    c = F.col
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem").withColumns({"filing": c("l_orderkey"), "place": c("l_linenumber") + 10 * place, "line": c("l_linenumber") % 4})
+    none, hill = F.lit(None).cast("string"), F.concat(F.lit("Hill "), (c("l_partkey") % 5).cast("string"))
+    facilities = li.where("l_returnflag = 'N'").select(
+        "filing", "place", "line", hill.alias("name"), *[none.alias(x) for x in ("city", "state", "zip5", "license")], F.when(c("l_suppkey") % 3 == 1, "A").when(c("l_suppkey") % 3 == 2, "B").alias("group")
+    )
+    s = c("l_suppkey") % 5
+    named = F.when(s == 1, "a").when(s == 2, "Reporting group - B").when(s == 3, F.concat(F.lit("The "), hill))
+    answers = li.where("l_returnflag <> 'N'").select("filing", "place", F.when(c("l_partkey") % 6 != 0, c("line")).alias("line"), named.alias("name"), (100 + 50 * (c("l_partkey") % 2)).cast("long").alias("free"))
+    return filings.attributed(facilities, answers, ["free"]).select("filing", "place", "line", "name", "rule", "free")
