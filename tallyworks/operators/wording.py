@@ -101,7 +101,7 @@ def _without(said: Column, pattern: str) -> Column:
     return F.regexp_replace(said, pattern, " ")
 
 
-def _marked(said: Column, item: Column, markers: dict[str, str]) -> Column:
+def marked(said: Column, item: Column, markers: dict[str, str]) -> Column:
     """Whether a quote says what an item of a fixed list needs; false for items that are not on it."""
     return F.coalesce(*[F.when(item == kind, said.rlike(marker)) for kind, marker in markers.items()], F.lit(False))
 
@@ -113,6 +113,15 @@ def _program_named(said: Column, item: Column) -> Column:
     return synonym | F.contains(said, item) | ((F.size(words) > 0) & F.forall(words, lambda w: F.contains(said, w)))
 
 
+def program_stands(said: Column, as_is: Column, plain: Column) -> Column:
+    """Whether a listed programme is short enough, no sentence, and named by the quote."""
+    return (F.length(as_is) <= LONGEST_PROGRAM) & ~F.lower(as_is).rlike(SENTENCE_SHAPED) & _program_named(said, plain)
+
+
+def provider_stands(said: Column, as_is: Column, plain: Column) -> Column:
+    return (F.length(as_is) <= LONGEST_PROVIDER) & F.contains(said, plain)
+
+
 def list_problem(path: Column, said: Column, items: Column, said_items: Column) -> Column:
     """Why a list doesn't stand on its quote: nothing of it is named, or only a part.
 
@@ -120,12 +129,12 @@ def list_problem(path: Column, said: Column, items: Column, said_items: Column)
     "other" among documents stands once something else is named, unless the list is all there is.
     """
     all_kinds = F.forall(F.array(*map(F.lit, DOCUMENT_MARKERS)), lambda k: F.array_contains(items, k))
-    named = F.filter(F.array_distinct(items), lambda i: _marked(said, i, DOCUMENT_MARKERS))
+    named = F.filter(F.array_distinct(items), lambda i: marked(said, i, DOCUMENT_MARKERS))
     n_documents = F.size(named) + F.when(F.array_contains(items, "other") & ~all_kinds, 1).otherwise(0)
-    n_channels = F.size(F.filter(items, lambda i: _marked(said, i, CHANNEL_MARKERS)))
+    n_channels = F.size(F.filter(items, lambda i: marked(said, i, CHANNEL_MARKERS)))
     pairs = F.array_distinct(F.arrays_zip(items.alias("as_is"), said_items.alias("plain")))
-    n_programs = F.size(F.filter(pairs, lambda x: (F.length(x["as_is"]) <= LONGEST_PROGRAM) & ~F.lower(x["as_is"]).rlike(SENTENCE_SHAPED) & _program_named(said, x["plain"])))
-    n_providers = F.size(F.filter(pairs, lambda x: (F.length(x["as_is"]) <= LONGEST_PROVIDER) & F.contains(said, x["plain"])))
+    n_programs = F.size(F.filter(pairs, lambda x: program_stands(said, x["as_is"], x["plain"])))
+    n_providers = F.size(F.filter(pairs, lambda x: provider_stands(said, x["as_is"], x["plain"])))
     part = "quote does not name every listed item"
 
     def rule(at: str, what: str, some: Column, n: Column) -> list[tuple[str, Column]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.operators import aside, cases, verify, wording
+from tallyworks.operators import aside, cases, drafts, verify, wording
 from tallyworks.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -156,3 +156,52 @@ def documents_of_other_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "pages").select((F.col("page_id") % n + 1).cast("string").alias("ccn"), F.col("page_id").cast("string").alias("source_id"))
     loans = held.withColumn("lender", F.lit("1"))
     return aside.documents_set_aside(hospitals, pages, held, loans).select("ccn", "source_id", "clause")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS key, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'missing quote or source_id' WHEN c_custkey % 3 = 2 THEN 'unknown source_id d2' END AS first FROM customer),
+f AS (
+  SELECT key, 'eligibility.free_care_max_fpl' AS path, CAST(100 + k % 300 AS DOUBLE) AS number, NULL AS flag, NULL AS value, coalesce(first, CASE WHEN k % 7 = 0 THEN 'no number' END) AS reason FROM c
+  UNION ALL SELECT key, 'apply.window_days_from_first_bill', CAST(200 + k % 100 AS DOUBLE), NULL, NULL, coalesce(first, CASE WHEN k % 100 < 40 THEN 'application window ' || CAST(200 + k % 100 AS VARCHAR) || ' is below the 501(r) minimum of 240 days' END) FROM c
+  UNION ALL SELECT key, 'eligibility.asset_test', NULL, k % 4 IN (0, 3), NULL, coalesce(first, CASE WHEN k % 4 = 2 THEN 'not a boolean' END) FROM c
+  UNION ALL SELECT key, 'contacts.phone', NULL, NULL, '(555) ' || substring(lpad(CAST(k AS VARCHAR), 7, '0'), 1, 3) || '-' || right(lpad(CAST(k AS VARCHAR), 7, '0'), 4), coalesce(first, CASE WHEN k % 11 = 0 THEN 'no phone number' END) FROM c
+  UNION ALL SELECT key, unnest(['eligibility.discount_tiers', 'eligibility.residency', 'eligibility.insured_patients_covered', 'programs.presumptive', 'apply.form_url', 'apply.documents_required', 'apply.submit_methods', 'apply.decision_days',
+    'collections.eca_wait_days', 'contacts.hours', 'contacts.languages', 'coverage.facilities', 'coverage.covered_providers', 'eligibility.assistance_ceiling_fpl']), NULL, NULL, NULL, 'absent' FROM c)
+SELECT key, path, CASE WHEN reason IS NULL THEN number END AS number, CASE WHEN reason IS NULL THEN flag END AS flag, CASE WHEN reason IS NULL THEN value END AS value, reason FROM f""")
+def draft_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of customers: every field a typed fact, or why it is skipped."""
+    k = F.col("c_custkey")
+    source, quote = F.concat(F.lit("d"), (k % 3).cast("string")), F.when(k % 5 == 0, "").otherwise("care is free here")
+    field = lambda name, v: F.concat(F.lit(f'"{name}": '), F.lit('{"value": '), v, F.lit(', "quote": "'), quote, F.lit('", "source_id": "'), source, F.lit('"}'))
+    text = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    parts = [
+        field("free_care_max_fpl", text(F.when(k % 7 == 0, "none").otherwise(F.concat((k % 300 + 100).cast("string"), F.lit("%"))))), field("window_days_from_first_bill", (k % 100 + 200).cast("string")),
+        field("asset_test", F.get(F.array(*[F.lit(x) for x in ('"Yes"', '"no"', '"maybe"', "true")]), (k % 4).cast("int"))),
+        field("phone", text(F.when(k % 11 == 0, "12").otherwise(F.concat(F.lit("555"), F.lpad(k.cast("string"), 7, "0"))))),
+    ]
+    rows = table(spark, sf_dir, "customer").select(k.alias("key"), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("draft"))
+    known = rows.select("key", F.explode(F.array(F.lit("d0"), F.lit("d1"))).alias("source_id"))
+    return drafts.fields(rows, "key", "draft", known).select("key", "path", F.col("number").cast("double").alias("number"), "flag", "value", "reason")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS key, 100.0 + 50 * (c_custkey % 6) AS free, 200.0 + 50 * (c_custkey % 5) AS ceiling, c_custkey % 2 = 0 AS same, CASE WHEN c_custkey % 3 = 0 THEN 150.0 + 50 * (c_custkey % 4) END AS band FROM customer),
+l AS (SELECT *, CASE WHEN free >= ceiling AND same THEN NULL ELSE free END AS kept FROM c),
+s AS (SELECT *, CASE WHEN band IS NOT NULL AND (kept IS NULL OR kept > band) THEN band ELSE kept END AS settled FROM l)
+SELECT key, 'eligibility.free_care_max_fpl' AS path, CAST(settled AS DOUBLE) AS number, NULL AS n_bands FROM s WHERE settled IS NOT NULL
+UNION ALL SELECT key, 'eligibility.discount_tiers', NULL, 1 FROM s WHERE band IS NOT NULL
+UNION ALL SELECT key, 'eligibility.assistance_ceiling_fpl', CAST(ceiling AS DOUBLE), NULL FROM s WHERE settled IS NULL AND band IS NULL""")
+def draft_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The income limits of drafts, settled between the stated limit, the ceiling and the table."""
+    k, s = F.col("c_custkey"), (lambda x: x.cast("string"))
+    said = lambda v, quote: F.concat(F.lit('{"value": '), v, F.lit(', "quote": "'), quote, F.lit('", "source_id": "d"}'))
+    passage = F.lit("help up to so many percent of the poverty level")
+    band = s(150 + 50 * (k % 4))
+    tiers = F.concat(F.lit('[{"max_fpl_inclusive": '), band, F.lit(', "discount_percent": 100}, {"min_fpl_exclusive": '), band, F.lit(', "max_fpl_inclusive": "900", "discount_percent": 50}]'))
+    fields = F.concat_ws(
+        ", ", F.concat(F.lit('"free_care_max_fpl": '), said(s(100 + 50 * (k % 6)), passage)), F.concat(F.lit('"assistance_ceiling_fpl": '), said(s(200 + 50 * (k % 5)), F.when(k % 2 == 0, passage).otherwise("another passage of the document"))),
+        F.when(k % 3 == 0, F.concat(F.lit('"discount_tiers": '), said(tiers, F.lit("a table of discounts")))),
+    )
+    rows = table(spark, sf_dir, "customer").select(k.alias("key"), F.concat(F.lit("{"), fields, F.lit("}")).alias("draft"))
+    facts, _ = drafts.reconciled(drafts.fields(rows, "key", "draft", rows.select("key", F.lit("d").alias("source_id"))), "key")
+    return facts.select("key", "path", F.col("number").cast("double").alias("number"), F.when(F.col("tiers").isNotNull(), F.size("tiers")).alias("n_bands"))
