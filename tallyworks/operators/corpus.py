@@ -9,32 +9,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words by which a page names assistance.
-ASSISTANCE = r"(?i)financial assistance|charity care|free care|discounted care|ability to pay"
-THIN_CHARS = 200
+from tallyworks.functions.text import compatible
+
+# Words by which a page's prose names assistance, a word that does alone, and links, which are no prose.
+ASSISTANCE = ["financial assistance", "financial-assistance", "financialassistance", "charity", "billing and collection", "billing-and-collection"]
+ASSISTANCE_WORD = "(?<![a-z0-9])fap(?![a-z0-9])"
+MARKDOWN_LINK = r'(?<!!)\[([^\]]*)\]\(\s*<?([^\s<>()"]+)>?(?:\s+"[^"]*")?\s*\)'
+#: Characters of a page that is no menu.
+THIN_CHARS = 1000
+PDF = r"(?i)^[^?#]*\.pdf(?:[?#].*)?$"
 MIN_QUOTE = 12
 #: Character runs that a task hands on at once.
 GRAMS = 1 << 16
-# Stop words by language, for a vote.
-STOP_WORDS = {
-    "en": "the and of to is are for with you your will be this that by if may not from have".split(),
-    "es": "que y para por con una usted su sus se como más este esta son pueden".split(),
-    "fr": "les et une pour dans qui sur par vous votre vos cette sont être avec aux".split(),
-    "de": "der die das und ist nicht mit von zu den dem ein eine einen für auf".split(),
+# Common words of languages, and what has no language: targets of links, images and bare addresses.
+COMMON_WORDS = {
+    "english": (
+        "the and of to is are for with you your will be this that by if may not from have has which who our it all any can must their they we would should than "
+        "been were was its such these those"
+    ),
+    "spanish": "que y para por con una usted su sus se como más este esta son pueden puede cuando también sobre ser",
+    "tagalog": "ang ng mga sa ay kung ito hindi ninyo iyong nito sila siya upang dahil kapag lamang",
+    "german": "der die das und ist nicht mit von zu den dem ein eine einen für auf sind oder wird werden bei auch nach wenn dass kann ihre",
+    "portuguese": "que em uma um não ao é são seu sua ou pelo pela também você",
+    "french": "les et une pour dans qui sur par vous votre vos cette sont être avec aux",
+    "vietnamese": "của và là có được cho các những không một trong với người này để khi theo từ tài chính hỗ trợ đơn",
+    "polish": "nie się jest oraz lub dla przez który która które jeśli może są być jako tym pomocy finansowej",
+    "hmong": "kev pab nyiaj koj yuav thiab rau ntawm uas muaj cov tsis yog hauv txog neeg",
+    "haitian_creole": "pou nan yo ki li gen sou oswa lè fè kote avèk epi konsa sèvis pasyan",
+    "italian": "che della delle degli dei sono questo questa gli nel nella alla sulla anche più può assistenza finanziaria",
+    "albanian": "dhe të në për nga një është janë që ose nuk kjo ky tyre ndihma financiare",
+    "bosnian": "je su za koji koja koje ili ako može nije biti kao pomoć",
 }
+LINK_TARGETS = r"!\[[^\]]*\]\([^)]*\)|\]\([^)]*\)|https?://\S+|www\.\S+"
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LATIN = r"[\p{L}\p{Nl}\p{No}&&[a-z\u00c0-\u024f\u1e00-\u1eff]]"
+DENSE_SCRIPT = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af]"
+#: Share of letters of another script, and number of common words, that make a text no English one.
+OTHER_SCRIPT_SHARE, FOREIGN_WORDS = 0.4, 3
+
+
+def is_pdf(url: str | Column) -> Column:
+    return (F.col(url) if isinstance(url, str) else url).rlike(PDF)
 
 
 def names_assistance(text: str | Column) -> Column:
-    return (F.col(text) if isinstance(text, str) else text).rlike(ASSISTANCE)
+    """Whether the prose of a page, its text outside links, names financial assistance."""
+    prose = F.replace(F.lower(F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), MARKDOWN_LINK, " ")), F.lit("_"), F.lit("-"))
+    said = prose.rlike(ASSISTANCE_WORD)
+    for words in ASSISTANCE:
+        said = said | F.contains(prose, F.lit(words))
+    return said
+
+
+def _length(text: str) -> Column:
+    return F.length(F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\r\x0b\x0c")))
 
 
-def thin(text: str) -> Column:
-    return F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) < THIN_CHARS
+def thin(url: str, text: str) -> Column:
+    """Whether a page was read but is mostly its menu; PDFs are what they are, and empty texts are no pages."""
+    return (_length(text) > 0) & (_length(text) < THIN_CHARS) & ~is_pdf(url)
+
+
+def usable(url: str, text: str) -> Column:
+    """Whether a download may be kept: a PDF, a page that isn't thin, or one whose prose names assistance."""
+    return F.coalesce(is_pdf(url), F.lit(False)) | (_length(text) >= THIN_CHARS) | names_assistance(text)
 
 
 def navigation_shells(pages: DataFrame, url: str, text: str) -> DataFrame:
     """(url) of pages, PDFs aside, that share their text with another address and never name assistance."""
-    web = pages.where(~F.lower(url).endswith(".pdf")).select(F.col(url).alias("url"), F.sha2(F.trim(text), 256).alias("sha"), names_assistance(text).alias("named"))
+    web = pages.where(~is_pdf(url)).select(F.col(url).alias("url"), F.sha2(F.trim(text), 256).alias("sha"), names_assistance(text).alias("named"))
     groups = web.groupBy("sha").agg(F.count_distinct("url").alias("n"), F.bool_or("named").alias("named")).where("n > 1 and not named")
     return web.join(groups.select("sha"), "sha", "left_semi").select("url").distinct()
 
@@ -102,21 +145,29 @@ def number_stated(text: str | Column, number: str | Column) -> Column:
 
 
 def language_votes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, votes by language) of the stop words in a text, every occurrence counted; nothing is shuffled."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), F.array().cast("array<string>")).alias("w"))
-    counts = [F.size(F.filter("w", _stops(lang))).cast("long").alias(f"votes_{lang}") for lang in STOP_WORDS]
-    return words.select("doc_id", *counts)
+    """(doc_id, latin, other, votes by language): letters of the Latin and of other scripts, and common words of each language.
+
+    Links' targets, images and addresses are left out; Han, kana and Hangul count twice. Every occurrence counts, a
+    word for all languages that have it, and nothing is shuffled. A null text has none.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.lower(compatible(F.coalesce(F.col(text), F.lit("")))).alias("t")).select("doc_id", F.regexp_replace("t", LINK_TARGETS, " ").alias("t"))
+    latin = F.regexp_count("t", F.lit(LATIN)).cast("long")
+    other = F.regexp_count("t", F.lit(LETTER)).cast("long") - latin + F.regexp_count("t", F.lit(DENSE_SCRIPT)).cast("long")
+    words = plain.select("doc_id", latin.alias("latin"), other.alias("other"), F.regexp_extract_all("t", F.lit(f"{LETTER}+"), F.lit(0)).alias("w"))
+    counts = [F.size(F.filter("w", _common(lang))).cast("long").alias(f"votes_{lang}") for lang in COMMON_WORDS]
+    return words.select("doc_id", "latin", "other", *counts)
 
 
-def _stops(lang: str):
-    return lambda w: w.isin(STOP_WORDS[lang])
+def _common(lang: str):
+    return lambda w: w.isin(COMMON_WORDS[lang].split())
 
 
-def reads_as_english(votes: dict[str, Column] | None = None) -> Column:
-    """English unless at least three stop words of another language outnumber its own."""
-    v = votes or {lang: F.col(f"votes_{lang}") for lang in STOP_WORDS}
-    foreign = F.greatest(*[c for lang, c in v.items() if lang != "en"])
-    return ~((foreign >= 3) & (foreign > v["en"]))
+def reads_as_english() -> Column:
+    """English, by ``language_votes``, unless other scripts have OTHER_SCRIPT_SHARE of the letters, or common words of
+    another language, FOREIGN_WORDS at least, outnumber its own. A table of figures or a list of names is nobody's."""
+    foreign = F.greatest(*[F.col(f"votes_{lang}") for lang in COMMON_WORDS if lang != "english"])
+    script = (F.col("other") > 0) & (F.col("other") >= OTHER_SCRIPT_SHARE * (F.col("latin") + F.col("other")))
+    return ~script & ~((foreign >= FOREIGN_WORDS) & (foreign > F.col("votes_english")))
 
 
 def set_aside_first(docs: DataFrame, key: list[str], stages: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -71,28 +71,32 @@ def sha_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-SHELLS = r"regexp_replace(html, '<[^>]*>|\s+', ' ', 'g')"
+NAMED = r"""regexp_matches(replace(lower(regexp_replace({t}, '\[[^\]]*\]\(\s*<?[^\s<>()"]+>?(?:\s+"[^"]*")?\s*\)', ' ', 'g')), '_', '-'),
+  'financial assistance|financial-assistance|financialassistance|charity|billing and collection|billing-and-collection|(^|[^a-z0-9])fap($|[^a-z0-9])')"""
+SAID = r"regexp_replace(html, '<[^>]*>|\s+', ' ', 'g')"
 
 
-@query(f"""
-WITH w AS (SELECT url, sha256(trim({SHELLS})) AS sha, regexp_matches({SHELLS}, '(?i)financial assistance|charity care|free care|discounted care|ability to pay') AS named FROM pages WHERE lower(url) NOT LIKE '%.pdf'),
-g AS (SELECT sha FROM w GROUP BY 1 HAVING count(DISTINCT url) > 1 AND NOT bool_or(named)) SELECT DISTINCT url FROM w WHERE sha IN (SELECT sha FROM g)""")
+def _shells_sql(text: str) -> str:
+    return rf"""
+WITH w AS (SELECT url, sha256(trim({text})) AS sha, {NAMED.format(t=text)} AS named FROM pages WHERE NOT regexp_matches(url, '(?i)^[^?#]*\.pdf([?#].*)?$')),
+g AS (SELECT sha FROM w GROUP BY 1 HAVING count(DISTINCT url) > 1 AND NOT bool_or(named)) SELECT DISTINCT url FROM w WHERE sha IN (SELECT sha FROM g)"""
+
+
+@query(_shells_sql(SAID))
 def navigation_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses whose pages say the same apart from markup and spacing, and don't name assistance anywhere."""
     pages = table(spark, sf_dir, "pages").select("url", F.regexp_replace("html", r"<[^>]*>|\s+", " ").alias("said"))
     return corpus.navigation_shells(pages, "url", "said")
 
 
-@query(r"""
-WITH w AS (SELECT url, sha256(trim(html)) AS sha, regexp_matches(html, '(?i)financial assistance|charity care|free care|discounted care|ability to pay') AS named FROM pages WHERE lower(url) NOT LIKE '%.pdf'),
-g AS (SELECT sha FROM w GROUP BY 1 HAVING count(DISTINCT url) > 1 AND NOT bool_or(named)) SELECT DISTINCT url FROM w WHERE sha IN (SELECT sha FROM g)""")
+@query(_shells_sql("html"))
 def whole_page_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that answer with the same whole page, and don't name assistance anywhere in it."""
     return corpus.navigation_shells(table(spark, sf_dir, "pages"), "url", "html")
 
 
 @query(r"""
-WITH p AS (SELECT item_id, text AS phrase FROM benchmark WHERE length(text) >= 12 AND regexp_matches(text, '[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]'))
+WITH p AS (SELECT item_id, text AS phrase FROM benchmark WHERE length(text) >= 12)
 SELECT doc_id, item_id AS phrase_id FROM documents JOIN p ON contains(text, phrase)""")
 def quotes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark passages, word for word."""
@@ -107,10 +111,14 @@ def numbers_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _votes_sql() -> str:
-    lists = {lang: ", ".join(f"'{w}'" for w in stop) for lang, stop in corpus.STOP_WORDS.items()}
+    lists = {lang: ", ".join(f"'{w}'" for w in words.split()) for lang, words in corpus.COMMON_WORDS.items()}
     counts = ", ".join(f"len(list_filter(w, lambda x: x IN ({words}))) AS votes_{lang}" for lang, words in lists.items())
-    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents), v AS (SELECT doc_id, {counts} FROM d)
-SELECT *, NOT (greatest(votes_es, votes_fr, votes_de) >= 3 AND greatest(votes_es, votes_fr, votes_de) > votes_en) AS english FROM v"""
+    most = ", ".join(f"votes_{lang}" for lang in corpus.COMMON_WORDS if lang != "english")
+    return rf"""WITH p AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '!\[[^\]]*\]\([^)]*\)|\]\([^)]*\)|https?://\S+|www\.\S+', ' ', 'g') AS t FROM documents),
+d AS (SELECT doc_id, len(regexp_extract_all(t, '[a-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{24f}}\x{{1e00}}-\x{{1eff}}]')) AS latin, len(regexp_extract_all(t, '[\p{{L}}\p{{Nl}}\p{{No}}]')) AS letters,
+  len(regexp_extract_all(t, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{f900}}-\x{{faff}}\x{{ac00}}-\x{{d7af}}]')) AS dense, regexp_extract_all(t, '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w FROM p),
+v AS (SELECT doc_id, latin, letters - latin + dense AS other, {counts} FROM d)
+SELECT *, NOT (other > 0 AND other >= 0.4 * (latin + other)) AND NOT (greatest({most}) >= 3 AND greatest({most}) > votes_english) AS english FROM v"""
 
 
 @query(_votes_sql())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import poverty, tables
 from tallyworks.functions.text import normal_of
-from tallyworks.operators import verify, wording
+from tallyworks.operators import corpus, verify, wording
 
 SHAPE = (
     "sheet string, key long, path string, layer string, state string, source_id string, quote string, value string, number decimal(18,2), flag boolean, "
@@ -128,3 +128,32 @@ def test_a_ceiling_below_another_limit(spark):
     row = [("above 400% of the fpl, and assistance up to 40% of the fpl",)]
     got = spark.createDataFrame(row, "q string").select(wording.ceiling_problem(F.col("q"), poverty.poverty_text(F.col("q")), F.lit(40).cast("decimal(18,2)")).alias("y")).first()["y"]
     assert got == "quote names a higher income limit than the ceiling"
+
+
+PLAIN = "the and of to is for with you your will be this that by if may "
+#: Texts and whether they read as English.
+LANGUAGES = [
+    (PLAIN * 3, True), ("", True), (None, True), ("1 2 3 $4,000", True), ("Smith Jones Garcia", True), ("que y para por con una usted su", False), (PLAIN + "que y para", True),
+    ("ang ng mga sa ay kung ito hindi", False), ("nie się jest oraz lub dla przez", False), ("医院为低收入患者提供经济援助计划", False), (PLAIN * 2 + "医院", True), ("hospital policy 医院为低收入患者提供经济援助", False),
+    ("병원은 저소득 환자를 지원합니다", False), ("Больница помогает пациентам", False), ("dhe të në për nga një", False), ("je su za koji koja", False), ("kev pab nyiaj koj yuav thiab", False), ("pou nan yo ki li gen", False),
+    ("che della delle degli dei", False), ("les et une pour dans", False), ("der die das und ist", False), ("que em uma um não ao", False), ("của và là có được cho", False), ("que y", True),
+    (PLAIN + "[Español](https://x.org/que/y/para/por/con/una/usted/su/sus) que y para", True), ("ｔｈｅ ａｎｄ que", True), ("see https://x.org/que and que y", True),
+]
+#: Pages, and whether their prose names assistance, they are thin, and a download of them may be kept.
+PAGES = [
+    ("https://a/x", "our charity policy page", True, True, True), ("https://a/x", "FAP", True, True, True), ("https://a/x", "[Financial Assistance](/fa) Home News", False, True, False), ("https://a/x", "![Financial Assistance](/fa)", True, True, True),
+    ("https://a/x", "billing_and_collection", True, True, True), ("https://a/x", "fapx free care", False, True, False), ("https://a/x", " " * 2000 + "menu", False, True, False), ("https://a/x", "m" * 1000, False, False, True),
+    ("https://a/x.PDF?v=1", "menu", False, False, True), ("https://a/x?f=x.pdf", "menu", False, True, False), ("https://a/x", "", False, False, False), ("https://a/x", None, False, False, False),
+]
+
+
+def test_languages(spark):
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in LANGUAGES)), "id long, text string")
+    got = {r["doc_id"]: r["english"] for r in corpus.language_votes(docs, "id", "text").withColumn("english", corpus.reads_as_english()).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(LANGUAGES)}
+
+
+def test_pages_that_are_menus(spark):
+    rows = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(PAGES)], "id long, url string, text string")
+    got = {r["id"]: tuple(r)[1:] for r in rows.select("id", corpus.names_assistance("text"), corpus.thin("url", "text"), corpus.usable("url", "text")).collect()}
+    assert got == {i: p[2:] for i, p in enumerate(PAGES)}

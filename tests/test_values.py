@@ -92,7 +92,7 @@ def test_pages(spark, page, want):
 
 
 def test_shells_on_whole_pages(spark):
-    same, named = "<p>menu</p>" * 50, "<p>menu</p>" * 50 + "free care"
+    same, named = "<p>menu</p>" * 50, "<p>menu</p>" * 50 + "charity care"
     rows = [("a/1", same), ("a/2", same), ("a/3", same + "x"), ("b/1", named), ("b/2", named), ("c.pdf", same)]
     got = corpus.navigation_shells(spark.createDataFrame(rows, "url string, html string"), "url", "html").collect()
     assert sorted(r["url"] for r in got) == ["a/1", "a/2"]
