@@ -84,6 +84,10 @@ def is_asset_host(url: Column) -> Column:
     return F.coalesce(F.exists(F.array(*map(F.lit, ASSET_HOSTS)), lambda d: (h == d) | F.endswith(h, F.concat(F.lit("."), d))), F.lit(False))
 
 
+#: The kind of documents that are looked at.
+WEB = "hospital_web"
+
+
 def name_tokens(name: Column) -> Column:
     """The telling words of a hospital's name."""
     return F.array_distinct(F.filter(F.regexp_extract_all(plain(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC_WORDS)))
@@ -168,17 +172,20 @@ def hospitals_named(documents: DataFrame, hospitals: DataFrame) -> DataFrame:
     return met.join(said, "source_id").where(names_city(F.col("city"), F.col("said")) & names_hospital(F.col("name"), F.col("said"))).select("source_id", "named", "state")
 
 
-def _links(pairs: DataFrame) -> DataFrame:
-    """(ccn, to, label, site) of the labelled links in a hospital's documents."""
-    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(LABELLED_LINK), F.lit(1)).alias("label"), F.regexp_extract_all("text", F.lit(LABELLED_LINK), F.lit(2)).alias("href"))
-    rows = pairs.select("ccn", "url", F.explode(found).alias("l")).select("ccn", "url", F.col("l.label").alias("label"), F.col("l.href").alias("href"))
-    root, folder = F.regexp_extract("url", r"^[^:]*://[^/?#]*", 0), F.regexp_extract("url", r"^[^:]*://[^/?#]*(?:/[^?#]*/|/)?", 0)
+def policy_links(text: Column, url: Column) -> Column:
+    """(to, label) of the links of a document at an address whose labels name a policy."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(LABELLED_LINK), F.lit(1)).alias("label"), F.regexp_extract_all(text, F.lit(LABELLED_LINK), F.lit(2)).alias("href"))
+    root, folder = F.regexp_extract(url, r"^[^:]*://[^/?#]*", 0), F.regexp_extract(url, r"^[^:]*://[^/?#]*(?:/[^?#]*/|/)?", 0)
     slash = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    whole = (
-        F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).when(F.startswith("href", F.lit("//")), F.concat(F.lit("https:"), "href"))
-        .when(F.startswith("href", F.lit("/")), F.concat(root, "href")).otherwise(F.concat(slash, "href"))
-    )
-    return rows.select("ccn", n.same_url(whole).alias("to"), plain(F.col("label")).alias("label")).where(F.col("label").rlike(POLICY_LABEL))
+
+    def whole(href: Column) -> Column:
+        return (
+            F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href))
+            .when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(F.concat(slash, href))
+        )
+
+    links = F.transform(found, lambda x: F.struct(n.same_url(whole(x["href"])).alias("to"), plain(x["label"]).alias("label")))
+    return F.filter(links, lambda x: x["label"].rlike(POLICY_LABEL))
 
 
 def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFrame, loans: DataFrame) -> DataFrame:
@@ -190,9 +197,14 @@ def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFr
     state's and says nothing that reaches the hospital's; A2, one of a foreign site that no page of the hospital's site
     links, with its own list of other hospitals, and what else such a site has; S, one whose schedule names others only;
     B, another hospital's policy where the hospital's site links its own; translation, one in another language while an
-    English one states the income rules.
+    English one states the income rules. ``documents``: source_id, url, title, text; with a column ``kind`` only those
+    of kind hospital_web are looked at, so a state's own or an uploaded document is never set aside.
+
+    What is read of a text is read once a document, links included; no text is copied to the hospitals that hold it.
     """
     c = F.col
+    if "kind" in documents.columns:
+        documents = documents.where(c("kind") == WEB)
     h = hospitals.select("ccn", "name", "city", "state", "website_domain")
     docs = documents.select("source_id", _text("url").alias("url"), _text("title").alias("title"), _text("text").alias("text"))
     title_and_path, subject = _title_and_path(c("title"), c("url")), F.get(F.split("title", TITLE_END), F.lit(0))
@@ -203,6 +215,7 @@ def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFr
         F.array_union(places.states_named(title_and_path), F.regexp_extract_all("title", F.lit(rf"\(({places.CODES})\)"), F.lit(1))).alias("titled"),
         places.states_as_states(F.concat_ws(" ", "title", "text")).alias("told"), F.regexp_extract_all(subject, F.lit(r"\b[A-Z]{2}\b"), F.lit(0)).alias("coded"),
         c("text").rlike(SCHEDULE_SCOPE).alias("schedule"), c("text").rlike(COVERED_LIST).alias("listing"), c("text").rlike(APPLIES_TO_ALL).alias("to_all"), c("text").rlike(INCOME_RULES).alias("income"),
+        F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(LINK), F.lit(0)), n.registered_domain)).alias("linked_sites"), policy_links(c("text"), c("url")).alias("policy_links"),
     )
     named = materialise(hospitals_named(docs, h))
     pairs = held.select("ccn", "source_id").distinct().join(traits, "source_id").join(h, "ccn")
@@ -215,7 +228,7 @@ def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFr
     home = n.registered_domain("website_domain")
     facts = materialise(
         pairs.join(others, ["ccn", "source_id"], "left").select(
-            "ccn", "source_id", "url", "text", "site", "asset", "english", "income", "schedule", "name", "city", "state", F.coalesce(home, F.lit("")).alias("home"),
+            "ccn", "source_id", "url", "linked_sites", "policy_links", "site", "asset", "english", "income", "schedule", "name", "city", "state", F.coalesce(home, F.lit("")).alias("home"),
             c("dental"), (F.coalesce(n.host("url").rlike(REGION_HOSTS), F.lit(False)) & (F.size(filed) > 0) & ~F.array_contains(filed, c("state"))).alias("region"),
             ((F.size(claimed) > 0) & ~F.array_contains(claimed, c("state"))).alias("other_state"),
             (names_city(c("city"), c("said")) | names_hospital(c("name"), c("said"))).alias("ours"),
@@ -257,20 +270,21 @@ def _owners(rest: DataFrame, hospitals: DataFrame) -> DataFrame:
     """(ccn, source_id, clause) of another owner's documents: A2 before S before B."""
     c, key = F.col, ["ccn", "source_id"]
     web = rest.where("url <> ''")
-    links = web.where("site = home and home <> ''").select("ccn", F.explode(F.regexp_extract_all("text", F.lit(LINK), F.lit(0))).alias("link"))
-    linked = links.select("ccn", n.registered_domain("link").alias("site")).distinct().withColumn("linked", F.lit(True))
+    linked = web.where("site = home and home <> ''").select("ccn", F.explode("linked_sites").alias("site")).distinct().withColumn("linked", F.lit(True))
     seen = web.where("home <> ''").join(linked, ["ccn", "site"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     unclaimed = (c("site") != c("home")) & ~c("asset") & ~c("linked") & ~c("ours") & ~c("names_site")
     seen = seen.select(*key, "site", unclaimed.alias("unclaimed"), (unclaimed & c("scoped") & c("lists_others")).alias("foreign"), (c("schedule") & ((c("site") == c("home")) | ~c("linked")) & ~c("ours") & c("lists_others")).alias("scheduled"))
     sites = seen.where("foreign or scheduled").select("ccn", "site").distinct().withColumn("hit", F.lit(True))
     a2 = seen.join(sites, ["ccn", "site"], "left").select(*key, F.when(c("foreign") | (c("unclaimed") & F.coalesce("hit", F.lit(False))), "A2").when(c("scheduled"), "S").alias("clause")).where("clause is not null")
-    labels = materialise(_links(web).join(hospitals.select("ccn", "name", "city", "state"), "ccn").select("ccn", "to", "label", "state", (names_hospital(c("name"), c("label")) | names_city(c("city"), c("label"))).alias("mine")).distinct())
+    links = web.select("ccn", F.explode("policy_links").alias("l")).select("ccn", "l.*")
+    labels = materialise(links.join(hospitals.select("ccn", "name", "city", "state"), "ccn").select("ccn", "to", "label", "state", (names_hospital(c("name"), c("label")) | names_city(c("city"), c("label"))).alias("mine")).distinct())
     targets = labels.groupBy("ccn", "to").agg(F.bool_or("mine").alias("mine"))
     has_own = targets.where("mine").select("ccn").distinct()
-    # a label meets the hospitals of its state that share a telling word of their name with it
-    word = lambda t: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4))).alias("word")
-    registry = hospitals.select(c("ccn").alias("other"), "name", "state", word(plain(c("name"))))
-    met = labels.where(~c("mine")).select("ccn", "to", "label", "state", word(c("label"))).join(registry, ["state", "word"]).where("other <> ccn")
+    # a label meets the hospitals of its state that share a telling word with it, or any word where a name has fewer than two telling ones
+    words = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4))
+    telling = F.when(F.size(name_tokens(c("name"))) >= 2, name_tokens(c("name"))).otherwise(words(plain(c("name"))))
+    registry = hospitals.select(c("ccn").alias("other"), "name", "state", F.explode(telling).alias("word"))
+    met = labels.where(~c("mine")).select("ccn", "to", "label", "state", F.explode(words(c("label"))).alias("word")).join(registry, ["state", "word"]).where("other <> ccn")
     strangers = met.where(names_hospital(c("name"), c("label"))).select("ccn", "to").distinct()
     b = web.where(~c("ours")).join(has_own, "ccn", "left_semi").withColumn("to", n.same_url("url")).join(targets.where("mine").select("ccn", "to"), ["ccn", "to"], "left_anti")
     b = b.join(strangers, ["ccn", "to"], "left_semi").select(*key).join(a2.select(*key), key, "left_anti")

@@ -122,6 +122,23 @@ def provider_stands(said: Column, as_is: Column, plain: Column) -> Column:
     return (F.length(as_is) <= LONGEST_PROVIDER) & F.contains(said, plain)
 
 
+def named_items(path: Column, said: Column, items: Column, said_items: Column) -> Column:
+    """The items of a list that its quote names, each once but for ways to apply; null for paths that are no such lists.
+
+    "other" among documents stays once something else is named, unless the list is all there is.
+    """
+    pairs = F.array_distinct(F.arrays_zip(items.alias("as_is"), said_items.alias("plain")))
+    documents = F.filter(F.array_distinct(items), lambda i: marked(said, i, DOCUMENT_MARKERS))
+    all_kinds = F.forall(F.array(*map(F.lit, DOCUMENT_MARKERS)), lambda k: F.array_contains(items, k))
+    other = F.when((F.size(documents) > 0) & F.array_contains(items, "other") & ~all_kinds, F.array(F.lit("other"))).otherwise(F.array().cast("array<string>"))
+    by = lambda stands: F.transform(F.filter(pairs, lambda x: stands(said, x["as_is"], x["plain"])), lambda x: x["as_is"])
+    programs = F.when(said.rlike(PRESUMPTIVE), by(program_stands)).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(path == DOCUMENTS, F.concat(documents, other)).when(path == CHANNELS, F.filter(items, lambda i: marked(said, i, CHANNEL_MARKERS)))
+        .when(path == PROGRAMS, programs).when(path == PROVIDERS, by(provider_stands))
+    )
+
+
 def list_problem(path: Column, said: Column, items: Column, said_items: Column) -> Column:
     """Why a list doesn't stand on its quote: nothing of it is named, or only a part.
 
@@ -174,9 +191,20 @@ def ceiling_problem(said: Column, text: Column, ceiling: Column) -> Column:
         ("quote states the percentage as a floor (above, over, at least), not a ceiling", F.exists(p.around(text, pattern), lambda x: x["before"].rlike(FLOOR_BEFORE))),
         ("quote names a higher income limit than the ceiling", F.exists(tied, lambda x: x > ceiling)),
         ("quote states the free-care band, not the ceiling", F.forall(tied, lambda x: x == ceiling) & only_free_band(said)),
+        *_own_help_rules(text),
+    )
+
+
+def _own_help_rules(text: Column) -> list[tuple[str, Column]]:
+    return [
         ("quote does not say the hospital's financial assistance reaches it", ~_own_words(text).rlike(HELP)),
         ("quote is about another program or a payment plan", ~own_help(text)),
-    )
+    ]
+
+
+def own_help_problem(text: Column) -> Column:
+    """Why a ``poverty_text`` is not about the hospital's own help."""
+    return first_reason(*_own_help_rules(text))
 
 
 def _bounds(tiers: Column, number: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.operators import aside, cases, drafts, verify, wording
+from tallyworks.operators import recheck as rechecks
 from tallyworks.sources.readers import table
 
 QUERIES, SQL = {}, {}
@@ -205,3 +206,52 @@ def draft_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(k.alias("key"), F.concat(F.lit("{"), fields, F.lit("}")).alias("draft"))
     facts, _ = drafts.reconciled(drafts.fields(rows, "key", "draft", rows.select("key", F.lit("d").alias("source_id"))), "key")
     return facts.select("key", "path", F.col("number").cast("double").alias("number"), F.when(F.col("tiers").isNotNull(), F.size("tiers")).alias("n_bands"))
+
+
+_RECHECK = """
+WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS sheet, s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'held' ELSE 'published' END AS status, 1 + s_suppkey % 3 AS version FROM supplier),
+r AS (SELECT *, CASE WHEN k % 4 <> 3 THEN 'eligibility.free_care_max_fpl' ELSE 'eligibility.assistance_ceiling_fpl' END AS path,
+  CASE WHEN k % 4 <> 3 AND k % 5 = 0 THEN 'value not in quote' WHEN k % 4 = 3 AND k % 8 <> 3 THEN 'quote states the free-care band, not the ceiling' END AS reason, status = 'published' AND k % 7 = 0 AS unplaced FROM s)"""
+
+
+@query(_RECHECK + """
+SELECT sheet, path, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT sheet, 'sheet', 'place unconfirmed' FROM r WHERE unplaced""")
+def recheck_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stored sheets would lose, or be held for, under the rules as they are now."""
+    return rechecks.what_if(_recheck_plan(spark, sf_dir)[0])
+
+
+@query(_RECHECK + """
+SELECT sheet, version + 1 AS version, CASE WHEN unplaced OR reason IS NOT NULL THEN 'held' ELSE 'published' END AS status FROM r WHERE status = 'published' AND (reason IS NOT NULL OR unplaced)""")
+def recheck_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next versions of the published sheets that lose something, and their status."""
+    return rechecks.applied(*_recheck_plan(spark, sf_dir))[0]
+
+
+@query(_RECHECK + """
+SELECT sheet, path, 'quote states the free-care band, not the ceiling' AS reason, CAST(100 + k % 300 AS DOUBLE) AS ruled_value FROM r WHERE k % 8 = 3""")
+def ruling_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that owners' rulings are kept over, each to be filed once."""
+    none = spark.createDataFrame([], "sheet string, path string, reason string, ruled_value decimal(18,2), decided_at string")
+    out = rechecks.conflicts_to_file(_recheck_plan(spark, sf_dir)[0], none)
+    return out.select("sheet", "path", "reason", F.col("ruled_value").cast("double").alias("ruled_value"))
+
+
+def _recheck_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A second look at one limit of each supplier: a free limit, or a ceiling that reads as the free band."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.cast("string").alias("sheet"), k.alias("k"), (k % 300 + 100).alias("pct"))
+    k, pct, null = F.col("k"), F.col("pct"), F.lit(None)
+    free = k % 4 != 3
+    quote = F.when(free, F.concat(F.lit("free care up to "), pct, F.lit("% FPL"))).otherwise(F.concat(F.lit("below "), pct, F.lit("% of FPL, patients receive a 100% discount")))
+    facts = s.select(
+        "sheet", F.when(free, verify.FREE).otherwise(verify.CEILING).alias("path"), F.lit("documented").alias("layer"), F.lit("MA").alias("state"), F.col("sheet").alias("source_id"), quote.alias("quote"),
+        null.cast("string").alias("value"), F.when(free & (k % 5 == 0), pct + 1).otherwise(pct).cast("decimal(18,2)").alias("number"), null.cast("boolean").alias("flag"), null.cast("array<string>").alias("items"),
+        null.cast("array<struct<low:double,high:double,percent:double>>").alias("tiers"),
+    )
+    sheets = s.select("sheet", (1 + k % 3).alias("version"), F.when(k % 3 == 0, "held").otherwise("published").alias("status"))
+    texts = s.select(F.col("sheet").alias("source_id"), F.concat(F.lit("Our policy: "), quote, F.lit(".")).alias("text"))
+    rulings = s.select("sheet", F.when(k % 8 == 3, "discount").otherwise("unsure").alias("decision"), pct.cast("string").alias("value"), F.lit("2026-10-23").alias("decided_at"))
+    problems = s.where("k % 7 = 0").select("sheet", F.lit("place unconfirmed").alias("problem"))
+    aside_none = s.limit(0).select(F.col("sheet").alias("source_id"), F.lit("").alias("reason"))
+    return rechecks.plan(sheets, facts, texts, aside_none, rulings, problems)
