@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from tallyworks.store import materialise
 
-__all__ = ["connected_components", "crc_bucket", "forget", "join_skewed", "labelled_sample", "materialise", "row_key", "small", "table", "with_arrow_column"]
+__all__ = ["connected_components", "crc_bucket", "forget", "join_skewed", "labelled_sample", "materialise", "may_have", "row_key", "small", "table", "with_arrow_column"]
 
 #: A word, for every operator that counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the map of keys that ``may_have`` sends to all tasks, and of one of its rows.
+MAP_BITS, ROW_BITS = 1 << 26, 1 << 15
 #: Most keys that a join sends to all tasks for their number of rows, and the most rows of a key that is never sent.
 HEAVY, LIGHT = 20_000, 100
 
@@ -109,6 +111,22 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def may_have(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys``, dropped where they lie, before any shuffle.
+
+    Hashes of the keys set bits in a map of MAP_BITS, 8 MB at most whatever the number of keys, which is broadcast. Of n
+    keys, about one in MAP_BITS / n of the other rows stays too; none that has one of the keys is dropped.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+    bits = keys.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__bit"))
+    sets = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__set"))  # at most MAP_BITS / ROW_BITS rows
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__set", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(sets), "__bucket")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.where(is_set).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def join_skewed(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``per_key``, which has one row a key and says in column ``n`` how many rows it has.
 

@@ -4,7 +4,8 @@ Each rule's regular expression is turned into a Boolean query over the trigrams
 that each ask for up to ASKED trigrams. One pass cuts every text into trigrams and keeps the postings (trigram,
 document) of those that some rule asks for; an alternative's postings are intersected by counting them, which gives
 the candidates (document, rules), and only those run the rule's expression. Rules without a mandatory trigram scan
-every document where it lies. Texts are not shuffled where the candidates are few enough to be broadcast.
+every document where it lies. Of the texts only candidates are shuffled, and few others that share a bit with one in a
+map of the candidates' keys, however many there are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import materialise, row_key, small
+from tallyworks.llm.common import materialise, may_have, row_key
 
 
 @dataclass(frozen=True)
@@ -181,10 +182,10 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         hit = reduce(Column.__or__, [F.col("__text").rlike(r.regex) for r in scans])
         found.append(rows.where(hit).select("__key", F.concat(*[_parts("__text", r) for r in scans]).alias("parts")))
     if selective:
-        picked = small(materialise(candidates(postings(rows, "__key", "__text", selective), "__key", selective)))
+        picked = materialise(candidates(postings(rows, "__key", "__text", selective), "__key", selective))
         none = F.array().cast("array<struct<kind:string,gap:bigint,whole:bigint,kept:boolean>>")
         each = [F.when(F.array_contains("rules", r.kind), _parts("__text", r)).otherwise(none) for r in selective]
-        found.append(rows.join(picked, "__key").select("__key", F.concat(*each).alias("parts")))
+        found.append(may_have(rows, picked, "__key").join(picked, "__key").select("__key", F.concat(*each).alias("parts")))
     parts = [f.where("size(parts) > 0").dropDuplicates(["__key"]) for f in found]
     long = reduce(DataFrame.unionByName, parts).select("__key", F.posexplode("parts").alias("no", "p")).select("__key", "no", "p.*")
     upto = Window.partitionBy("__key", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,6 +9,7 @@ import random
 import numpy as np
 
 from tallyworks.llm import langid, media, pieces, quality, toxicity
+from tallyworks.llm.common import may_have
 
 
 def simulated_votes(rng, n=20_000):
@@ -192,3 +193,28 @@ def test_file_comes_back_from_its_column(spark):
         assert media.from_wav(bytes(rows[i]["media"])) == media.padded(text)
         assert rows[i]["fingerprint"]["payload_bytes"] == len(media.padded(text))
     assert rows[1]["fingerprint"] == rows[4]["fingerprint"] and rows[2]["fingerprint"] == rows[3]["fingerprint"]
+
+
+def test_languages_by_parts_are_those_of_all_trees(spark):
+    rng = random.Random(21)
+    rows = [(i, "".join(rng.choices("aeiou nrst" if i % 2 else "xyzwaeé\n ", k=rng.randint(0, 400))), "ab"[i % 2]) for i in range(90)]
+    rows += [(100, None, "a"), (101, "123", "b"), (102, "only known here: qqq", "c"), (5, rows[5][1], "b"), (None, "aeiou", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.counted(docs).cache()
+    assert len(langid.parts_of(counts, 60)) > 5 and len(langid.parts_of(counts)) == 1
+    # every byte is in one part, however few its counts
+    assert sorted(b for part in langid.parts_of(counts, 1) for b in part) == sorted({r["string"] >> 8 & 255 for r in counts.collect()})
+    want = {(r["doc_id"], r["text"]): r["language"] for r in langid.with_language(docs, langid.train(docs)).collect()}
+    for part in (60, langid.PART):
+        got = langid.with_learned_language(docs, counts, part=part).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["language"]["lang"] == want[r["doc_id"], r["text"]]["lang"] and abs(r["language"]["score"] - want[r["doc_id"], r["text"]]["score"]) < 1e-9
+
+
+def test_rows_that_may_have_a_key(spark):
+    rows = spark.range(20_000).selectExpr("unhex(md5(cast(id as string))) as k", "id")
+    keys = rows.where("id % 500 = 0").select("k")
+    kept = {r["id"] for r in may_have(rows, keys, "k").collect()}
+    assert set(range(0, 20_000, 500)) <= kept and len(kept) < 60
+    assert may_have(rows, keys.limit(0), "k").collect() == [] and may_have(rows.limit(0), keys, "k").collect() == []
