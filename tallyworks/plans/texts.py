@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.functions import normalise as n
+from tallyworks.functions import passages as p
 from tallyworks.functions import text as t
 from tallyworks.operators import corpus
 from tallyworks.sources.readers import table
@@ -174,3 +175,11 @@ def quotes_found_loosely(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     quote = F.replace(F.substring("text", 20, 60), F.lit(" "), F.lit("  "))
     return docs.select("doc_id", t.quote_found_of(quote, F.col("text")).alias("found"))
+
+
+@query()
+def budgeted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is kept under a budget of characters: its begin and windows around words, rarest list first."""
+    docs = table(spark, sf_dir, "documents").withColumn("spans", p.spans_of("text", ("password|token|license", "benchmark|@", r"\b(?:that|que|nicht)\b"), limit=4000, head=600, radius=150))
+    kept = p.selected(F.col("text"), F.col("spans"))
+    return docs.select("doc_id", F.size("spans").alias("n_passages"), F.length(kept).alias("n_kept"), F.sha2(kept, 256).alias("kept_sha256"))
