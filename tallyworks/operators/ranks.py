@@ -5,36 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyworks.operators.skew import join_counted
+from tallyworks.store import materialise
+
 GAP = 0.25
 FULL_YEAR_DAYS = 300
-PARTS = 64
+#: Different values of a range.
+RANGE = 100_000
 
 
 def percentile_ranks(df: DataFrame, value: str, out: str, peers: str | None = None) -> DataFrame:
     """Add the share of the other rows with a strictly lower value; ties share it.
 
     Null values are not ranked and not counted, and a value without others to compare with has no rank. ``peers``
-    names a column for how many are ranked. Ranks come from counts per distinct value, so the rows themselves are
-    never gathered: the running sum over values is taken in two levels, PARTS quantile ranges and values within one.
+    names a column for how many are ranked. ``df`` is worked out once, into a table. Ranks come from counts per distinct
+    value, so the rows themselves are never gathered: the running sum is taken in two levels, ranges of about RANGE
+    different values and values within one, and rows of a very frequent value get its rank where they lie.
     """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    cuts = known.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / PARTS for i in range(1, PARTS)], 0.001)
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col("__v")))
-    ranged = counts.withColumn("__part", part)
+    rows = materialise(df)
+    counts = materialise(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n")))
+    different, everything = counts.agg(F.count("*"), F.sum("__n")).first()
+    ranged = counts.repartitionByRange(max(1, -(-different // RANGE)), "__v").withColumn("__part", F.spark_partition_id())
+    ranged = materialise(ranged) if different > RANGE else ranged  # ranges are drawn from a sample, and must not be drawn twice
     inner = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("__low", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
-    # one row per range part from here on
-    parts = ranged.groupBy("__part").agg(F.sum("__n").alias("__size"))
+    sums = ranged.groupBy("__part").agg(F.sum("__n").alias("__size"))  # one row a range from here on
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__base"), F.sum("__size").over(Window.partitionBy()).alias("__all")
-    )
-    ranks = ranged.join(parts, "__part").select(
-        "__v", ((F.col("__base") + F.col("__low")) / F.nullif(F.col("__all") - 1, F.lit(0))).alias(out),
-        *([F.when(F.col("__all") > 1, F.col("__all")).alias(peers)] if peers else []),
+    bases = sums.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__base"))
+    low = F.coalesce(F.sum("__n").over(inner), F.lit(0))
+    others = F.lit((everything or 0) - 1)
+    ranks = ranged.withColumn("__low", low).join(F.broadcast(bases), "__part").select(
+        F.col("__v").alias(value), "__n", ((F.col("__base") + F.col("__low")) / F.nullif(others, F.lit(0))).alias(out),
+        *([F.when(others > 0, others + 1).alias(peers)] if peers else []),
     )
-    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+    return join_counted(rows, ranks, [value], "__n", everything or 0, "left").select(*df.columns, out, *([peers] if peers else []))
 
 
 def gap_label(gap: str | Column) -> Column:

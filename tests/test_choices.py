@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyworks.operators import choices
+from tallyworks.operators import choices, ranks
 from tallyworks.sources import records
 
 
@@ -103,3 +104,15 @@ def test_summary_file(spark, tmp_path):
     assert {tuple(r) for r in got} == {("01001", "B17024_107E", "5"), ("01001", "B17024_108E", "6"), ("00501", "B17024_107E", "9"), ("00501", "B17024_108E", None)}
     with pytest.raises(ValueError, match="missing columns"):
         records.summary_file(spark, str(path), ["B17024_120E"])
+
+
+def test_ranks_in_ranges_with_very_frequent_values(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE", 7)
+    rows = [(i, float(i % 40)) for i in range(400)] + [(1000 + i, 3.0) for i in range(3000)] + [(5000, None), (5001, None)]
+    frame = spark.createDataFrame(rows, "k long, v double")
+    got = {r["k"]: (r["rank"], r["peers"]) for r in ranks.percentile_ranks(frame, "v", "rank", "peers").collect()}
+    known = sorted(v for _, v in rows if v is not None)
+    want = {k: (None, None) if v is None else (bisect.bisect_left(known, v) / (len(known) - 1), len(known)) for k, v in rows}
+    assert got == want
+    assert [tuple(r) for r in ranks.percentile_ranks(frame.where("k = 0"), "v", "rank", "peers").collect()] == [(0, 0.0, None, None)]
+    assert ranks.percentile_ranks(frame.limit(0), "v", "rank").collect() == []
