@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyworks.plans import cases, decisions, ledger, linking, streams, texts
+from tallyworks.plans import cases, decisions, ledger, linking, picks, streams, texts
 
-MODULES = (ledger, decisions, texts, linking, streams, cases)
+MODULES = (ledger, decisions, texts, linking, streams, cases, picks)
 
 
 def queries() -> dict:
