@@ -28,6 +28,26 @@ def csv_text(spark: SparkSession, path: str | list[str], sep: str = ",", encodin
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
+def csv_of_any_charset(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """``csv_text`` of files in UTF-8, with or without a byte-order mark, or in Windows-1252, told file by file.
+
+    A file is UTF-8 if all its lines are valid UTF-8, which its bytes say; lines are probed where they lie. Columns that
+    a file lacks are null.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    told = lines.groupBy("file").agg(F.bool_and("valid").alias("utf8")).collect()  # one row a file
+    utf8, other = sorted(r["file"] for r in told if r["utf8"]), sorted(r["file"] for r in told if not r["utf8"])
+    frames = [csv_text(spark, utf8, sep)] if utf8 or not other else []
+    if other:
+        # the engine reads Latin-1, which differs from Windows-1252 in its control characters alone
+        pairs = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+        odd = "".join(k for k, v in pairs.items() if v)
+        plain = str.maketrans({k: v for k, v in pairs.items() if v})
+        raw = csv_text(spark, other, sep, "ISO-8859-1")
+        frames.append(raw.select(*[F.translate(F.col(f"`{c}`"), odd, odd.translate(plain)).alias(c.translate(plain)) for c in raw.columns]))
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
+
+
 def needed(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns; an error that names those that are missing."""
     missing = [c for c in columns if c not in df.columns]
