@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.operators import aside, cases, drafts, verify, wording
+from tallyworks.operators import answers, aside, cases, drafts, verify, wording
 from tallyworks.operators import recheck as rechecks
 from tallyworks.sources.readers import table
 
@@ -255,3 +255,53 @@ def _recheck_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     problems = s.where("k % 7 = 0").select("sheet", F.lit("place unconfirmed").alias("problem"))
     aside_none = s.limit(0).select(F.col("sheet").alias("source_id"), F.lit("").alias("reason"))
     return rechecks.plan(sheets, facts, texts, aside_none, rulings, problems)
+
+
+@query("""
+WITH k AS (SELECT o_orderkey AS k, o_custkey AS u, CAST(o_orderdate AS DATE) AS d, o_totalprice AS price FROM orders),
+x AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'new' ELSE 'income' END AS status, CASE WHEN k % 11 <> 0 THEN u % 40 END AS ccn, k % 7 = 0 AS qmb, CASE WHEN k % 5 <> 0 THEN CAST(round(price / 6, 2) AS DECIMAL(18,2)) END AS income, 1 + k % 4 AS size, CASE k % 6 WHEN 1 THEN 'ambulance' WHEN 2 THEN 'other' ELSE 'hospital' END AS kind FROM k),
+s AS (SELECT i AS ccn, CASE WHEN i % 6 = 0 THEN 'held' ELSE 'published' END AS status, 150 + 10 * (i % 10) AS free, i % 3 = 0 AS scale FROM range(0, 40) t(i) WHERE i % 10 <> 9),
+r AS (SELECT x.*, s.status AS sheet, free, scale, CASE WHEN kind <> 'hospital' THEN CASE WHEN x.ccn % 4 = 0 THEN 'covered' WHEN kind = 'ambulance' THEN 'ship' ELSE 'payee_request' END END AS route,
+  CAST(floor(income * 10000 / (15960 + (size - 1) * 5680) + 0.5) AS DOUBLE) / 100 AS pct FROM x LEFT JOIN s ON s.ccn = x.ccn),
+t AS (SELECT *, CASE WHEN status = 'new' THEN 'unread' WHEN qmb THEN 'cost_sharing' WHEN ccn IS NULL THEN 'no_hospital' WHEN sheet IS NULL THEN 'needs_scouting' WHEN sheet <> 'published' THEN 'under_review' WHEN route IN ('ship', 'payee_request') THEN route ELSE 'answered' END AS step FROM r),
+e AS (SELECT *, CASE WHEN step = 'answered' THEN CASE WHEN pct IS NULL THEN 'needs_info' WHEN scale AND pct > free AND pct <= 400 THEN 'discount' WHEN pct <= free THEN 'free' ELSE 'not_eligible' END END AS tier FROM t)
+SELECT k AS case_id, step, tier, CAST(CASE tier WHEN 'free' THEN 100 WHEN 'discount' THEN 50 END AS DOUBLE) AS discount, CASE WHEN step IN ('ship', 'payee_request') OR (step = 'cost_sharing' AND kind <> 'hospital') THEN 'Valley Doctors Inc' WHEN step = 'answered' AND route = 'covered' THEN 'Valley Doctors' END AS payee,
+  CASE WHEN step = 'answered' THEN CAST(d + 240 AS VARCHAR) END AS application_deadline, CASE WHEN step = 'answered' THEN date_diff('day', DATE '1999-01-01', d + 240) END AS days_left, CASE WHEN step = 'answered' AND k % 2 = 0 THEN k % 200 < 120 END AS notice_too_early, coalesce(tier IN ('free', 'discount', 'not_eligible'), false) AS predicts FROM e""")
+def cases_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases, from the bill to the tier and the clocks."""
+    k, c = F.col("o_orderkey"), F.col
+    day, null = F.to_date("o_orderdate"), F.lit(None)
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("case_id"), F.when(k % 13 == 0, "new").otherwise("income").alias("status"), F.lit("WA").alias("state"), F.when(k % 11 != 0, c("o_custkey") % 40).alias("ccn"),
+        F.when(k % 7 == 0, F.array(F.lit("QMB"))).alias("programs"), (1 + k % 4).cast("int").alias("size"), F.when(k % 5 != 0, F.round(c("o_totalprice") / 6, 2).cast("decimal(18,2)")).alias("income"),
+        F.when(k % 6 == 1, "ambulance").when(k % 6 == 2, "other").otherwise("hospital").alias("payee_kind"), F.lit("Valley Doctors Inc").alias("payee_name"), day.alias("statement_date"), null.cast("date").alias("first_statement_date"),
+        (k % 2 == 0).alias("is_first_statement"), F.lit(False).alias("collection_notice"), F.when(k % 2 == 0, F.date_add(day, (k % 200).cast("int"))).alias("collection_notice_date"), null.cast("boolean").alias("predicted"),
+    )
+    i = c("id")
+    free = (150 + 10 * (i % 10)).cast("double")
+    band = F.array(F.struct(free.alias("low"), F.lit(400.0).alias("high"), F.lit(50.0).alias("percent")))
+    hospitals = table(spark, sf_dir, "orders").select((c("o_custkey") % 40).alias("id")).distinct().where("id % 10 <> 9")
+    sheets = hospitals.select(
+        i.alias("ccn"), free.alias("free"), F.when(i % 3 == 0, band).alias("tiers"), null.cast("double").alias("ceiling"), null.cast("array<string>").alias("residency"),
+        F.array().cast("array<string>").alias("presumptive"), null.cast("int").alias("window_days"), null.cast("int").alias("wait_days"),
+    ).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("status", F.when((c("version") == 2) & (c("ccn") % 6 == 0), "held").otherwise("published"))
+    listed = hospitals.where("id % 4 = 0").select(i.alias("ccn"), F.lit("Valley Doctors").alias("provider"), F.lit(1).alias("place"))
+    listed = listed.unionByName(hospitals.where("id % 4 <> 0").select(i.alias("ccn"), F.lit("Someone else").alias("provider"), F.lit(1).alias("place")))
+    out = answers.answered(rows, sheets, listed, F.to_date(F.lit("1999-01-01")))
+    return out.select("case_id", "step", "tier", "discount", "payee", c("application_deadline").cast("string").alias("application_deadline"), c("days_left").cast("long").alias("days_left"), "notice_too_early", "predicts")
+
+
+@query("""
+WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey % 101) / 100.0 END AS r, c_acctbal AS v, CAST(c_custkey * 17 AS BIGINT) AS n FROM customer)
+SELECT k, CASE WHEN r IS NULL THEN '' WHEN r >= 0.9 THEN 'above 9 in 10 hospitals' WHEN r >= 0.8 THEN 'above 4 in 5 hospitals' WHEN r >= 0.75 THEN 'above 3 in 4 hospitals' WHEN r >= 0.67 THEN 'above 2 in 3 hospitals' WHEN r >= 0.55 THEN 'above half of hospitals'
+    WHEN r > 0.45 THEN 'about the middle of hospitals' WHEN r >= 0.33 THEN 'below half of hospitals' WHEN r >= 0.25 THEN 'below 2 in 3 hospitals' WHEN r >= 0.2 THEN 'below 3 in 4 hospitals' WHEN r >= 0.1 THEN 'below 4 in 5 hospitals' ELSE 'below 9 in 10 hospitals' END AS rank,
+  format('{:,}', CAST(CASE WHEN n > 10000 THEN round_even(n / 100, 0) * 100 WHEN n > 1000 THEN round_even(n / 10, 0) * 10 ELSE n END AS BIGINT)) AS counted, CASE WHEN k % 2 = 0 THEN CAST(k % 300 AS VARCHAR) || '%' ELSE CAST(k % 300 AS VARCHAR) || '.5%' END AS share,
+  CASE k % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a and b' ELSE 'a, b and c' END AS listed FROM x""")
+def ledger_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks, counts, shares and lists in words."""
+    k = F.col("c_custkey")
+    words = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (k % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("k"), answers.rank_phrase(F.when(k % 11 != 0, (k % 101) / 100.0), "hospitals").alias("rank"), answers.count_phrase(k * 17).alias("counted"),
+        answers.percent_phrase(k % 300 + F.when(k % 2 == 0, 0.0).otherwise(0.5)).alias("share"), answers.joined_phrase(words).alias("listed"),
+    )
