@@ -67,7 +67,7 @@ ASSET_TESTED = (
     r"|\bbe applied\b|\btaken into account\b|\bconsists? of\b|\binclud\w+|\bdocument\w*|\bvalidate\b"
 )
 LATER_BAND = r"(?<![\d.])(\d{2,3})\s?%?\s*[-–]\s*(\d{2,3})\s?%"
-INSURED_TABLE = "the table is for insured patients only"
+ASIDE, INSURED_TABLE = "document set aside", "the table is for insured patients only"
 #: Between items that are compared together.
 PARTED = "\ue002"
 NAMED_PERCENT = r"(?<![\d.$])(\d{2,3})\s?%"
@@ -163,7 +163,9 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
     text for each source_id, ``set_aside`` one reason. Reported facts are accepted as they are.
     """
     c = F.col
-    rows = _with_sources(facts.withColumn("__said", normal_of(F.coalesce("quote", F.lit("")))), texts)
+    # items are compared in the form of quotes; one that has several words stays one item
+    forms = {"__said": normal_of(F.coalesce("quote", F.lit(""))), "__listed": normal_of(F.array_join("items", PARTED, ""))}
+    rows = _with_sources(facts.withColumns(forms), texts)
     rows = rows.join(set_aside.select("source_id", c("reason").alias("__aside")), "source_id", "left")
     said, free, tiers = c("__said"), c("path") == FREE, (c("path") == TIERS) & c("tiers").isNotNull()
     only_insured = c("__for_insured") & ~c("__for_all")
@@ -172,8 +174,7 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
         table = F.max(F.when(tiers & (c("layer") != "reported") & c("__found") & only_insured, said)).over(Window.partitionBy("sheet", "source_id"))
         rows = rows.withColumn("__table", table)
         in_table = F.contains("__table", said)
-    # items are compared in the form of quotes; one that has several words stays one item
-    items = F.transform(F.split(normal_of(F.array_join("items", PARTED, "")), PARTED), F.trim)
+    items = F.transform(F.split("__listed", PARTED), F.trim)
     rows, text = rows.withColumns({"__items": items, "__poverty": poverty.poverty_text(said)}), c("__poverty")
     problem = {
         name: why for name, why in {
@@ -188,7 +189,7 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
     early = first_reason(
         ("source text missing", ~c("__has")),
         ("quote not found in source", ~c("__found")),
-        ("document set aside", c("__aside").isNotNull()),
+        (ASIDE, c("__aside").isNotNull()),
         ("value is a list or object written as text", looks_serialised(c("value"), c("items"))),
         ("value not in quote", (c("number").isNotNull() & ~number_stated(said, plain_number(c("number"))) & ~line) | ((F.size("tiers") > 0) & ~tiers_stated(said, c("tiers")))),
     )
@@ -214,5 +215,7 @@ def checked(facts: DataFrame, texts: DataFrame, set_aside: DataFrame) -> DataFra
     )
     assets = first_reason(("quote does not support the asset-test value", (c("path") == ASSETS) & ~supports_asset_test(said, c("flag"))))
     reason = F.coalesce(early, problem["list"], problem["ceiling"], share, problem["limit"], F.when(free, limit), F.when(tiers, table), problem["insured"], assets, problem["residency"])
-    own = F.when(F.startswith(reason, F.lit("document set")), c("__aside")).otherwise(reason)
+    # a column of its own: the rules are worked out once
+    rows = rows.withColumn("__reason", reason)
+    own = F.when(c("__reason") == ASIDE, c("__aside")).otherwise(c("__reason"))
     return rows.withColumn("reason", F.when(c("layer") != "reported", own)).select(*facts.columns, "reason")

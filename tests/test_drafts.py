@@ -35,7 +35,7 @@ CASES = [
     ("submit_methods", field([{"kind": "email"}]), "reason", "none of the listed channels is named in the quote"),
     ("window_days_from_first_bill", field("240 days"), "number", 240.0), ("window_days_from_first_bill", field(90), "reason", "application window 90 is below the 501(r) minimum of 240 days"),
     ("eca_wait_days", field(30), "reason", "30 is below the 501(r) minimum of 120 days; a notice period, not the collections wait"), ("decision_days", field("30.9 days"), "number", 30.0),
-    ("phone", field("[Call us](tel:+16072713827)"), "value", "(607) 271-3827"), ("phone", field("508-334-9300 x5"), "value", "508-334-9300 x5"), ("phone", field("5083349300"), "value", "(508) 334-9300"), ("phone", field("334-9300"), "reason", "no phone number"),
+    ("phone", field("[Call us](tel:+15085550134)"), "value", "(508) 555-0134"), ("phone", field("508-334-9300 x5"), "value", "508-334-9300 x5"), ("phone", field("5083349300"), "value", "(508) 334-9300"), ("phone", field("334-9300"), "reason", "no phone number"),
     ("phone", field("[508-334-9300](tel:1)"), "value", "508-334-9300"), ("phone", field("123456789012"), "reason", "not a US phone number"), ("phone", field([{"kind": "main"}]), "reason", "expected text, got a list or object"),
     ("hours", field("**9 to 5**"), "value", "9 to 5"), ("covered_providers", field(["Valley Doctors", "Mercy"]), "items", ["Valley Doctors"]), ("covered_providers", field(["Mercy"]), "reason", "none of the listed providers is named in the quote"),
     ("discount_tiers", field(BAND), "tiers", [(200.0, 300.0, 75.0)]), ("discount_tiers", field([{"max_fpl_inclusive": 300, "discount_percent": 75}, {"max_fpl_inclusive": 400, "discount_percent": 40}]), "tiers", [(0.0, 300.0, 75.0), (300.0, 400.0, 40.0)]),
