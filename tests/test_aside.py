@@ -91,3 +91,16 @@ def test_documents_that_state_other_limits(spark):
     held = [("a", x) for x in ("own", "new", "same", "help", "null")] + [("b", "help"), ("b", "same"), ("c", "help")]
     got = aside.document_conflicts(rules, docs, spark.createDataFrame(held, "ccn string, source_id string")).collect()
     assert {(r["ccn"], r["source_id"]): [int(x) for x in r["limits"]] for r in got} == {("a", "new"): [200], ("b", "help"): [400], ("b", "same"): [250]}
+
+
+def test_translations_and_kinds(spark):
+    english = "Our financial assistance policy gives free care to patients with an income of up to 200% of the federal poverty level, and the hospital will tell you if you may apply. "
+    other = {"zh": "医院为低收入患者提供经济援助计划。", "tl": "ang mga pasyente ay tutulungan kung sila ay hindi kaya ng bayad sa ospital ", "pl": "pacjent nie płaci jeśli jest ubogi oraz może być objęty pomocy finansowej przez szpital "}
+    rows = [("en", "https://x.org/en", "Policy", english * 3, "hospital_web")] + [(k, f"https://x.org/{k}", "Policy", t * 3, "hospital_web") for k, t in other.items()] + [("state-zh", "https://x.org/s", "Policy", other["zh"] * 3, "state")]
+    docs = spark.createDataFrame(rows, "source_id string, url string, title string, text string, kind string")
+    hospitals = spark.createDataFrame([("h", "Elm Street Hospital", "Lynn", "MA", "x.org")], "ccn string, name string, city string, state string, website_domain string")
+    held = spark.createDataFrame([("h", r[0]) for r in rows], "ccn string, source_id string")
+    loans = spark.createDataFrame([], "ccn string, lender string, source_id string")
+    found = lambda d: {(r["source_id"], r["clause"]) for r in aside.documents_set_aside(hospitals, d, held, loans).collect()}
+    assert found(docs) == {(k, "translation") for k in other}
+    assert found(docs.drop("kind")) == {(k, "translation") for k in [*other, "state-zh"]}
