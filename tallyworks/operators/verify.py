@@ -41,7 +41,8 @@ UP_TO_FULL = r"\bup to (?:a |an )?(?:100 ?(?:%|percent)|one hundred percent)"
 HEDGED_UP_TO_FULL = r"\bmay\b[^.;]*\bup to (?:a |an )?(?:100 ?(?:%|percent)|one hundred percent)"
 NOT_FREE_HINT = r"\bsliding\b|\bprorat|\bdenied\b"
 FREE_WORDING = (
-    r"\bfree\b|\bno[- ]cost\b|\bno charge\b|\b100 ?(?:%|percent)|\bfull\b|\bforgiv|\bwaive"
+    # 100% of the poverty line is an income, not a discount
+    r"\bfree\b|\bno[- ]cost\b|\bno charge\b|\b100 ?(?:%|percent)(?! of (?:the )?(?:federal )?(?:poverty|fpl|fpg|line)\b)|\bfull\b|\bforgiv|\bwaive"
     r"|\bwrite[- ]?off\b|\bwritten off\b|\bno patient responsibility\b|\bnot be responsible\b"
 )
 STATE_PROGRAM = r"(?i)\b(nj|new jersey) charity care\b"

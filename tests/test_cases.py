@@ -68,6 +68,14 @@ def test_a_run_of_twenty_thousand_tokens_is_read_in_time(spark):
     assert time.perf_counter() - began < 10  # of it some seconds for planning
 
 
+@pytest.mark.parametrize(("quote", "want"), [
+    ("granted on a sliding scale up to 100% of the line", True), ("granted on a sliding scale up to 100 percent of the federal poverty level", True),
+    ("on a sliding scale from 100% of charges", False), ("on a sliding scale; a 100% discount up to 100% of the poverty level", False), ("prorated from free care", False),
+])
+def test_a_hundred_percent_of_the_line_promises_no_free_care(spark, quote, want):
+    assert spark.createDataFrame([(quote,)], "q string").select(verify.not_free(F.col("q")).alias("y")).first()["y"] == want
+
+
 @pytest.mark.parametrize(("programs", "want"), [(["SNAP", "QMB"], True), (["MassHealth"], True), (["snap"], False), ([], False), (None, False)])
 def test_cost_sharing(spark, programs, want):
     assert spark.createDataFrame([(programs,)], "p array<string>").select(cases.cost_sharing_protected(F.col("p")).alias("y")).first()["y"] == want
