@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyworks.functions import passages
+from tallyworks.functions import passages, text
 
 
 def slow(text, keywords, limit, head, radius):
@@ -51,3 +53,18 @@ def test_a_keyword_in_every_line_of_a_long_text():
     began = time.perf_counter()
     spans = passages.chosen(text, [re.compile(k) for k in passages.KEYWORDS], passages.LIMIT, passages.HEAD, passages.RADIUS)
     assert time.perf_counter() - began < 2 and sum(b - a for a, b in spans) <= passages.LIMIT
+
+
+def test_few_rows_of_a_batch_are_python_values(spark):
+    pages = pa.array([f"<p>{i} " + "x" * 20_000 for i in range(2000)])
+    tracemalloc.start()
+    out = text.by_rows(text.page_text, pa.string(), pages, pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [p.as_py()[3:] for p in pages] and peak < 15_000_000
+    assert text.by_rows(text.page_text, pa.string(), pages[:0], pages[:0]).to_pylist() == []
+
+
+def test_ascii_is_in_compatible_form_and_other_texts_are_brought_into_it(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ab c", "ﬁt Ａ", "", None])], "i int, t string")
+    assert [r["x"] for r in rows.select("i", text.compatible(F.col("t")).alias("x")).sort("i").collect()] == ["ab c", "fit A", "", None]
