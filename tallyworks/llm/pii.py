@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyworks.llm.common import join_skewed, materialise, row_key, small, with_arrow_column
+from tallyworks.llm.common import join_skewed, materialise, row_key, with_arrow_column
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.9
@@ -160,8 +160,8 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, text: str, alpha: floa
     wanted = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     wanted = materialise(wanted.where(F.col("n_near") >= support))
     every = wanted.agg(F.sum("n_near")).first()[0] or 0
-    seen = term_counts(docs, text).join(small(wanted.select("term")), "term", "left_semi")
-    of_term = seen.groupBy("term").agg(F.sum("n").alias("n_term"))
+    # summed before they meet the terms asked for: a row a term, not one for each task that saw it
+    of_term = term_counts(docs, text).groupBy("term").agg(F.sum("n").alias("n_term"))
     # n_both is at most n_near and n_entity, so a share of alpha needs n_term <= n_near^alpha * n^(1 - alpha)
     reaches = F.log("n_term") <= alpha * F.log("n_near") + (1 - alpha) * F.log(n) + 1e-9
     kept = materialise(wanted.join(of_term, "term").where(reaches).select("term", "n_near", "n_term"))
