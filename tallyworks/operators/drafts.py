@@ -118,7 +118,8 @@ def fields(drafts: DataFrame, key: str, draft: str, sources: DataFrame) -> DataF
     keep the items that their quote names. ``free_band`` is the end of a band with a discount of 100 among the tiers.
     """
     c = F.col
-    parsed = drafts.select(key, F.try_parse_json(draft).alias("__d"))
+    # a file of many short drafts is one task; dealt by key, all tasks read them
+    parsed = drafts.select(key, F.col(draft).alias("__draft")).repartition(key).select(key, F.try_parse_json("__draft").alias("__d"))
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("rule"), F.try_variant_get("__d", f"$.{f}", "variant").alias("raw")) for f, (p, k) in FIELDS.items()]))
     rows = parsed.select(key, each.alias("f")).select(key, "f.*")
     wrapped = _kind(c("raw")) == "OBJECT"
