@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyworks.operators import drafts
 from tallyworks.operators.verify import FREE, TIERS
@@ -103,3 +104,9 @@ def test_limits_are_settled(read):
         assert {(r["path"], len(r["tiers"]) if r["tiers"] else r["number"]) for r in facts if r["id"] == i} == want, i
         assert sorted(r["note"] for r in notes if r["id"] == i) == sorted(said), i
     assert all(r["source_id"] == "d2" for r in facts if r["id"] in (4, 6) and r["path"] == FREE)
+
+
+def test_drafts_of_one_file_are_dealt_to_all_tasks_before_they_are_parsed(spark):
+    rows = spark.range(10).coalesce(1).select(F.col("id").alias("key"), F.lit("{}").alias("draft"))
+    plan = drafts.fields(rows, "key", "draft", rows.select("key", F.lit("d").alias("source_id")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key" in plan
