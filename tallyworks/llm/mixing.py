@@ -4,7 +4,9 @@ Golden-ratio points fall evenly over the sources' cumulative target shares, so e
 mixed in proportion. A source's documents, in a hashed order, form one stream of words that is cut into blocks of
 equal size; the r-th slot of the source takes the r-th block, starting over up to MOST times. Only DataFrame
 functions are used. Every running sum is taken in two levels (hash buckets within a source, rows within a bucket;
-chunks of slots, slots within a chunk), so that one hot source is spread over many tasks.
+chunks of slots, slots within a chunk), so that one hot source is spread over many tasks. Each step's rows, which
+hold ids and numbers but no texts, are written and read again, so no plan grows with the steps before it: planning
+takes the driver's memory, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     gives empty tables.
     """
     rows = materialise(docs.select("doc_id", row_key("doc_id", "source", text).alias("row_key"), "source", size_of(text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")))
-    targets = source_targets(rows, weights, most)
+    targets = materialise(source_targets(rows, weights, most))
     total = F.sum("source_size").over(Window.partitionBy())
     step = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.ceil(total / SLOTS))).cast("long")
     share = F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -112,7 +114,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     known = targets.select(F.col("source").alias("__s"), "source_no", "source_size", "target", "step", "depth")
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     placed = placed.withColumn("part", F.expr("substring(hash, 1, depth)"))
-    placed = _running(placed, ["source_no"], "size", ["hash", "size"], "part", "start")
+    placed = materialise(_running(placed, ["source_no"], "size", ["hash", "size"], "part", "start"))
     cut = placed.where("size > 0").select(
         "source_no", "part", "__row", "doc_id", "start", "size", "step",
         F.explode(F.sequence(F.floor(F.col("start") / F.col("step")), F.floor((F.col("start") + F.col("size") - 1) / F.col("step")))).alias("block"),
@@ -132,14 +134,14 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     slots = chunks.select("chunk", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n, (chunk + 1) * {CHUNK}) - 1)")).alias("slot"))
     point = (F.expr(f"(slot % {1 << 20}) * {GOLDEN} + (slot div {1 << 20}) * {(GOLDEN << 20) % (1 << 40)}") % (1 << 40)) / float(1 << 40)
     slots = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS))
-    drawn = slots.join(bounds, "cell").where("point >= lo and point < hi").select("slot", "chunk", "source_no", F.lit(1).cast("long").alias("one"))
-    ranked = _running(drawn, ["source_no"], "one", ["slot"], "chunk", "rank").select("slot", "source_no", "rank")
+    drawn = materialise(slots.join(bounds, "cell").where("point >= lo and point < hi").select("slot", "chunk", "source_no", F.lit(1).cast("long").alias("one")))
+    ranked = materialise(_running(drawn, ["source_no"], "one", ["slot"], "chunk", "rank").select("slot", "source_no", "rank"))
     counts = ranked.groupBy("source_no").agg(F.count("*").alias("have"))
     # closing slots, where rounding has left a source short
     short = targets.where("need > 0").join(counts, "source_no", "left").where("coalesce(have, 0) < need")
     closing = short.select(F.lit(None).cast("long").alias("slot"), "source_no", F.explode(F.expr("sequence(coalesce(have, 0), need - 1)")).alias("rank"))
     plan = targets.where("need > 0").select("source_no", "need", "blocks", "quota", "source_size", "step")
-    schedule = (
+    schedule = materialise(
         ranked.unionByName(closing)
         .join(plan, "source_no")
         .where("rank < need")
@@ -169,6 +171,6 @@ def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     Rows that are never taken are left out, and so are those without words. All columns stay.
     """
     taken = mix(docs, text)["documents"].where("taken > 0").groupBy("row_key")
-    copies = taken.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).where("__copies > 0")
+    copies = materialise(taken.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__copies")).where("__copies > 0"))
     rows = docs.withColumn("__mix_key", row_key("doc_id", "source", text)).join(copies.withColumnRenamed("row_key", "__mix_key"), "__mix_key")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
