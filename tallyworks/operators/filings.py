@@ -1,7 +1,7 @@
 """Hospital schedules of tax returns: parsed with a schema, and each facility given the answers that hold for it.
 
 A return lists facilities (section A) and groups of answers (section B), and says in several ways which belong together.
-``attributed`` tries the ways in order, for all returns at once, by joins within the return.
+``attributed`` tries the ways in order, for all returns at once, by windows within the return.
 """
 
 from __future__ import annotations
@@ -98,50 +98,41 @@ def attributed(facilities: DataFrame, answers: DataFrame, told: list[str] = ANSW
     ``told`` are the columns of the answers. Returns filing, place, line, name, city, state, zip5, license, rule and told.
     """
     c = F.col
-    code = group_code(c("name"))
-    a = answers.withColumns({"__code": code, "__named": F.when(code.isNull() & (c("name") != ""), n.return_name("name")), "__all": F.struct(*told)})
-    order = F.row_number().over(Window.partitionBy("filing").orderBy("place"))
-    a, f = a.withColumn("__rank", order), facilities.withColumn("__rank", order)
-    a = a.withColumn("__a", F.struct("place", "line", c("name").alias("as_named"), c("__all").alias("all")))
-    per_a = a.groupBy("filing").agg(
-        F.count("*").alias("__n"), ((F.count("line") == F.count("*")) & (F.count_distinct("line") == F.count("*"))).alias("__lines"),
-        (F.count_distinct(F.to_json("__all")) == 1).alias("__equal"), F.min_by("__a", "place").alias("__first"),
+    place, code = ["city", "state", "zip5", "license"], group_code(c("name"))
+    f = facilities.select("filing", F.lit(True).alias("__f"), "place", "line", "name", *place, c("group").alias("__group"), n.return_name("name").alias("__own"))
+    a = answers.where("filing is not null").select(
+        "filing", F.lit(False).alias("__f"), "place", "line", "name", code.alias("__group"), F.when(code.isNull() & (c("name") != ""), n.return_name("name")).alias("__own"),
+        F.struct(c("name").alias("as_named"), F.struct(*told).alias("all")).alias("__a"), F.to_json(F.struct(*told)).alias("__json"),
     )
-    by = lambda key: a.where(c(key).isNotNull()).groupBy("filing", key).agg(F.min_by("__a", "place").alias(f"__by{key}"))
-    f = f.withColumn("__own", n.return_name("name"))
-    met = (
-        f.join(by("__code").withColumnRenamed("__code", "group"), ["filing", "group"], "left")
-        .join(by("__named").withColumnRenamed("__named", "__own"), ["filing", "__own"], "left")
-        .join(by("line"), ["filing", "line"], "left")
-        .join(by("__rank"), ["filing", "__rank"], "left")
-        .join(per_a, "filing", "left")
-    )
-    met = met.withColumn("__chosen", F.coalesce("__by__code", "__by__named"))
-    whole = Window.partitionBy("filing")
-    met = met.withColumns({
-        "__any": F.max(c("__chosen").isNotNull()).over(whole), "__m": F.count("*").over(whole),
-        "__one": (F.count("group").over(whole) == F.count("*").over(whole)) & (F.min("group").over(whole) == F.max("group").over(whole)),
+    # the first window lays both together by return, all others lie within it: one shuffle in all, or none where they lie so
+    rows = f.unionByName(a, allowMissingColumns=True)
+    whole, own = Window.partitionBy("filing"), Window.partitionBy("filing", "__f")
+    rows = rows.withColumns({"__n": F.count(F.when(~c("__f"), 1)).over(whole), "__m": F.count(F.when(c("__f"), 1)).over(whole)})
+    rows = rows.withColumns({"__rank": F.row_number().over(own.orderBy("place")), "__at": F.when(~c("__f"), c("place"))})
+    by = lambda key: F.when(c("__f") & c(key).isNotNull(), F.min_by("__a", "__at").over(Window.partitionBy("filing", key)))
+    rows = rows.withColumn("__chosen", by("__group")).withColumn("__chosen", F.coalesce("__chosen", by("__own")))
+    line = Window.partitionBy("filing", "line")
+    rows = rows.withColumns({"__byline": by("line"), "__alike": F.count(F.when(~c("__f"), c("line"))).over(line), "__has_f": F.max("__f").over(line)})
+    rows = rows.withColumn("__byrank", by("__rank"))
+    group = F.when(c("__f"), c("__group"))
+    rows = rows.withColumns({
+        "__lines": F.min(F.when(~c("__f"), c("line").isNotNull() & (c("__alike") == 1))).over(whole),
+        "__equal": F.min("__json").over(whole) == F.max("__json").over(whole), "__first": F.min_by("__a", "__at").over(whole),
+        "__any": F.max(c("__chosen").isNotNull()).over(whole), "__grouped": F.count(group).over(whole), "__one": F.min(group).over(whole) == F.max(group).over(whole),
     })
-    rule = F.when(c("__n").isNull(), None).when((c("__n") == 1) & c("__one"), "lone").when(c("__any"), "named").when(c("__lines"), "line").when(c("__equal"), "equal").when(c("__n") == c("__m"), "order").otherwise("first")
-    met = met.withColumn("rule", rule)
+    rule = (
+        F.when(c("__n") == 0, None).when(c("__m") == 0, F.when(c("__lines"), "line").otherwise("first")).when((c("__n") == 1) & (c("__grouped") == c("__m")) & c("__one"), "lone").when(c("__any"), "named")
+        .when(c("__lines"), "line").when(c("__equal"), "equal").when(c("__n") == c("__m"), "order").otherwise("first")
+    )
     given = (
         F.when(c("rule").isin("lone", "equal"), c("__first")).when(c("rule") == "named", F.coalesce("__chosen", F.when(c("__lines"), c("__byline"))))
-        .when(c("rule") == "line", c("__byline")).when(c("rule") == "order", c("__by__rank"))
+        .when(c("rule") == "line", c("__byline")).when(c("rule") == "order", c("__byrank"))
     )
-    met = met.withColumn("__given", given)
-    place = ["city", "state", "zip5", "license"]
-    out = lambda row: [row["all"][t].alias(t) for t in told]
-    held = met.where("rule is null or rule <> 'first'").select(
-        "filing", "place", "line", F.coalesce(_filled(c("name")), c("__given")["as_named"]).alias("name"), *place, "rule", *out(c("__given"))
-    )
+    rows = rows.withColumn("rule", rule).withColumn("__given", F.when(c("__f"), given).otherwise(c("__a")))
     # answers that stand alone: of lines that no facility has, and the first of returns that nothing ties together
-    stats = met.groupBy("filing").agg(F.first("rule").alias("rule"))
-    loose = a.join(stats, "filing", "left").join(per_a.select("filing", "__lines"), "filing")
-    none = loose["rule"].isNull()  # no facilities at all
-    loose = loose.withColumn("rule", F.when(none & c("__lines"), "line").when(none, "first").otherwise(c("rule")))
-    unknown = loose.where("rule = 'line'").join(f.select("filing", "line"), ["filing", "line"], "left_anti")
-    first = loose.where("rule = 'first' and __rank = 1").withColumn("line", F.lit(None).cast(answers.schema["line"].dataType))
-    blank = [F.lit(None).cast(facilities.schema[p].dataType).alias(p) for p in place]
-    no_place = F.lit(None).cast(facilities.schema["place"].dataType).alias("place")
-    alone = unknown.select(*first.columns).unionByName(first).select("filing", no_place, "line", "name", *blank, "rule", *told)
-    return held.unionByName(alone)
+    alone = ((c("rule") == "line") & ~c("__has_f")) | ((c("rule") == "first") & (c("__rank") == 1))
+    kept = rows.where(F.when(c("__f"), c("rule").isNull() | (c("rule") != "first")).otherwise(alone))
+    return kept.select(
+        "filing", F.when(c("__f"), c("place")).cast(facilities.schema["place"].dataType).alias("place"), F.when(c("__f") | (c("rule") != "first"), c("line")).alias("line"),
+        F.when(c("__f"), F.coalesce(_filled(c("name")), c("__given")["as_named"])).otherwise(c("name")).alias("name"), *place, "rule", *[c("__given")["all"][t].alias(t) for t in told],
+    )

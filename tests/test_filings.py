@@ -79,3 +79,12 @@ def test_from_the_return_to_the_hospital(spark):
     rows = facts.withColumnRenamed("zip5", "zip").withColumnRenamed("place", "facility")
     best = cases.attributed_facility(rows.select("ein", "line", "facility", "name", "state", "zip", "city"), hospitals)
     assert [tuple(r) for r in best.join(rows.select("ein", "facility", "free_care_fpl_pct"), ["ein", "facility"]).select("ccn", "facility", "free_care_fpl_pct").collect()] == [("220001", 1, 300.0)]
+
+
+def test_all_ways_are_tried_in_one_shuffle(spark):
+    """Returns lie together once; missing returns' keys meet nothing."""
+    f = spark.createDataFrame([(1, 1, None, "Hill", None, None, None, None, "A"), (None, 1, 1, "Dale", None, None, None, None, "A")], "filing int, place int, line int, name string, city string, state string, zip5 string, license string, group string")
+    a = spark.createDataFrame([(1, 1, None, "B", 5), (1, 2, None, None, 6), (None, 1, 1, "A", 7)], "filing int, place int, line int, name string, free int")
+    out = filings.attributed(f, a, ["free"])
+    assert {tuple(r[k] for k in ("filing", "place", "line", "name", "rule", "free")) for r in out.collect()} == {(1, None, None, "B", "first", 5), (None, 1, 1, "Dale", None, None)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 1
