@@ -31,8 +31,20 @@ OF_PLACE = (
 )
 PART_AFTER = r"[- ]{1,2}(?:count(?:y|ies)|city|beach|parish(?:es)?|region|metro(?:politan)?|panhandle|campus|clinics?|hospitals?|facilit(?:y|ies))(?![a-z])"
 
-# the longest first, so that "west virginia" is one state
-NAMES = "|".join(sorted(STATES.values(), key=len, reverse=True))
+
+def _shared(words: list[str]) -> str:
+    """A pattern of words of which none begins another: equal beginnings are tried once, not once a word."""
+    if len(words) == 1:
+        return words[0]
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return f"(?:{'|'.join(first + _shared(rest) for first, rest in by_first.items())})"
+
+
+NAMES = _shared(list(STATES.values()))
+# a character that begins a name, looked at before the end of a word is
+BEGIN = f"(?=[{''.join(sorted({name[0] for name in STATES.values()}))}])"
 CODES = "|".join(STATES)
 CODE_LIST = rf"\b(?:{CODES})(?:\s*,\s*(?:{CODES}))*\s*,?\s+(?:(?i:and|or)|&)\s+(?:{CODES})\b"
 
@@ -61,12 +73,12 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def states_named(text: Column) -> Column:
     """Codes of the states whose names a text has as whole words, each once, in the order met; none for null."""
-    return _codes(_all(F.lower(text), rf"\b({NAMES})\b", 1))
+    return _codes(_all(F.lower(text), rf"{BEGIN}\b({NAMES})\b", 1))
 
 
 def states_as_states(text: Column) -> Column:
     """``states_named`` but for names that are a place's, like a county's or a valley's."""
-    return _codes(_all(F.lower(text), rf"\b({NAMES})\b(?![- ]+{PLACE_AFTER})", 1))
+    return _codes(_all(F.lower(text), rf"{BEGIN}\b({NAMES})\b(?![- ]+{PLACE_AFTER})", 1))
 
 
 def codes_written(text: Column) -> Column:

@@ -26,6 +26,8 @@ DENTAL = (
     r"(?:financial[- ](?:assistance|aid)|charity|(?:assistance|discount)[- ]program|sliding[- ](?:fee|scale))"
 )
 SCHEDULE_SCOPE = r"(?i)included\s+in\s+(?:the\s+)?attached\s+schedule\s+[a-z]\b"
+# every match of COVERED_LIST and of INCOME_RULES has one of these
+LIST_WORDS, RULE_WORDS = ["include", "listed", "applies", "covered"], ["poverty", "fpl", "fpg"]
 COVERED_LIST = (
     r"(?is)hospitals\s+include\s*:|facilities\s+include\s*:|\(listed\s+below\)|applies\s+to\s+the\s+following\s+(?:hospitals|facilities|entities)"
     r"|the\s+following\b.{0,120}?\b(?:hospitals|facilities)\b.{0,60}?\bare\s+covered\b"
@@ -49,6 +51,8 @@ COMPOUND_TAILS = ["pay", "pays", "payment", "payments", "insurance"]
 # Fields that describe one hospital's own desk.
 BORROWED_SPECIFIC = ["apply.submit_methods", "contacts.phone", "contacts.hours", "contacts.languages", "coverage.facilities", "coverage.provider_list_url"]
 SURE, CONFIRMED = 0.8, 1.0
+#: Most words of towns that are sent to all tasks.
+TOWNS = 20_000
 # Reasons, in the order in which they are tried.
 REASONS = {
     "dental": "quote is from a dental assistance program's document, not the hospital's policy",
@@ -67,7 +71,9 @@ def _text(c: str) -> Column:
 
 
 def plain(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "['’]", ""), r"\s+", " "))
+    bare = F.replace(F.replace(F.lower(c), F.lit("'"), F.lit("")), F.lit("’"), F.lit(""))
+    # single spaces, which are most, stay where they are
+    return F.trim(F.regexp_replace(bare, r"[\t\n\x0B\f\r]\s*| \s+", " "))
 
 
 def _decoded(url: Column) -> Column:
@@ -93,19 +99,28 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(plain(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC_WORDS)))
 
 
+def name_words(name: Column) -> Column:
+    """The words of a hospital's name of four characters or more."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(plain(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4))
+
+
+def has_words(own: Column, words: Column, said: Column) -> Column:
+    """``names_hospital`` by a name's ``name_tokens`` and ``name_words``."""
+    tokens = F.when(F.size(own) >= 2, own).otherwise(words)
+    hits = F.size(F.filter(tokens, lambda w: F.contains(said, w)))
+    return F.coalesce((F.size(tokens) > 0) & ((F.size(own) >= 2) | F.forall(own, lambda w: F.contains(said, w))) & (hits >= F.least(F.lit(2), F.size(tokens))), F.lit(False))
+
+
 def names_hospital(name: Column, said: Column) -> Column:
     """Whether a plain text has two telling words of a name; of a name with fewer, those and one more of any kind."""
-    own, text = name_tokens(name), said
-    words = F.array_distinct(F.filter(F.regexp_extract_all(plain(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 4))
-    tokens = F.when(F.size(own) >= 2, own).otherwise(words)
-    hits = F.size(F.filter(tokens, lambda w: F.contains(text, w)))
-    return F.coalesce((F.size(tokens) > 0) & ((F.size(own) >= 2) | F.forall(own, lambda w: F.contains(text, w))) & (hits >= F.least(F.lit(2), F.size(tokens))), F.lit(False))
+    return has_words(name_tokens(name), name_words(name), said)
 
 
 def names_city(city: Column, said: Column) -> Column:
     """Whether a plain text has a town's name as whole words."""
     town = F.regexp_replace(plain(city), r"([^a-z0-9 ])", r"\\$1")
-    return F.coalesce((town != "") & F.rlike(said, F.concat(F.lit(r"\b"), town, F.lit(r"\b"))), F.lit(False))
+    whole = F.when(F.contains(said, plain(city)), F.rlike(said, F.concat(F.lit(r"\b"), town, F.lit(r"\b"))))
+    return F.coalesce((town != "") & whole, F.lit(False))
 
 
 def is_dental(url: Column, title: Column, text: Column) -> Column:
@@ -113,7 +128,7 @@ def is_dental(url: Column, title: Column, text: Column) -> Column:
     named = F.replace(F.lower(F.concat(F.replace(_decoded(url), F.lit("/"), F.lit(" ")), F.lit(" "), title)), F.lit("_"), F.lit("-"))
     prose = F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\(\s*<?([^\s<>()\"]+)>?(?:\s+\"[^\"]*\")?\s*\)", " ")
     opening = F.lower(F.substring(F.trim(F.regexp_replace(prose, r"\s+", " ")), 1, OPENING_CHARS))
-    return F.regexp_replace(named, r"\s+", " ").rlike(DENTAL) | opening.rlike(DENTAL)
+    return F.regexp_replace(named, r"\s+", " ").rlike(DENTAL) | F.when(F.contains(F.lower(text), F.lit("dental")), opening.rlike(DENTAL)).otherwise(False)
 
 
 def document_class(url: Column, title: Column) -> Column:
@@ -148,6 +163,15 @@ def region_states(url: Column) -> Column:
     return F.when(host.rlike(REGION_HOSTS), F.array_distinct(F.concat(found, by_host))).otherwise(F.array().cast("array<string>"))
 
 
+def _says(text: Column, pattern: str, words: list[str]) -> Column:
+    """Whether a text matches a pattern, which is asked of texts that have one of the words alone."""
+    low = F.lower(text)
+    some = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        some = some | F.contains(low, F.lit(w))
+    return F.when(some, text.rlike(pattern)).otherwise(False)
+
+
 def _title_and_path(title: Column, url: Column) -> Column:
     return F.regexp_replace(F.concat(title, F.lit(" "), path_of(url)), r"[-_./%+]", " ")
 
@@ -161,15 +185,20 @@ def hospitals_named(documents: DataFrame, hospitals: DataFrame) -> DataFrame:
     """(source_id, named, state): the hospitals of the registry that a document names by name and by town.
 
     Documents and hospitals meet on the longest word of a town, so the work grows with the words of the documents and
-    not with documents times hospitals; what meets is checked on the text.
+    not with documents times hospitals; what meets is checked on the text. Up to TOWNS different words of towns go to
+    all tasks, which drop the other words where they read them, whatever the number of hospitals.
     """
-    said = documents.select("source_id", plain(_text("text")).alias("said"))
     town = F.regexp_extract_all(plain(F.col("city")), F.lit("[a-z0-9]+"), F.lit(0))
     longest = F.array_max(F.transform(town, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     rows = hospitals.where(F.size(name_tokens(F.col("name"))) > 0).select(F.col("ccn").alias("named"), "name", "city", "state", longest.alias("word")).where("word is not null")
-    words = said.select("source_id", F.explode(F.array_distinct(F.regexp_extract_all("said", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    met = words.join(rows, "word").select("source_id", "named", "name", "city", "state")
-    return met.join(said, "source_id").where(names_city(F.col("city"), F.col("said")) & names_hospital(F.col("name"), F.col("said"))).select("source_id", "named", "state")
+    said = plain(_text("text"))
+    words = documents.repartition("source_id").select("source_id", F.explode(F.array_distinct(F.regexp_extract_all(said, F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    towns = rows.select("word").distinct()
+    words = words.join(F.broadcast(towns) if towns.limit(TOWNS + 1).count() <= TOWNS else towns, "word", "left_semi")
+    # written, so that the texts of the others stay where they are
+    met = materialise(words.join(rows, "word").select("source_id", "named", "name", "city", "state"))
+    texts = documents.join(met.select("source_id"), "source_id", "left_semi").select("source_id", said.alias("said"))
+    return met.join(texts, "source_id").where(names_city(F.col("city"), F.col("said")) & names_hospital(F.col("name"), F.col("said"))).select("source_id", "named", "state")
 
 
 def policy_links(text: Column, url: Column) -> Column:
@@ -200,7 +229,8 @@ def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFr
     English one states the income rules. ``documents``: source_id, url, title, text; with a column ``kind`` only those
     of kind hospital_web are looked at, so a state's own or an uploaded document is never set aside.
 
-    What is read of a text is read once a document, links included; no text is copied to the hospitals that hold it.
+    What is read of a text is read once a document, links included; texts are dealt by document before they are read and
+    meet the hospitals that hold them there.
     """
     c = F.col
     if "kind" in documents.columns:
@@ -208,33 +238,34 @@ def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFr
     h = hospitals.select("ccn", "name", "city", "state", "website_domain")
     docs = documents.select("source_id", _text("url").alias("url"), _text("title").alias("title"), _text("text").alias("text"))
     title_and_path, subject = _title_and_path(c("title"), c("url")), F.get(F.split("title", TITLE_END), F.lit(0))
-    english = corpus.language_votes(docs, "source_id", "text").select(c("doc_id").alias("source_id"), corpus.reads_as_english().alias("english"))
-    traits = docs.join(english, "source_id").select(
-        "source_id", "url", "title", "text", "english", plain(c("text")).alias("said"), n.registered_domain("url").alias("site"), is_asset_host(c("url")).alias("asset"),
+    # a file of few parts would be read in few tasks
+    voted = corpus.language_votes(docs.repartition("source_id"), "source_id", "text", "url", "title", "text")
+    traits = voted.select(
+        c("doc_id").alias("source_id"), "url", corpus.reads_as_english().alias("english"), plain(c("text")).alias("said"), n.registered_domain("url").alias("site"), is_asset_host(c("url")).alias("asset"),
         is_dental(c("url"), c("title"), c("text")).alias("dental"), region_states(c("url")).alias("regions"), places.states_as_states(_title_and_path(subject, c("url"))).alias("claimed"),
         F.array_union(places.states_named(title_and_path), F.regexp_extract_all("title", F.lit(rf"\(({places.CODES})\)"), F.lit(1))).alias("titled"),
         places.states_as_states(F.concat_ws(" ", "title", "text")).alias("told"), F.regexp_extract_all(subject, F.lit(r"\b[A-Z]{2}\b"), F.lit(0)).alias("coded"),
-        c("text").rlike(SCHEDULE_SCOPE).alias("schedule"), c("text").rlike(COVERED_LIST).alias("listing"), c("text").rlike(APPLIES_TO_ALL).alias("to_all"), c("text").rlike(INCOME_RULES).alias("income"),
+        c("text").rlike(SCHEDULE_SCOPE).alias("schedule"), _says(c("text"), COVERED_LIST, LIST_WORDS).alias("listing"), c("text").rlike(APPLIES_TO_ALL).alias("to_all"), _says(c("text"), INCOME_RULES, RULE_WORDS).alias("income"),
         F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(LINK), F.lit(0)), n.registered_domain)).alias("linked_sites"), policy_links(c("text"), c("url")).alias("policy_links"),
     )
-    named = materialise(hospitals_named(docs, h))
-    pairs = held.select("ccn", "source_id").distinct().join(traits, "source_id").join(h, "ccn")
+    named = hospitals_named(docs, h).groupBy("source_id", "state").agg(F.count_distinct("named").alias("n"), F.min("named").alias("one"))
+    named = materialise(named)
     own = F.concat_ws(" ", "name", "city")
-    places_own = places.states_as_states(own)
-    in_state = named.join(held.select("ccn", "source_id").distinct(), "source_id").where("named <> ccn").join(h.select("ccn", c("state").alias("home_state")), "ccn")
-    others = in_state.where("state = home_state").select("ccn", "source_id").distinct().withColumn("names_others", F.lit(True))
-    filed = F.array_union(F.array_except("titled", places.states_named(own)), "regions")
-    claimed = F.array_except("claimed", places_own)
-    home = n.registered_domain("website_domain")
+    homes = h.select(
+        "*", name_tokens(c("name")).alias("own"), name_words(c("name")).alias("words"), places.states_named(own).alias("own_named"), places.states_as_states(own).alias("own_states"), n.registered_domain("website_domain").alias("domain"),
+    )
+    pairs = held.select("ccn", "source_id").distinct().join(homes, "ccn").join(named, ["source_id", "state"], "left").join(traits, "source_id")
+    filed, claimed = F.array_union(F.array_except("titled", "own_named"), "regions"), F.array_except("claimed", "own_states")
+    names_others = F.coalesce((c("n") > 1) | (c("one") != c("ccn")), F.lit(False))
     facts = materialise(
-        pairs.join(others, ["ccn", "source_id"], "left").select(
-            "ccn", "source_id", "url", "linked_sites", "policy_links", "site", "asset", "english", "income", "schedule", "name", "city", "state", F.coalesce(home, F.lit("")).alias("home"),
+        pairs.select(
+            "ccn", "source_id", "url", "linked_sites", "policy_links", "site", "asset", "english", "income", "schedule", "name", "city", "state", F.coalesce("domain", F.lit("")).alias("home"),
             c("dental"), (F.coalesce(n.host("url").rlike(REGION_HOSTS), F.lit(False)) & (F.size(filed) > 0) & ~F.array_contains(filed, c("state"))).alias("region"),
             ((F.size(claimed) > 0) & ~F.array_contains(claimed, c("state"))).alias("other_state"),
-            (names_city(c("city"), c("said")) | names_hospital(c("name"), c("said"))).alias("ours"),
+            (names_city(c("city"), c("said")) | has_words(c("own"), c("words"), c("said"))).alias("ours"),
             (F.array_contains("told", c("state")) | F.array_contains("coded", c("state"))).alias("tells_state"),
-            (F.coalesce("names_others", F.lit(False))).alias("names_others"), (F.coalesce("names_others", F.lit(False)) & ~c("to_all")).alias("lists_others"),
-            (c("listing") | c("schedule")).alias("scoped"), F.contains(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), F.substring_index(home, ".", 1)).alias("names_site"),
+            names_others.alias("names_others"), (names_others & ~c("to_all")).alias("lists_others"),
+            (c("listing") | c("schedule")).alias("scoped"), F.contains(F.regexp_replace("said", "[^a-z0-9]+", ""), F.substring_index("domain", ".", 1)).alias("names_site"),
         )
     )
     key = ["ccn", "source_id"]
@@ -251,15 +282,15 @@ def documents_set_aside(hospitals: DataFrame, documents: DataFrame, held: DataFr
 
 
 def _lent(rest: DataFrame, named: DataFrame, hospitals: DataFrame, loans: DataFrame) -> DataFrame:
-    """(ccn, source_id) of documents that are held through loans and are another state's alone."""
+    """(ccn, source_id) of documents that are held through loans and are another state's alone. ``named`` has the number n
+    of hospitals of each state that a document names."""
     c = F.col
     edge = lambda who: F.concat_ws("\x1f", who, "source_id")
     found = linkage.origins(loans.select(edge("ccn").alias("borrower"), edge("lender").alias("lender")))
     at = lambda x, k: F.split(x, "\x1f")[k]
     origins = found.select(at(c("borrower"), 0).alias("ccn"), at(c("borrower"), 1).alias("source_id"), at(c("origin"), 0).alias("lender"))
     states = origins.join(hospitals.select(c("ccn").alias("lender"), c("state").alias("from_state")), "lender").groupBy("ccn", "source_id").agg(F.collect_set("from_state").alias("from_states"))
-    of_states = named.groupBy("source_id", "state").agg(F.count_distinct("named").alias("n"))
-    counts = of_states.groupBy("source_id").agg(F.collect_list(F.struct("state", "n")).alias("counts"))
+    counts = named.groupBy("source_id").agg(F.collect_list(F.struct("state", "n")).alias("counts"))
     rows = rest.where(~(c("ours") | c("tells_state") | c("names_others"))).join(states, ["ccn", "source_id"]).where(~F.array_contains("from_states", c("state"))).join(counts, "source_id")
     elsewhere = F.filter("counts", lambda x: x["state"] != c("state"))
     pairs = F.size(F.filter(elsewhere, lambda x: x["n"] >= 2))

@@ -42,7 +42,7 @@ COMMON_WORDS = {
 }
 LINK_TARGETS = r"!\[[^\]]*\]\([^)]*\)|\]\([^)]*\)|https?://\S+|www\.\S+"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
-LATIN = r"[\p{L}\p{Nl}\p{No}&&[a-z\u00c0-\u024f\u1e00-\u1eff]]"
+LATIN = r"[a-z]+|[a-z\u00c0-\u024f\u1e00-\u1eff]+"
 DENSE_SCRIPT = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af]"
 #: Share of letters of another script, and number of common words, that make a text no English one.
 OTHER_SCRIPT_SHARE, FOREIGN_WORDS = 0.4, 3
@@ -144,18 +144,23 @@ def number_stated(text: str | Column, number: str | Column) -> Column:
     return F.rlike(t, F.concat(F.lit(r"(?<![\d.])"), F.replace(n, F.lit("."), F.lit(r"\.")), zeros, F.lit(r"(?!\.?\d)")))
 
 
-def language_votes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def language_votes(docs: DataFrame, doc_id: str, text: str, *kept: str) -> DataFrame:
     """(doc_id, latin, other, votes by language): letters of the Latin and of other scripts, and common words of each language.
 
     Links' targets, images and addresses are left out; Han, kana and Hangul count twice. Every occurrence counts, a
-    word for all languages that have it, and nothing is shuffled. A null text has none.
+    word for all languages that have it, and nothing is shuffled. A null text has none. Columns ``kept`` follow.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.lower(compatible(F.coalesce(F.col(text), F.lit("")))).alias("t")).select("doc_id", F.regexp_replace("t", LINK_TARGETS, " ").alias("t"))
-    latin = F.regexp_count("t", F.lit(LATIN)).cast("long")
-    other = F.regexp_count("t", F.lit(LETTER)).cast("long") - latin + F.regexp_count("t", F.lit(DENSE_SCRIPT)).cast("long")
-    words = plain.select("doc_id", latin.alias("latin"), other.alias("other"), F.regexp_extract_all("t", F.lit(f"{LETTER}+"), F.lit(0)).alias("w"))
+    kept = {f"__{c}": F.col(c) for c in kept}
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.lower(compatible(F.coalesce(F.col(text), F.lit("")))).alias("t"), *[c.alias(k) for k, c in kept.items()])
+    linked = F.contains("t", F.lit("](")) | F.contains("t", F.lit("://")) | F.contains("t", F.lit("www."))
+    out = out.withColumn("t", F.when(linked, F.regexp_replace("t", LINK_TARGETS, " ")).otherwise(F.col("t"))).withColumn("w", F.regexp_extract_all("t", F.lit(f"{LETTER}+"), F.lit(0)))
+    # words of no list are dropped once, not once a language; all letters are in words
+    every = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
+    out = out.select("doc_id", *kept, F.array_join("w", "").alias("letters"), F.regexp_count("t", F.lit(DENSE_SCRIPT)).cast("long").alias("dense"), F.filter("w", lambda w: w.isin(every)).alias("w"))
+    out = out.withColumn("others", F.length(F.regexp_replace("letters", LATIN, "")).cast("long"))
     counts = [F.size(F.filter("w", _common(lang))).cast("long").alias(f"votes_{lang}") for lang in COMMON_WORDS]
-    return words.select("doc_id", "latin", "other", *counts)
+    latin = F.length("letters").cast("long") - F.col("others")
+    return out.select("doc_id", latin.alias("latin"), (F.col("others") + F.col("dense")).alias("other"), *counts, *[F.col(k).alias(k[2:]) for k in kept])
 
 
 def _common(lang: str):

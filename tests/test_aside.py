@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyworks.operators import aside
+from tallyworks.functions import places
+from tallyworks.operators import aside, corpus
 
 HOSPITALS = [
     ("h1", "Clarke County Hospital", "Osceola", "IA", "clarkehosp.org"), ("h2", "Methodist Pekin", "Pekin", "IA", "methodist.org"), ("h3", "Mercy San Juan", "Carmichael", "CA", "commonspirit.org"),
@@ -104,3 +107,48 @@ def test_translations_and_kinds(spark):
     found = lambda d: {(r["source_id"], r["clause"]) for r in aside.documents_set_aside(hospitals, d, held, loans).collect()}
     assert found(docs) == {(k, "translation") for k in other}
     assert found(docs.drop("kind")) == {(k, "translation") for k in [*other, "state-zh"]}
+
+
+def test_words_that_are_no_towns_are_dropped_where_they_are_read(spark, monkeypatch):
+    """However many hospitals there are: only towns' words go on to meet them, and texts of one part are dealt out first."""
+    written = []
+    materialise = aside.materialise
+    monkeypatch.setattr(aside, "materialise", lambda df: written.append(df) or materialise(df))
+    hospitals, documents, held, loans = _tables(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = aside.documents_set_aside(hospitals, documents, held, loans).collect()
+        plans = [df._jdf.queryExecution().sparkPlan().toString() for df in written]
+        monkeypatch.setattr(aside, "TOWNS", 2)  # more towns than are sent to all tasks
+        unsent = aside.documents_set_aside(hospitals, documents, held, loans).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    words = plans[0].splitlines()
+    semi, spread = (next(i for i, line in enumerate(words) if x in line) for x in ("BroadcastHashJoin [word", "Generate explode"))
+    assert "LeftSemi" in words[semi] and semi < spread and not any("Exchange" in line for line in words[semi:spread])
+    assert all("RepartitionByExpression" in p or "REPARTITION_BY_COL" in p for p in (plans[0], next(p for p in plans if "ArrowEvalPython" in p)))
+    assert {(r["ccn"], r["source_id"]): r["clause"] for r in got} == WANT == {(r["ccn"], r["source_id"]): r["clause"] for r in unsent}
+
+
+def test_forms_and_votes_equal_slow_versions(spark):
+    rng = random.Random(8)
+    names = list(places.STATES.values())
+    parts = [*names, "West Virginia", "virginias", "arkansas-city", "kansasx", "it's", "the’", " ", "  ", "\t", "\n ", " \r\n", "\x0b", "of", "und", "que", "для", "Ωmega", "北京", "カ・ナ", "²", "Ⅷ", "½", "𝒜", "é", "ß", "9", "_", "[a](b) ", "![x](y)", "http://x.y z", "www.a b", "İ", "\u3000"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(40))) for _ in range(300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = docs.select("id", "text", aside.plain(F.col("text")).alias("plain"), places.states_named(F.col("text")).alias("states")).collect()
+    for r in got:
+        want = r["text"] and re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub("['’]", "", r["text"].lower())).strip(" ")
+        assert r["plain"] == want, r["text"]
+    slow = docs.select(F.lower("text").alias("t"), "id").select("id", F.regexp_extract_all("t", F.lit(rf"\b({'|'.join(sorted(names, key=len, reverse=True))})\b"), F.lit(1)).alias("n"))
+    codes = {v: k for k, v in places.STATES.items()}
+    assert {r["id"]: r["states"] for r in got} == {r["id"]: list(dict.fromkeys(codes[x] for x in r["n"] or [])) for r in slow.collect()}
+    t = F.regexp_replace(F.lower(corpus.compatible(F.coalesce("text", F.lit("")))), corpus.LINK_TARGETS, " ")
+    count = lambda p: F.regexp_count("t", F.lit(p)).cast("long")
+    latin = count(r"[\p{L}\p{Nl}\p{No}&&[a-z\u00c0-\u024f\u1e00-\u1eff]]")
+    words = docs.select("id", "text", t.alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(f"{corpus.LETTER}+"), F.lit(0)))
+    votes = {f"votes_{x}": F.size(F.filter("w", corpus._common(x))).cast("long") for x in corpus.COMMON_WORDS}
+    want = words.select(F.col("id").alias("doc_id"), latin.alias("latin"), (count(corpus.LETTER) - latin + count(corpus.DENSE_SCRIPT)).alias("other"), *[v.alias(k) for k, v in votes.items()], "text")
+    mine = corpus.language_votes(docs, "id", "text", "text")
+    assert mine.columns == want.columns and sorted(map(str, mine.collect())) == sorted(map(str, want.collect()))
