@@ -103,7 +103,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             rows.append((spans, entities_of(t, spans) if spans else []))
         return pd.DataFrame(rows, columns=["pii", "entities"])
 
-    return docs.withColumn("__found", find(F.col(text))).select("*", "__found.pii", "__found.entities").drop("__found")
+    # a filter on pii must not pull a second call of it below, which scans each text again in a Python worker of its own
+    found = find.asNondeterministic()(F.col(text))
+    return docs.withColumn("__found", found).select("*", "__found.pii", "__found.entities").drop("__found")
 
 
 def term_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -224,6 +226,7 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settin
     kind of the first.
     """
     found = sanitise(docs, text, doc_id, **settings).select(F.col("doc_key").alias("__pii_key"), F.concat("pii", "terms").alias("__pii_spans"))
+    found = materialise(found)  # else a task finds places in one Python worker and covers them in another
 
     @F.pandas_udf(T.StringType())
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
