@@ -13,6 +13,7 @@ from tallyworks.functions import fuzzy
 from tallyworks.functions import normalise as n
 from tallyworks.operators.linkage import top_candidates
 from tallyworks.operators.names import best_names
+from tallyworks.store import materialise
 
 # Programmes under whose rules cost-sharing may not be billed, lower case.
 COST_SHARING_PROTECTED = ["qmb", "medicaid", "masshealth", "medi-cal", "nj familycare", "medical assistance"]
@@ -53,17 +54,19 @@ def _beside_names(bills: pd.DataFrame, hospitals: pd.DataFrame) -> Callable[[int
             if value is not None and (value or by is by_city):
                 by.setdefault(value, []).append(i)
 
+    phones, sites, addresses = (bills[c].tolist() for c in ("__phones", "__domain", "__address"))
+
     def of(i: int) -> np.ndarray:
-        bill, out = bills.iloc[i], np.zeros(len(hospitals))
-        for phone in set(bill["__phones"]):
+        out = np.zeros(len(hospitals))
+        for phone in set(phones[i]):
             out[by_phone.get(phone, [])] += PHONE
-        site = bill["__domain"] or ""
+        site = sites[i] or ""
         out[by_site.get(site, [])] += SITE
         for k in (k for k, ch in enumerate(site) if ch == "."):
             out[by_site.get(site[k + 1 :], [])] += BELOW_SITE
-        if bill["__address"]:
+        if addresses[i]:
             for city, at in by_city.items():
-                if city in bill["__address"]:
+                if city in addresses[i]:
                     out[at] += CITY
         return out
 
@@ -78,6 +81,9 @@ def bill_matches(bills: DataFrame, hospitals: DataFrame, block: str = "state") -
     ``bills``: bill_id, hospital_name, hospital_phone, fap_phone, fap_url, hospital_address and the block;
     ``hospitals``, a registry: ccn, name, phone, website_domain, city and the block. A bill without a hospital's name,
     phone or policy address has no candidates, nor has one that no hospital scores over 0.
+
+    Hospitals that share a phone or an address with a bill are looked at first. Any other has at most 65 for its name
+    and city, so only bills whose third of those scores no more than that are compared with all hospitals of the block.
     """
     told = bills.where(F.coalesce(F.nullif("hospital_name", F.lit("")), F.nullif("hospital_phone", F.lit("")), F.nullif("fap_url", F.lit(""))).isNotNull())
     read = told.select(
@@ -85,8 +91,19 @@ def bill_matches(bills: DataFrame, hospitals: DataFrame, block: str = "state") -
         F.array(n.digits(F.coalesce("hospital_phone", F.lit(""))), n.digits(F.coalesce("fap_phone", F.lit("")))).alias("__phones"),
     )
     registry = hospitals.select("ccn", block, "name", "website_domain", n.digits("phone").alias("__phone"), F.lower("city").alias("__city"))
-    best = best_names(read, "bill_id", F.col("__bill"), registry, "ccn", n.bill_name("name"), [block], ["name", "ccn"], k=3, scale=NAME_SHARE, extra=_beside_names)
-    return top_candidates(best, "bill_id", "score", F.col("place"))
+    # told apart by a number, should a ccn stand in it twice
+    registry = materialise(registry.withColumn("__row", F.monotonically_increasing_id()))
+
+    def best(bills: DataFrame, hospitals: DataFrame, by: list[str], several: bool) -> DataFrame:
+        return best_names(bills, "bill_id", F.col("__bill"), hospitals, "ccn", n.bill_name("name"), by, ["name", "ccn", "__row"], k=3, scale=NAME_SHARE, extra=_beside_names, several=several)
+
+    labels = F.split(F.coalesce("__domain", F.lit("")), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tie = lambda phones, sites: F.filter(F.array_distinct(F.concat(F.transform(phones, lambda p: F.concat(F.lit("p"), p)), F.transform(sites, lambda s: F.concat(F.lit("s"), s)))), lambda t: F.length(t) > 1)
+    ties = materialise(best(read.withColumn("__tie", F.explode(tie(F.col("__phones"), above))), registry.withColumn("__tie", F.explode(tie(F.array("__phone"), F.array("website_domain")))), [block, "__tie"], True))
+    done = ties.where((F.col("place") == 3) & (F.col("score") > 100 * NAME_SHARE + CITY)).select("bill_id")
+    rest = best(read.join(done, "bill_id", "left_anti"), registry, [block], False)
+    return top_candidates(ties.join(done, "bill_id", "left_semi").unionByName(rest), "bill_id", "score", F.col("place"))
 
 
 # Registry types and owners that are taken in.

@@ -188,3 +188,50 @@ def test_copies_are_scored_once(spark):
     t = spark.createDataFrame([(i, "saint mary" if i % 2 else "mary general", "x", i // 2, "a") for i in range(80)] + [(99, "saint mary", "x", None, "a")], "to long, name string, town string, line long, b string")
     got = names.best_names(q, "id", F.col("name"), t, "to", F.col("name"), ["b"], ["line"], k=2, scale=0.6, extra=few).collect()
     assert sorted(map(tuple, got)) == sorted((i, 1 + 2 * j, 65.0 if i % 2 else 60.0, j + 1) for i in range(60) for j in range(2))
+
+
+@pytest.mark.parametrize(("letters", "longest", "most"), [("abcdé", 6, 4), ("0123456789", 9, 2), ("ab", 63, 2), ("abc", 1, 40), ("abcdefgh中\U0001f600", 20, 6)])
+def test_best_of_many_at_once_equal_all_pairs(monkeypatch, letters, longest, most):
+    monkeypatch.setattr(names, "FIRST", 8)
+    monkeypatch.setattr(names, "LETTERS", 9)
+    monkeypatch.setattr(names, "CELLS", 1000)
+    monkeypatch.setattr(names, "PAIRS", 77)
+    rng = random.Random(longest)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range(60)]
+    asked, targets = ([rng.choice([" ", "  "]).join(rng.choices(words, k=rng.randint(0, most))) for _ in range(n)] for n in (40, 200))
+    more = [[float(rng.choice([0, 0, 0, 5, 30])) for _ in targets] for _ in asked]
+    for k, scale, digits, least in ((1, 1.0, 1, 0.1), (3, 0.6, 1, 0.0), (2, 1.0, 12, 50.0), (300, 0.6, 1, 0.1)):
+        got = names.Names(targets).best_of(asked, k, scale, lambda i: more[i], digits, least)
+        want = []
+        for i, name in enumerate(asked):
+            scored = sorted((-round(scale * token_set_ratio(name, t) + m, digits), j) for j, (t, m) in enumerate(zip(targets, more[i], strict=True)))
+            want += [(i, j, -s) for s, j in scored[:k] if -s >= least]
+        assert list(zip(*(c.tolist() for c in got), strict=True)) == want
+
+
+def test_numbered_names_are_not_compared_one_pair_at_a_time(monkeypatch):
+    rng = random.Random(11)
+    targets = names.Names([f"supplier {n:09}" for n in rng.sample(range(50_000), 2000)])
+    monkeypatch.setattr(names, "token_set_ratio", lambda a, b: pytest.fail("one pair at a time"))
+    for _ in range(20):
+        name = f"supplier {rng.randrange(900_000):09}"
+        want = sorted((-round(token_set_ratio(name, t), 1), j) for j, t in enumerate(targets.names))[:3]
+        assert targets.best(name, 3) == [(j, -s) for s, j in want]
+
+
+def test_bills_that_share_phones_or_addresses_leave_the_rest_of_the_state_out(spark, monkeypatch):
+    asked, best = [], cases.best_names
+    monkeypatch.setattr(cases, "best_names", lambda bills, *a, **more: asked.append({r["bill_id"] for r in bills.select("bill_id").collect()}) or best(bills, *a, **more))
+    # three of the same phone, address or address above; a name alone reaches 60, with its city 65
+    hospitals = [("a", "Mary One", "1", None, "Lynn", "MA"), ("b", "Mary Two", "1", "x.org", "Lynn", "MA"), ("c", "Mary Three", "1", "x.org", "Lynn", "MA"), ("d", "Mary", None, "x.org", "Lynn", "MA"), ("e", "Grace", "2", "", "", "MA"), ("f", "Mary One", "1", "x.org", "Lynn", "NV"), ("d", "Mary", None, "x.org", "Lynn", "MA")]
+    bills = [(1, "Mary One", "1", None, None, "Lynn", "MA"), (2, "Mary", None, "1", "x.org", None, "MA"), (3, "Mary", None, None, "y.x.org", "2 Road, Lynn", "MA"), (4, "Grace", "2", "2", None, "", "MA"), (5, "Mary", None, None, None, "Lynn", "MA"), (6, "zzz", "1", None, None, None, "MA")]
+    got = cases.bill_matches(
+        spark.createDataFrame(bills, "bill_id long, hospital_name string, hospital_phone string, fap_phone string, fap_url string, hospital_address string, state string"),
+        spark.createDataFrame(hospitals, "ccn string, name string, phone string, website_domain string, city string, state string"),
+    ).collect()
+    assert asked == [{1, 2, 3, 4, 6}, {4, 5, 6}]
+    assert sorted((r["bill_id"], r["place"], r["ccn"], r["score"]) for r in got) == [
+        (1, 1, "a", 95.0), (1, 2, "b", 80.0), (1, 3, "c", 75.0), (2, 1, "c", 120.0), (2, 2, "b", 120.0), (2, 3, "d", 90.0),
+        (3, 1, "d", 80.0), (3, 2, "d", 80.0), (3, 3, "c", 80.0), (4, 1, "e", 90.0), (4, 2, "a", 18.5), (4, 3, "c", 16.0),
+        (5, 1, "d", 65.0), (5, 2, "d", 65.0), (5, 3, "a", 65.0), (6, 1, "a", 30.0), (6, 2, "c", 30.0), (6, 3, "b", 30.0),
+    ]
