@@ -59,11 +59,14 @@ def _beside_names(bills: pd.DataFrame, hospitals: pd.DataFrame) -> Callable[[int
     def of(i: int) -> np.ndarray:
         out = np.zeros(len(hospitals))
         for phone in set(phones[i]):
-            out[by_phone.get(phone, [])] += PHONE
+            if phone in by_phone:
+                out[by_phone[phone]] += PHONE
         site = sites[i] or ""
-        out[by_site.get(site, [])] += SITE
-        for k in (k for k, ch in enumerate(site) if ch == "."):
-            out[by_site.get(site[k + 1 :], [])] += BELOW_SITE
+        if site in by_site:
+            out[by_site[site]] += SITE
+        for below in (site[k + 1 :] for k, ch in enumerate(site) if ch == "."):
+            if below in by_site:
+                out[by_site[below]] += BELOW_SITE
         if addresses[i]:
             for city, at in by_city.items():
                 if city in addresses[i]:

@@ -235,3 +235,34 @@ def test_bills_that_share_phones_or_addresses_leave_the_rest_of_the_state_out(sp
         (3, 1, "d", 80.0), (3, 2, "d", 80.0), (3, 3, "c", 80.0), (4, 1, "e", 90.0), (4, 2, "a", 18.5), (4, 3, "c", 16.0),
         (5, 1, "d", 65.0), (5, 2, "d", 65.0), (5, 3, "a", 65.0), (6, 1, "a", 30.0), (6, 2, "c", 30.0), (6, 3, "b", 30.0),
     ]
+
+
+@pytest.mark.parametrize(("letters", "longest", "most"), [("abcdé", 6, 4), ("0123456789", 9, 1), ("ab", 40, 2)])
+def test_walks_through_names_of_the_same_words_equal_all_pairs(monkeypatch, letters, longest, most):
+    for name, value in (("GROUP", 10), ("WIDE", 8), ("WALKED", 50)):
+        monkeypatch.setattr(names, name, value)
+    rng = random.Random(longest)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range(80)]
+    asked, targets = ([" ".join(rng.sample(["saint", "general", "zeta"], rng.choice([0, 1, 1, 2])) + rng.choices(words, k=rng.randint(0, most))) for _ in range(n)] for n in (150, 260))
+    more = [[float(rng.choice([0] * 40 + [5, 30])) for _ in targets] for _ in asked]
+    walks, walk = [], names.Names._walk
+    monkeypatch.setattr(names.Names, "_walk", lambda self, *a: walks.append(1) or walk(self, *a))
+    for k, scale, digits, least in ((1, 1.0, 1, 0.1), (3, 0.6, 1, 0.0), (2, 1.0, 12, 50.0), (300, 0.6, 1, 0.1)):
+        for extra in (None, lambda i: more[i]):
+            got = names.Names(targets).best_of(asked, k, scale, extra, digits, least)
+            want = []
+            for i, name in enumerate(asked):
+                scored = sorted((-round(scale * token_set_ratio(name, t) + (m if extra else 0.0), digits), j) for j, (t, m) in enumerate(zip(targets, more[i], strict=True)))
+                want += [(i, j, -s) for s, j in scored[:k] if -s >= least]
+            assert list(zip(*(c.tolist() for c in got), strict=True)) == want
+    assert walks
+
+
+def test_a_walk_bounds_no_pairs(monkeypatch):
+    rng = random.Random(3)
+    targets = names.Names([f"supplier {n:09}" for n in rng.sample(range(9000), 600)])
+    monkeypatch.setattr(names.Names, "bounds", lambda self, asked: pytest.fail("all pairs are bounded"))
+    asked = [f"supplier {n:09}" for n in rng.sample(range(90_000), 300)]
+    i, j, score = targets.best_of(asked, 3)
+    want = [(a, b, -s) for a in range(5) for s, b in sorted((-round(token_set_ratio(asked[a], t), 1), b) for b, t in enumerate(targets.names))[:3]]
+    assert list(zip(i.tolist(), j.tolist(), score.tolist(), strict=True))[:15] == want
